@@ -218,7 +218,7 @@ def oversample(rows: DataFrame, by=(), target="target", seed=RESAMPLE_SEED, key=
     plan = settle(resampling_plan(rows, by, target, seed, key))
     if require_both:
         _require_both_classes(plan, by)
-    keep = lookup_side(settle(plan.where("_keep_over | (_n_minor = 0)").select(*by, target)))
+    keep = lookup_side(settle(plan.where(F.col("_keep_over") | (F.col("_n_minor") == 0)).select(*by, target)))
     whole = rows.join(keep, [*by, target]).withColumn("copy", F.lit(0).cast("bigint"))
     return whole.unionByName(redrawn_rows(rows, plan, by, target, seed, key, per_piece).select(*whole.columns))
 
