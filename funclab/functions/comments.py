@@ -17,6 +17,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from funclab.functions.text import (
     drop_final_newline,
@@ -89,7 +90,7 @@ def nested_tokens(code: str, language: str) -> list[str]:
     return tokens
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nested_tokens_udf(code: pd.Series, language: pd.Series) -> pd.Series:
     cut = [None if c is None else nested_tokens(c, lang) for c, lang in zip(code, language)]
     return pd.Series(cut, index=code.index, dtype=object)

@@ -32,7 +32,7 @@ def unify_line_breaks(text: Column) -> Column:
 
 
 def drop_final_newline(text: Column) -> Column:
-    return F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.regexp_replace(text, r"\n\z", "")
 
 
 def split_lines(text: Column) -> Column:
@@ -43,7 +43,7 @@ def split_lines(text: Column) -> Column:
 def source_lines(text: Column) -> Column:
     """Lines where a final newline opens no line and an empty text has none."""
     empty = F.array().cast("array<string>")
-    return F.when(text == "", empty).otherwise(split_lines(drop_final_newline(text)))
+    return bind(text, lambda t: F.when(t == "", empty).otherwise(split_lines(drop_final_newline(t))))
 
 
 def count_char(text: Column, char: str) -> Column:
