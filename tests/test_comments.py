@@ -1,0 +1,183 @@
+import glob
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from funclab.functions import comments
+from funclab.sources.readers import read_clean_csv
+
+NESTS = {"rust", "swift", "kotlin"}
+
+
+def spans(code, lang):
+    """Comment spans found one character at a time: a plain restatement."""
+    out, i, n = [], 0, len(code)
+    while i < n:
+        rest = code[i:]
+        if rest.startswith("//"):
+            end = code.find("\n", i)
+            end = n if end < 0 else end
+            out.append((i, end))
+            i = end
+        elif rest.startswith("/*"):
+            depth, j = 0, i
+            while j < n:
+                two = code[j : j + 2]
+                if two == "/*" and (depth == 0 or lang in NESTS):
+                    depth, j = depth + 1, j + 2
+                elif two == "*/":
+                    depth, j = depth - 1, j + 2
+                    if depth == 0:
+                        break
+                else:
+                    j += 1
+            if depth:
+                i += 1
+            else:
+                if lang != "kotlin":
+                    out.append((i, j))
+                i = j
+        elif lang in ("kotlin", "swift") and rest.startswith('"""') and '"""' in rest[3:]:
+            i = code.index('"""', i + 3) + 3
+        elif rest[0] == '"':
+            j = i + 1
+            while j < n and code[j] != '"':
+                j += 2 if code[j] == "\\" else 1
+            i = j + 1 if j < n else i + 1
+        elif lang != "swift" and (m := re.match(r"'(\\.|[^'\\\n])'", rest)):
+            i += m.end()
+        else:
+            i += 1
+    return out
+
+
+def cleaned(code, lang):
+    for a, b in reversed(spans(code, lang)):
+        code = code[:a] + "\n" * code[a:b].count("\n") + code[b:]
+    return "\n".join(code.split("\n")[:-1]) if code.endswith("\n") else code
+
+
+def noisy(code, lang):
+    lines = code.splitlines()
+    ids = {i for i, line in enumerate(lines) if not line.strip()}
+    for a, b in spans(code, lang):
+        ids |= set(range(code[:a].count("\n"), code[:b].count("\n") + 1))
+    return sorted(ids)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, lang, code) for i, (lang, code) in enumerate(rows)], "row_id int, language string, processed_func string")
+
+
+def random_codes(seed, n, pieces):
+    rng = random.Random(seed)
+    for _ in range(n):
+        yield rng.choice(["rust", "kotlin", "swift", "cpp", "c"]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+
+
+def test_random_texts(spark):
+    pieces = ["/*", "*/", "//", "\n", '"', "a ", " ", "x=1;", "'", "b", "*", "/", "é"]
+    rows = list(random_codes(1, 3000, pieces))
+    df = frame(spark, rows)
+    got = comments.strip_comments(df, out="clean").select("row_id", "clean").collect()
+    wrong = [(rows[r.row_id], r.clean) for r in got if r.clean != cleaned(rows[r.row_id][1], rows[r.row_id][0])]
+    assert not wrong, wrong[:3]
+    got = comments.noisy_lines(df).select("row_id", "noisy").collect()
+    wrong = [(rows[r.row_id], r.noisy) for r in got if r.noisy != noisy(rows[r.row_id][1], rows[r.row_id][0])]
+    assert not wrong, wrong[:3]
+
+
+def test_python_helper_agrees_with_the_patterns():
+    pieces = ["/* a */", "//", "\n", '"', "\\", "'", "r#", "#", "b", "*", "R", "(", ")", "using x;", "#include <a>"]
+    rng = random.Random(2)
+    for _ in range(4000):
+        lang = rng.choice(comments.LANGUAGES)
+        code = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        flat = [m.group() for m in re.finditer(comments.token_pattern(lang), code)]
+        assert "".join(flat) == code
+        assert comments.nested_tokens(code, lang) == flat
+
+
+CASES = [
+    ("rust", 'let s = r#"// no "quote" /* no */"#; // yes', 'let s = r#"// no "quote" /* no */"#; '),
+    ("rust", "let c = '\"'; // yes\nlet l: &'a str;", "let c = '\"'; \nlet l: &'a str;"),
+    ("rust", "a /* 1 /* 2 /* 3 */ */ // x\n */ b", "a \n b"),
+    ("rust", "a /* open\nb", "a /* open\nb"),
+    ("kotlin", 'val t = """a // b\n"c" /* */ """ // d', 'val t = """a // b\n"c" /* */ """ '),
+    ("kotlin", "a /* b // c */ d // e", "a /* b // c */ d "),
+    ("swift", 'let s = #"a " // b"# // c', 'let s = #"a " // b"# '),
+    ("swift", 'let s = """\n a "// b" \n""" // c', 'let s = """\n a "// b" \n""" '),
+    ("cpp", '#include <a.h> // x\nusing namespace std;\nint b /* c */ = 2; // d \\\n e\nusing T = int;', " \n\nint b  = 2; \n\nusing T = int;"),
+    ("cpp", 'auto s = R"x(// "a" )" )x"; /* y */', 'auto s = R"x(// "a" )" )x"; '),
+    ("c", "#include \"b.h\"\nint reusing = 1; int u = using;", "\nint reusing = 1; int u = using;"),
+    ("Rust", "a // b\r\nc\r\n", "a \nc"),
+    ("rust", "", ""),
+    ("C++", "x // é\n", "x "),
+]
+
+
+@pytest.mark.parametrize("lang, code, expected", CASES)
+def test_cases(spark, lang, code, expected):
+    assert comments.strip_comments(frame(spark, [(lang, code)])).first().processed_func == expected
+
+
+def test_kotlin_blocks_on_request(spark):
+    df = frame(spark, [("kotlin", "a /* b\n/* c */ d */ e // f")])
+    assert comments.strip_comments(df, strip_block=True).first().processed_func == "a \n e "
+
+
+def test_annotate_and_blank_lines(spark):
+    df = frame(spark, [("rust", "a // b\n\n  \nc /* d\n e */ f\ng\n")])
+    assert comments.noisy_annotate(df).first().annotated == "# a // b\n# \n#   \n# c /* d\n#  e */ f\ng"
+    row = comments.blank_lines(df).first()
+    assert (row.clean_code, row.blank) == ("a \n\n  \nc \n f\ng", [1, 2])
+
+
+def test_long_texts_do_not_overflow(spark):
+    big = 200_000
+    codes = [
+        ("rust", '"' + "\\n" * big + '" // x'),
+        ("kotlin", '"""' + 'a"' * big + '""" // x'),
+        ("swift", '"""' + "\\n" * big + '""" // x'),
+        ("rust", "/*" + "*" * big + "*/"),
+        ("cpp", "// " + "\\ " * big),
+        ("rust", "r " * big + "// x"),
+        ("rust", "/*" * 5000 + "*/" * 5000 + "z"),
+    ]
+    got = comments.strip_comments(frame(spark, codes)).orderBy("row_id").select(F.length("processed_func")).collect()
+    assert [r[0] for r in got] == [2 * big + 3, 2 * big + 7, 2 * big + 7, 0, 0, 2 * big, 1]
+
+
+def test_unknown_language_fails(spark):
+    with pytest.raises(Exception, match="no comment rules"):
+        comments.strip_comments(frame(spark, [("cobol", "a // b")])).collect()
+
+
+GOLDENS = os.environ.get("FUNCLAB_GOLDENS", "")
+
+
+@pytest.mark.skipif(not GOLDENS, reason="set FUNCLAB_GOLDENS to a folder of with/without-comment pairs")
+def test_goldens(spark):
+    """Published pairs of files, with and without comments, row by row."""
+    schema = "processed_func string, target int, flaw_line_index string, flaw_line string"
+    same = total = apart_from_indent = 0
+    for before in glob.glob(f"{GOLDENS}/*/data_with_comments_single_before_change/*/*.csv"):
+        after = before.replace("data_with_comments", "data_without_comments")
+        if not os.path.exists(after):
+            continue
+        with open(before) as a, open(after) as b:
+            if not (a.readline().count(",") == b.readline().count(",") == 3):
+                continue
+        lang = before.split("/")[-4]
+        rows = read_clean_csv(spark, before, schema).withColumn("language", F.lit(lang))
+        mine = [r.c for r in comments.strip_comments(rows, out="c").select("c").collect()]
+        theirs = [r.processed_func for r in read_clean_csv(spark, after, schema).collect()]
+        if len(mine) == len(theirs):
+            total += len(mine)
+            same += sum(m == t for m, t in zip(mine, theirs))
+            apart_from_indent += sum(m.strip() == t.strip() for m, t in zip(mine, theirs))
+    print(total, same, apart_from_indent)
+    assert total and same / total > 0.97
