@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from funclab.config import DEFAULT_TEMPLATE
 from funclab.functions.prompts import demonstration, few_shot_prompt, zero_shot_prompt
-from funclab.plans.settle import lookup_side, settle
+from funclab.plans.settle import lookup_join, settle
 from funclab.schemas import EXPERIMENT_KEYS
 
 
@@ -26,7 +26,7 @@ def few_shot_examples(train: DataFrame, by=tuple(EXPERIMENT_KEYS), max_vul=9, ma
     chosen = ranked.where(F.col("_at") <= allowed)
     number = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(target).desc(), "_at"))
     chosen = chosen.select(*by, order, number.alias("example"))
-    return train.join(lookup_side(settle(chosen)), [*by, order])
+    return lookup_join(train, settle(chosen), [*by, order], spread=order)
 
 
 def few_shot_blocks(examples: DataFrame, by=tuple(EXPERIMENT_KEYS), code="processed_func", target="target", template=DEFAULT_TEMPLATE) -> DataFrame:
@@ -36,9 +36,9 @@ def few_shot_blocks(examples: DataFrame, by=tuple(EXPERIMENT_KEYS), code="proces
     return examples.groupBy(*by).agg(F.array_join(listed["text"], "").alias("block"))
 
 
-def few_shot_prompts(test: DataFrame, blocks: DataFrame, by=tuple(EXPERIMENT_KEYS), code="processed_func", language="language", template=DEFAULT_TEMPLATE) -> DataFrame:
+def few_shot_prompts(test: DataFrame, blocks: DataFrame, by=tuple(EXPERIMENT_KEYS), code="processed_func", language="language", template=DEFAULT_TEMPLATE, key="row_id") -> DataFrame:
     """Add ``prompt`` to the test rows of every experiment; one without examples gets the bare frame."""
-    joined = test.join(lookup_side(settle(blocks)), list(by), "left")
+    joined = lookup_join(test, settle(blocks), by, "left", spread=key)
     prompt = few_shot_prompt(F.coalesce("block", F.lit("")), F.col(code), F.col(language), template)
     return joined.withColumn("prompt", prompt).drop("block")
 

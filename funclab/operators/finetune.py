@@ -16,6 +16,7 @@ from funclab.config import (
 )
 from funclab.functions.prompts import training_messages
 from funclab.functions.tokens import TOKENS_PER_MESSAGE, TOKENS_PER_NAME, TOKENS_PER_REPLY, count_pieces
+from funclab.plans.settle import lookup_join, settle
 
 # Error kinds of the format check, roles and message keys.
 ERROR_KINDS = [
@@ -193,7 +194,12 @@ def fine_tune_cost(facts: DataFrame, by=(), max_tokens=MAX_RECORD_TOKENS) -> Dat
 
 
 def chat_overview(chats: DataFrame, by=(), order="row_id", messages="messages") -> DataFrame:
-    """Number of records, and the first one in row order."""
-    return chats.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_examples"), F.min_by(messages, order).alias("first_messages")
+    """Number of records, and the first one in row order.
+
+    The first row is found by its key alone; only then its messages are fetched.
+    """
+    keys = [*by, order]
+    found = settle(chats.groupBy(*by).agg(F.count(F.lit(1)).alias("n_examples"), F.min(order).alias(order)))
+    return lookup_join(chats.select(*keys, F.col(messages).alias("first_messages")), found, keys, spread=order).select(
+        *by, "n_examples", "first_messages"
     )

@@ -13,7 +13,7 @@ from funclab.functions.responses import locate_lines
 from funclab.functions.text import lines_of_code, parse_line_list
 from funclab.operators.metrics import ratio
 from funclab.operators.results import gives_answers, overlap_semi_join
-from funclab.plans.settle import lookup_side, settle
+from funclab.plans.settle import lookup_join, settle, settle_table
 from funclab.schemas import EXPERIMENT_KEYS, RUN_KEYS
 
 TOP_K = (1, 3, 5, 10)
@@ -50,7 +50,7 @@ def line_facts(results: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tu
         predicted_lines().alias("_said"),
     )
     cut = totals.select(*exp, _share_of(F.col("total_lines"), LOC_SHARE).alias("_cut"))
-    joined = hits.join(lookup_side(settle(cut)), list(exp), "left")
+    joined = lookup_join(hits, settle(cut), exp, "left")
     place = F.transform("_said", lambda line, i: F.when(F.array_contains("_truth", line), i + 1))
     in_cut = F.slice("_said", F.lit(1), F.least(F.coalesce("_cut", F.lit(0)), F.size("_said")).cast("int"))
     return joined.select(
@@ -111,10 +111,10 @@ def effort_lines(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tu
         .where(F.col("_goal") > 0)
     )
     width = F.expr(f"(_high - _low) div {int(buckets)} + 1")
-    spans = lookup_side(settle(spans.select(*by, "_goal", "_low", width.alias("_width"))))
+    spans = settle(spans.select(*by, "_goal", "_low", width.alias("_width")))
+    narrow = facts.select(*by, F.col(order).alias("_at"), "n_said", "hit_at")
     placed = (
-        facts.select(*by, F.col(order).alias("_at"), "n_said", "hit_at")
-        .join(spans, by)
+        lookup_join(narrow, spans, by, spread="_at")
         .withColumn("_range", F.expr("(_at - _low) div _width"))
         .drop("_low", "_width")
     )
@@ -135,7 +135,7 @@ def effort_lines(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tu
         .agg(F.max(F.struct("_range", "_hits_before", "_said_before")).alias("_last"))
         .select(*by, "_last.*")
     )
-    inside = placed.join(lookup_side(settle(last)), [*by, "_range"])
+    inside = lookup_join(placed, settle(last), [*by, "_range"], spread="_at")
     above = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     found = F.col("_hits_before") + F.coalesce(F.sum(F.size("hit_at")).over(above), F.lit(0))
     read = (
@@ -168,7 +168,7 @@ def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | Non
     """
     by, exp = list(by), list(exp)
     totals = settle(totals)
-    facts = settle(line_facts(overlap_semi_join(results, overlap, exp), totals, by, exp))
+    facts = settle_table(line_facts(overlap_semi_join(results, overlap, exp), totals, by, exp), "line-facts")
     scores = facts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_true_positives"),
         *_topk_columns(),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from funclab.config import OVERLAP_MODELS, RANKING_FAMILY, SUFFIXES
 from funclab.functions.text import parse_ranking
-from funclab.plans.settle import lookup_side, settle
+from funclab.plans.settle import lookup_join, settle, settle_table
 from funclab.schemas import EXPERIMENT_KEYS, RUN_KEYS
 
 _COMMON = [*RUN_KEYS, "row_id", "processed_func", "flaw_line_index"]
@@ -77,7 +77,8 @@ def overlap_semi_join(results: DataFrame, overlap: DataFrame | None, by=tuple(EX
     if overlap is None:
         return results
     keyed = results.withColumn("func_key", func_key(F.col("processed_func")))
-    return keyed.join(lookup_side(settle(overlap)), [*by, "func_key"], "left_semi").drop("func_key")
+    known = settle_table(overlap.select(*by, "func_key"), "overlap")
+    return lookup_join(keyed, known, [*by, "func_key"], "left_semi").drop("func_key")
 
 
 def experiment_totals(results: DataFrame, model="linevul_undersampling", by=tuple(EXPERIMENT_KEYS)) -> DataFrame:
@@ -104,7 +105,7 @@ def without_skipped(rows: DataFrame, skips: DataFrame | None, by=tuple(EXPERIMEN
     """Drop rows of experiments on the skip list."""
     if skips is None:
         return rows
-    return rows.join(lookup_side(settle(skips.select(*by).distinct())), list(by), "left_anti")
+    return lookup_join(rows, settle(skips.select(*by).distinct()), by, "left_anti")
 
 
 def suffix_name(balance_mode: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funclab.config import EXPERIMENTS, RESAMPLE_SEED, VAL_TEST_RATIO
 from funclab.functions.hashing import draw_int, draw_key
 from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts
-from funclab.plans.settle import lookup_side, settle
+from funclab.plans.settle import lookup_join, settle, settle_table
 
 # A drawn row is copied in pieces of about this many, each a unit of work of its own.
 COPIES_PER_PIECE = 4096
@@ -66,55 +66,69 @@ def _cut_table(keyed, by, ranks, names):
     return table
 
 
-def _split_rows(rows, experiments, by, strata, target, val_test_ratio, key):
-    """Rows of every experiment with their split; see ``stratified_split``."""
+def _split_cuts(ids, seeds, by, strata, val_test_ratio, key):
+    """Per class and experiment: its quotas, and the keys at which train and val end."""
     classes = [*by, strata] if strata else list(by)
-    counts = settle(rows.groupBy(*classes).agg(F.count(F.lit(1)).alias("n_class")))
+    counts = settle(ids.groupBy(*classes).agg(F.count(F.lit(1)).alias("n_class")))
     if strata:
         quotas = split_quotas(counts, by, strata, val_test_ratio)
     else:
         quotas = split_quotas(counts.withColumn("_one", F.lit(0)), [*by, "_one"], "_one", val_test_ratio).drop("_one")
     quotas = quotas.withColumn("_upto_val", F.col("n_train") + F.col("n_val"))
-    seeds = [tuple(row) for row in experiments.select("experiment", "seed").collect()]
-    runs = F.explode(F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(s).alias("seed")) for e, s in seeds]))
-
-    def with_runs(df):
-        out = df.withColumn("_run", runs)
-        return (
-            out.withColumn("experiment", F.col("_run.experiment"))
-            .withColumn("_key", draw_key("split", F.col("_run.seed"), F.col(key)))
-            .drop("_run")
-        )
-
-    keyed = with_runs(rows.select(key, *classes))
     ranks = quotas.withColumn("experiment", F.explode(F.array(*[F.lit(e) for e, _ in seeds])))
+    keyed = _with_runs(ids, seeds, key)
     table = _cut_table(
         keyed, [*classes, "experiment"], ranks, {"_train_cut": "n_train", "_val_cut": "_upto_val"}
-    ).select(*classes, "experiment", "_train_cut", "_val_cut")
-    cuts = lookup_side(settle(table))
+    )
+    return settle(table.select(*classes, "experiment", "_train_cut", "_val_cut", "n_train", "n_val"))
+
+
+def _with_runs(rows, seeds, key):
+    """Each row once per experiment, with its key in that experiment."""
+    runs = F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(s).alias("seed")) for e, s in seeds])
+    return (
+        rows.withColumn("_run", F.explode(runs))
+        .withColumn("experiment", F.col("_run.experiment"))
+        .withColumn("_key", draw_key("split", F.col("_run.seed"), F.col(key)))
+        .drop("_run")
+    )
+
+
+def _place(rows, seeds, cuts, classes, key):
+    """Each row once per experiment, with its split. Every class has a cut row, so no row is lost."""
     split = (
         F.when(F.col("_key") <= F.col("_train_cut"), "train")
         .when(F.col("_key") <= F.col("_val_cut"), "val")
         .otherwise("test")
     )
-    # Groups may be null-free keys only; an inner join keeps every row because each class has a cut row.
-    placed = with_runs(rows).join(cuts, [*classes, "experiment"])
-    return placed.withColumn("split", split).drop("_train_cut", "_val_cut")
+    sides = cuts.select(*classes, "experiment", "_train_cut", "_val_cut")
+    placed = lookup_join(_with_runs(rows, seeds, key), sides, [*classes, "experiment"], spread=key)
+    return placed.withColumn("split", split).drop("_key", "_train_cut", "_val_cut")
+
+
+def _seeds(experiments):
+    """The list of experiments: a handful of ids and seeds."""
+    return [tuple(row) for row in experiments.select("experiment", "seed").collect()]
 
 
 def stratified_split(rows: DataFrame, experiments: DataFrame, by=(), target="target", val_test_ratio=VAL_TEST_RATIO, key="row_id") -> DataFrame:
     """Each row once per experiment, with its ``split``; class shares are kept to the row.
 
     Sizes: val and test together take ceil(ratio * n), test the larger half of it; classes share a
-    size by largest remainder. Runs small passes at once to fix the cuts.
+    size by largest remainder. Small passes over ids run at once to fix the cuts.
     """
-    return _split_rows(rows, experiments, list(by), target, target, val_test_ratio, key).drop("_key")
+    by, seeds = list(by), _seeds(experiments)
+    ids = settle_table(rows.select(key, *by, target), "split-ids")
+    cuts = _split_cuts(ids, seeds, by, target, val_test_ratio, key)
+    return _place(rows, seeds, cuts, [*by, target], key)
 
 
 def plain_split(rows: DataFrame, by=(), seed=0, val_test_ratio=VAL_TEST_RATIO, key="row_id") -> DataFrame:
     """One split of the given sizes, blind to classes. ``big_train`` is every row not in test."""
-    one = experiment_list(rows.sparkSession, [(0, seed)])
-    placed = _split_rows(rows, one, list(by), None, None, val_test_ratio, key).drop("_key", "experiment")
+    by, seeds = list(by), [(0, seed)]
+    ids = settle_table(rows.select(key, *by), "split-ids")
+    cuts = _split_cuts(ids, seeds, by, None, val_test_ratio, key)
+    placed = _place(rows, seeds, cuts, by, key).drop("experiment")
     return placed.withColumn("big_train", F.col("split") != "test")
 
 
@@ -159,10 +173,11 @@ def _require_both_classes(plan, by):
         raise ValueError(f"oversampling needs rows of both classes; missing in {empty[0].asDict()}")
 
 
-def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RESAMPLE_SEED, key="row_id", per_piece=COPIES_PER_PIECE) -> DataFrame:
+def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RESAMPLE_SEED, key="row_id", per_piece=COPIES_PER_PIECE, ids=None) -> DataFrame:
     """The smaller class of each group, redrawn with replacement to the size of the larger.
 
-    ``rows`` must hold one row per group and key. Adds ``copy``, counting the copies of a row.
+    ``rows`` must hold one row per group and key; ``ids`` may give their key, group and class from
+    a cheaper source. Adds ``copy``, counting the copies of a row.
 
     The rows of the larger class act as the draws, so drawing is spread like the data, and draws
     of the same row are counted before they are shuffled. A row with very many copies is copied in
@@ -171,11 +186,12 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
     by = list(by)
     pieces = F.ceil(F.col("_n_major") / (F.col("_n_minor") * F.lit(per_piece))).cast("bigint")
     roles = plan.where(F.col("_n_minor") > 0).withColumn("_pieces", F.greatest(pieces, F.lit(1)))
-    roles = lookup_side(settle(roles.select(*by, target, "_keep_over", "_n_minor", "_pieces")))
+    roles = settle(roles.select(*by, target, "_keep_over", "_n_minor", "_pieces"))
 
-    ids = rows.select(key, *by, target).join(roles, [*by, target])
+    ids = rows if ids is None else ids
+    with_roles = lookup_join(ids.select(key, *by, target), roles, [*by, target], spread=key)
     drawn = (
-        ids.where("_keep_over")
+        with_roles.where("_keep_over")
         .select(
             *by,
             (F.pmod(draw_int("over", seed, F.col(key)), F.col("_n_minor")) + 1).alias("_rank"),
@@ -184,12 +200,12 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
         .groupBy(*by, "_rank", "_piece")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    minor = ids.where(~F.col("_keep_over")).withColumn("_key", draw_key("rank", seed, F.col(key)))
+    minor = with_roles.where(~F.col("_keep_over")).withColumn("_key", draw_key("rank", seed, F.col(key)))
     ranked = exact_rank(minor, by, "_key", name="_rank").select(*by, key, "_rank")
     copies = drawn.join(ranked, [*by, "_rank"]).drop("_rank")
 
     redrawn = roles.where(~F.col("_keep_over")).drop("_keep_over", "_n_minor")
-    texts = rows.join(lookup_side(redrawn), [*by, target]).withColumn(
+    texts = lookup_join(rows, redrawn, [*by, target], spread=key).withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
     )
     return (
@@ -204,7 +220,7 @@ def undersample(rows: DataFrame, by=(), target="target", seed=RESAMPLE_SEED, key
     """Both classes down to the smaller one's size, without replacement."""
     by = list(by)
     plan = resampling_plan(rows, by, target, seed, key).select(*by, target, "_under_cut")
-    marked = rows.join(lookup_side(settle(plan)), [*by, target])
+    marked = lookup_join(rows, settle(plan), [*by, target], spread=key)
     return marked.where(draw_key("under", seed, F.col(key)) <= F.col("_under_cut")).drop("_under_cut")
 
 
@@ -218,8 +234,8 @@ def oversample(rows: DataFrame, by=(), target="target", seed=RESAMPLE_SEED, key=
     plan = settle(resampling_plan(rows, by, target, seed, key))
     if require_both:
         _require_both_classes(plan, by)
-    keep = lookup_side(settle(plan.where(F.col("_keep_over") | (F.col("_n_minor") == 0)).select(*by, target)))
-    whole = rows.join(keep, [*by, target]).withColumn("copy", F.lit(0).cast("bigint"))
+    keep = plan.where(F.col("_keep_over") | (F.col("_n_minor") == 0)).select(*by, target)
+    whole = lookup_join(rows, keep, [*by, target], spread=key).withColumn("copy", F.lit(0).cast("bigint"))
     return whole.unionByName(redrawn_rows(rows, plan, by, target, seed, key, per_piece).select(*whole.columns))
 
 
@@ -229,16 +245,21 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
     Adds ``experiment``, ``variant`` and ``copy`` (0 but for redrawn rows). Test is not resampled.
     The texts are read once for everything but the redrawn rows.
     """
-    by = list(by)
-    placed = stratified_split(rows, runs, by, target, val_test_ratio, key)
-    groups = [*by, "experiment", "split"]
-    fit = placed.where(F.col("split") != "test")
-    plan = settle(resampling_plan(fit, groups, target, seed, key))
+    by, seeds = list(by), _seeds(runs)
+    classes, groups = [*by, target], [*by, "experiment", "split"]
+    ids = settle_table(rows.select(key, *classes), "experiment-ids")
+    cuts = _split_cuts(ids, seeds, by, target, val_test_ratio, key)
+
+    sizes = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"n_{s}").alias("n_class")) for s in ("train", "val")]))
+    counts = cuts.select(*classes, "experiment", sizes.alias("_s")).select(*classes, "experiment", "_s.*")
+    fit_ids = _place(ids, seeds, cuts, classes, key).where(F.col("split") != "test")
+    plan = settle(resampling_plan(fit_ids, groups, target, seed, key, counts.where("n_class > 0")))
     if require_both:
         _require_both_classes(plan, groups)
+
     keep = F.col("_keep_over") | (F.col("_n_minor") == 0)
     marks = plan.select(*groups, target, "_under_cut", keep.alias("_whole"))
-    marked = placed.join(lookup_side(settle(marks)), [*groups, target], "left")
+    marked = lookup_join(_place(rows, seeds, cuts, classes, key), marks, [*groups, target], "left", spread=key)
     under = draw_key("under", seed, F.col(key)) <= F.col("_under_cut")
     frames = F.array_compact(
         F.array(
@@ -252,7 +273,10 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
         .drop("_under_cut", "_whole", "split")
         .withColumn("copy", F.lit(0).cast("bigint"))
     )
-    again = redrawn_rows(fit, plan, groups, target, seed, key)
+
+    smaller = plan.where(~F.col("_keep_over") & (F.col("_n_minor") > 0)).select(*classes).distinct()
+    fit = _place(lookup_join(rows, settle(smaller), classes, "left_semi", spread=key), seeds, cuts, classes, key)
+    again = redrawn_rows(fit.where(F.col("split") != "test"), plan, groups, target, seed, key, ids=fit_ids)
     again = again.withColumn("variant", F.concat(F.col("split"), F.lit("_oversampling"))).drop("split")
     return once.unionByName(again.select(*once.columns))
 

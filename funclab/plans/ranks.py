@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funclab.plans.settle import lookup_side, settle
+from funclab.plans.settle import lookup_join, settle
 
 # Four hex digits: 65,536 buckets per group, so a group of 10^10 rows sorts 150,000 at a time.
 PREFIX_DIGITS = 4
@@ -39,8 +39,8 @@ def key_cuts(rows: DataFrame, by, key, wanted: DataFrame, digits=PREFIX_DIGITS)
         .where((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_n")))
         .select(*by, "_bucket", "rank", (F.col("rank") - F.col("_before")).alias("_local"))
     )
-    hits = lookup_side(settle(hits))
-    near = rows.withColumn("_bucket", F.substring(key, 1, digits)).join(hits, [*by, "_bucket"])
+    bucketed = rows.withColumn("_bucket", F.substring(key, 1, digits))
+    near = lookup_join(bucketed, settle(hits), [*by, "_bucket"], spread=key)
     order = Window.partitionBy(*by, "rank").orderBy(key)
     return (
         near.withColumn("_at", F.row_number().over(order))

@@ -2,7 +2,7 @@
 
 A table of cuts, totals or prompt blocks has a row per group and experiment. It is nearly always
 tiny, but nothing proves it, so it is counted before it is broadcast; when it is over the bound
-the same join runs as a shuffle join, and adaptive execution splits the hot keys.
+the same join runs as a salted shuffle join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,16 +37,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; a lost executor costs a re-read, not a re-run."""
+    """Compute a small table once and cut its lineage; a lost executor costs a re-read, not a re-run."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def lookup_side(settled: DataFrame, max_rows=MAX_BROADCAST_ROWS, max_bytes=MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark a settled table for broadcast if its rows and its text fit the bounds."""
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """The same for a table that grows with the data: written as Parquet in the shared folder.
+
+    Later passes read only the columns they use. The folder is not removed here.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(settled: DataFrame, max_rows=None, max_bytes=None) -> bool:
+    """True where the rows and the text of a settled table are within the bounds."""
     widths = [F.octet_length(name) for name, kind in settled.dtypes if kind == "string"]
     text = sum((F.coalesce(w, F.lit(0)).cast("bigint") for w in widths), F.lit(0).cast("bigint"))
     rows, size = settled.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
-    if rows <= max_rows and size <= max_bytes:
-        return F.broadcast(settled)
-    return settled
+    return rows <= (max_rows or MAX_BROADCAST_ROWS) and size <= (max_bytes or MAX_BROADCAST_BYTES)
+
+
+def lookup_join(rows: DataFrame, settled: DataFrame, on, how="inner", spread="row_id") -> DataFrame:
+    """Join rows of any number with a settled table that is expected to be small.
+
+    Within the bounds the table is broadcast and the rows stay where they are. Beyond them both
+    sides are shuffled, and as one key may hold a third of all rows, each key is cut into
+    ``SALTS`` parts by the ``spread`` column and the table is repeated for each part.
+    """
+    on = list(on)
+    if fits_broadcast(settled):
+        return rows.join(F.broadcast(settled), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    repeated = settled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

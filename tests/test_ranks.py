@@ -33,15 +33,20 @@ def test_draws_are_stable_and_not_negative(spark):
     assert got.where("d < 0").count() == 0 and got.distinct().count() == 1000
 
 
-def hinted(df):
-    return "ResolvedHint (strategy=broadcast)" in df._jdf.queryExecution().analyzed().toString()
-
-
-def test_only_checked_tables_are_broadcast(spark):
-    small = settling.settle(rows(spark, 100))
-    assert hinted(settling.lookup_side(small))
-    assert not hinted(settling.lookup_side(small, max_rows=99))
-    assert not hinted(settling.lookup_side(small, max_bytes=100 * 32 - 1))
+def test_only_checked_tables_are_broadcast(spark, monkeypatch):
+    big, small = rows(spark), settling.settle(rows(spark, 300).select("key", F.lit(1).alias("found")))
+    assert settling.fits_broadcast(small)
+    assert not settling.fits_broadcast(small, max_rows=299)
+    assert not settling.fits_broadcast(small, max_bytes=300 * 32 - 1)
+    plain = settling.lookup_join(big, small, ["key"], "left", spread="id")
+    assert "BroadcastHashJoin" in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 10)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        salted = settling.lookup_join(big, small, ["key"], how, spread="id")
+        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+        want = big.join(small, ["key"], how)
+        assert salted.columns == want.columns
+        assert salted.exceptAll(want).count() == 0 and salted.count() == want.count()
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):

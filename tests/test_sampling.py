@@ -70,8 +70,7 @@ def test_split_does_not_depend_on_partitions(spark, clean):
 def test_split_without_broadcast_is_the_same(spark, clean, monkeypatch):
     runs = sampling.experiment_list(spark, [(1, 1)])
     small = sampling.experiments(clean, runs)
-    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 0)
-    monkeypatch.setattr(settling.lookup_side, "__defaults__", (0, 0))
+    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 1)
     large = sampling.experiments(clean, runs)
     assert small.exceptAll(large).count() == 0 and small.count() == large.count()
 
