@@ -98,15 +98,10 @@ def _nested_tokens_udf(code: pd.Series, language: pd.Series) -> pd.Series:
 
 def _may_nest(code: Column, language: Column) -> Column:
     """True where some ``/*`` is followed by another before any ``*/``."""
+    opened = F.octet_length(code) - F.octet_length(F.replace(code, F.lit("/*"), F.lit("")))
     pieces = F.split(code, r"/\*")
     inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
-    twice = F.instr(F.substring(code, F.instr(code, "/*") + 2, 1 << 30), "/*") > 0
-    return (
-        language.isin(_NESTING)
-        & code.contains("/*")
-        & twice
-        & F.exists(inner, lambda piece: ~piece.contains("*/"))
-    )
+    return language.isin(_NESTING) & (opened >= 4) & F.exists(inner, lambda piece: ~piece.contains("*/"))
 
 
 def _has_comment_sign(code: Column, language: Column) -> Column:

@@ -15,7 +15,7 @@ PYTHON_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # What str.splitlines() splits at, apart from the newline itself.
-_LINE_BREAKS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def strip(text: Column) -> Column:
@@ -28,7 +28,11 @@ def is_blank(text: Column) -> Column:
 
 
 def unify_line_breaks(text: Column) -> Column:
-    return F.regexp_replace(text, _LINE_BREAKS, "\n")
+    """Make every line break a ``\\n``. Texts without another break, nearly all, skip the pattern."""
+    found = text.contains(OTHER_BREAKS[0])
+    for char in OTHER_BREAKS[1:]:
+        found = found | text.contains(char)
+    return F.when(found, F.regexp_replace(text, f"\r\n|[{OTHER_BREAKS}]", "\n")).otherwise(text)
 
 
 def drop_final_newline(text: Column) -> Column:
