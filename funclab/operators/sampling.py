@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from funclab.config import EXPERIMENTS, RESAMPLE_SEED, VAL_TEST_RATIO
 from funclab.functions.hashing import draw_int, draw_key
-from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts
+from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts, prefix_digits
 from funclab.plans.settle import lookup_join, settle, settle_table
 
 # A drawn row is copied in pieces of about this many, each a unit of work of its own.
@@ -52,13 +52,17 @@ def split_quotas(counts: DataFrame, by, target="target", val_test_ratio=VAL_TEST
     return val.withColumn("n_test", F.col("_n_left") - F.col("n_val")).drop("_size_train", "_size_val", "_n_left")
 
 
-def _cut_table(keyed, by, ranks, names):
-    """One row per group; ``ranks`` maps each new cut column to its rank column in ``names``."""
+def _largest(counts, column):
+    return counts.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+
+
+def _cut_table(keyed, by, ranks, names, largest):
+    """One row per group; ``names`` maps each new cut column to its rank column in ``ranks``."""
     wanted = None
     for rank in names.values():
         one = ranks.select(*by, F.col(rank).cast("bigint").alias("rank")).where(F.col("rank") > 0)
         wanted = one if wanted is None else wanted.union(one)
-    cuts = settle(key_cuts(keyed, by, "_key", wanted.distinct()))
+    cuts = settle(key_cuts(keyed, by, "_key", wanted.distinct(), prefix_digits(largest)))
     table = ranks
     for name, rank in names.items():
         mine = cuts.select(*by, F.col("rank").alias(rank), F.col("cut").alias(name))
@@ -66,44 +70,61 @@ def _cut_table(keyed, by, ranks, names):
     return table
 
 
+def _require_keys(counts, names):
+    """Equi-joins drop null keys, so a null group or class is refused."""
+    null = F.greatest(*[F.col(n).isNull() for n in names], F.lit(False))
+    if counts.where(null).limit(1).count():
+        raise ValueError(f"null in {', '.join(names)}")
+
+
 def _split_cuts(ids, seeds, by, strata, val_test_ratio, key):
-    """Per class and experiment: its quotas, and the keys at which train and val end."""
+    """Per class and experiment: its seed and quotas, and the keys at which train and val end."""
     classes = [*by, strata] if strata else list(by)
     counts = settle(ids.groupBy(*classes).agg(F.count(F.lit(1)).alias("n_class")))
+    _require_keys(counts, classes)
     if strata:
         quotas = split_quotas(counts, by, strata, val_test_ratio)
     else:
         quotas = split_quotas(counts.withColumn("_one", F.lit(0)), [*by, "_one"], "_one", val_test_ratio).drop("_one")
-    quotas = quotas.withColumn("_upto_val", F.col("n_train") + F.col("n_val"))
-    ranks = quotas.withColumn("experiment", F.explode(F.array(*[F.lit(e) for e, _ in seeds])))
-    keyed = _with_runs(ids, seeds, key)
-    table = _cut_table(
-        keyed, [*classes, "experiment"], ranks, {"_train_cut": "n_train", "_val_cut": "_upto_val"}
+    runs = F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(s).alias("seed")) for e, s in seeds])
+    ranks = (
+        quotas.withColumn("_upto_val", F.col("n_train") + F.col("n_val"))
+        .withColumn("_run", F.explode(runs))
+        .select(*classes, "_run.experiment", "_run.seed", "n_train", "n_val", "_upto_val")
     )
-    return settle(table.select(*classes, "experiment", "_train_cut", "_val_cut", "n_train", "n_val"))
+    keyed = _per_run(ids, _by_class(ranks, classes, "seed"), classes, key).select(*classes, "_run.experiment", "_key")
+    names = {"_train_cut": "n_train", "_val_cut": "_upto_val"}
+    return settle(_cut_table(keyed, [*classes, "experiment"], ranks, names, _largest(counts, "n_class")))
 
 
-def _with_runs(rows, seeds, key):
-    """Each row once per experiment, with its key in that experiment."""
-    runs = F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(s).alias("seed")) for e, s in seeds])
-    return (
-        rows.withColumn("_run", F.explode(runs))
-        .withColumn("experiment", F.col("_run.experiment"))
-        .withColumn("_key", draw_key("split", F.col("_run.seed"), F.col(key)))
-        .drop("_run")
-    )
+def _by_class(table, classes, *columns):
+    """One row per class with its runs in a list, as long as the list of experiments."""
+    runs = F.array_sort(F.collect_list(F.struct("experiment", *columns)))
+    return settle(table.groupBy(*classes).agg(runs.alias("_runs")))
+
+
+def _per_run(rows, runs, classes, key):
+    """Each row once per run of its class, with ``_run`` and its ``_key`` there.
+
+    The join happens before the rows are multiplied. Every class has its runs, so no row is lost.
+    """
+    joined = lookup_join(rows, runs, classes, spread=key)
+    each = joined.withColumn("_run", F.explode("_runs")).drop("_runs")
+    return each.withColumn("_key", draw_key("split", F.col("_run.seed"), F.col(key)))
+
+
+_CUTS = ["seed", "_train_cut", "_val_cut"]
 
 
-def _place(rows, seeds, cuts, classes, key):
-    """Each row once per experiment, with its split. Every class has a cut row, so no row is lost."""
+def _place(rows, runs, classes, key):
+    """Each row once per experiment, with its split; ``_run`` stays."""
     split = (
-        F.when(F.col("_key") <= F.col("_train_cut"), "train")
-        .when(F.col("_key") <= F.col("_val_cut"), "val")
+        F.when(F.col("_key") <= F.col("_run._train_cut"), "train")
+        .when(F.col("_key") <= F.col("_run._val_cut"), "val")
         .otherwise("test")
     )
-    sides = cuts.select(*classes, "experiment", "_train_cut", "_val_cut")
-    placed = lookup_join(_with_runs(rows, seeds, key), sides, [*classes, "experiment"], spread=key)
-    return placed.withColumn("split", split).drop("_key", "_train_cut", "_val_cut")
+    placed = _per_run(rows, runs, classes, key).withColumn("experiment", F.col("_run.experiment"))
+    return placed.withColumn("split", split).drop("_key")
 
 
 def _seeds(experiments):
@@ -111,25 +132,27 @@ def _seeds(experiments):
     return [tuple(row) for row in experiments.select("experiment", "seed").collect()]
 
 
+def _split(rows, seeds, by, strata, val_test_ratio, key):
+    classes = [*by, strata] if strata else list(by)
+    ids = settle_table(rows.select(key, *classes), "split-ids")
+    cuts = _split_cuts(ids, seeds, by, strata, val_test_ratio, key)
+    return _place(rows, _by_class(cuts, classes, *_CUTS), classes, key).drop("_run")
+
+
 def stratified_split(rows: DataFrame, experiments: DataFrame, by=(), target="target", val_test_ratio=VAL_TEST_RATIO, key="row_id") -> DataFrame:
     """Each row once per experiment, with its ``split``; class shares are kept to the row.
 
     Sizes: val and test together take ceil(ratio * n), test the larger half of it; classes share a
     size by largest remainder. Small passes over ids run at once to fix the cuts.
     """
-    by, seeds = list(by), _seeds(experiments)
-    ids = settle_table(rows.select(key, *by, target), "split-ids")
-    cuts = _split_cuts(ids, seeds, by, target, val_test_ratio, key)
-    return _place(rows, seeds, cuts, [*by, target], key)
+    return _split(rows, _seeds(experiments), list(by), target, val_test_ratio, key)
 
 
 def plain_split(rows: DataFrame, by=(), seed=0, val_test_ratio=VAL_TEST_RATIO, key="row_id") -> DataFrame:
     """One split of the given sizes, blind to classes. ``big_train`` is every row not in test."""
-    by, seeds = list(by), [(0, seed)]
-    ids = settle_table(rows.select(key, *by), "split-ids")
-    cuts = _split_cuts(ids, seeds, by, None, val_test_ratio, key)
-    placed = _place(rows, seeds, cuts, by, key).drop("experiment")
-    return placed.withColumn("big_train", F.col("split") != "test")
+    grouped = rows if by else rows.withColumn("_all", F.lit(0))
+    placed = _split(grouped, [(0, seed)], list(by) or ["_all"], None, val_test_ratio, key)
+    return placed.drop("experiment", "_all").withColumn("big_train", F.col("split") != "test")
 
 
 def _class_sizes(counts, by, target):
@@ -148,6 +171,7 @@ def resampling_plan(rows: DataFrame, by, target="target", seed=RESAMPLE_SEED, ke
     by = list(by)
     if counts is None:
         counts = settle(rows.groupBy(*by, target).agg(F.count(F.lit(1)).alias("n_class")))
+        _require_keys(counts, [*by, target])
     sizes = _class_sizes(counts, by, target)
     smaller = F.least("_n0", "_n1")
     redrawn = F.when(F.col("_n1") < F.col("_n0"), 1).otherwise(0)
@@ -155,7 +179,7 @@ def resampling_plan(rows: DataFrame, by, target="target", seed=RESAMPLE_SEED, ke
         "_rank", F.when(smaller < F.col("n_class"), smaller).otherwise(F.lit(0))
     )
     keyed = rows.select(key, *by, target).withColumn("_key", draw_key("under", seed, F.col(key)))
-    table = _cut_table(keyed, [*by, target], plan, {"_cut": "_rank"})
+    table = _cut_table(keyed, [*by, target], plan, {"_cut": "_rank"}, _largest(counts, "n_class"))
     whole = F.col("_take") == F.col("n_class")
     return table.select(
         *by,
@@ -173,11 +197,16 @@ def _require_both_classes(plan, by):
         raise ValueError(f"oversampling needs rows of both classes; missing in {empty[0].asDict()}")
 
 
+def _with_draws(ids, seed, key):
+    """The number a row of the larger class draws; it picks a row of the smaller one."""
+    return ids.withColumn("_draw", draw_int("over", seed, F.col(key)))
+
+
 def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RESAMPLE_SEED, key="row_id", per_piece=COPIES_PER_PIECE, ids=None) -> DataFrame:
     """The smaller class of each group, redrawn with replacement to the size of the larger.
 
-    ``rows`` must hold one row per group and key; ``ids`` may give their key, group and class from
-    a cheaper source. Adds ``copy``, counting the copies of a row.
+    ``rows`` must hold one row per group and key; ``ids`` may give their key, group, class and
+    draw from a cheaper source. Adds ``copy``, counting the copies of a row.
 
     The rows of the larger class act as the draws, so drawing is spread like the data, and draws
     of the same row are counted before they are shuffled. A row with very many copies is copied in
@@ -188,20 +217,24 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
     roles = plan.where(F.col("_n_minor") > 0).withColumn("_pieces", F.greatest(pieces, F.lit(1)))
     roles = settle(roles.select(*by, target, "_keep_over", "_n_minor", "_pieces"))
 
-    ids = rows if ids is None else ids
-    with_roles = lookup_join(ids.select(key, *by, target), roles, [*by, target], spread=key)
+    if ids is None:
+        ids = _with_draws(rows.select(key, *by, target), seed, key)
+    with_roles = lookup_join(ids, roles, [*by, target], spread=key)
+    piece = F.pmod(draw_int("piece", seed, F.col(key)), F.col("_pieces"))
     drawn = (
         with_roles.where("_keep_over")
         .select(
             *by,
-            (F.pmod(draw_int("over", seed, F.col(key)), F.col("_n_minor")) + 1).alias("_rank"),
-            F.pmod(draw_int("piece", seed, F.col(key)), F.col("_pieces")).alias("_piece"),
+            (F.pmod("_draw", "_n_minor") + 1).alias("_rank"),
+            F.when(F.col("_pieces") == 1, 0).otherwise(piece).alias("_piece"),
         )
         .groupBy(*by, "_rank", "_piece")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    minor = with_roles.where(~F.col("_keep_over")).withColumn("_key", draw_key("rank", seed, F.col(key)))
-    ranked = exact_rank(minor, by, "_key", name="_rank").select(*by, key, "_rank")
+    minor = with_roles.where(~F.col("_keep_over")).drop("_draw")
+    minor = minor.withColumn("_key", draw_key("rank", seed, F.col(key)))
+    digits = prefix_digits(_largest(roles, "_n_minor"))
+    ranked = exact_rank(minor, by, "_key", name="_rank", digits=digits).select(*by, key, "_rank")
     copies = drawn.join(ranked, [*by, "_rank"]).drop("_rank")
 
     redrawn = roles.where(~F.col("_keep_over")).drop("_keep_over", "_n_minor")
@@ -245,39 +278,49 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
     Adds ``experiment``, ``variant`` and ``copy`` (0 but for redrawn rows). Test is not resampled.
     The texts are read once for everything but the redrawn rows.
     """
-    by, seeds = list(by), _seeds(runs)
+    by = list(by)
     classes, groups = [*by, target], [*by, "experiment", "split"]
-    ids = settle_table(rows.select(key, *classes), "experiment-ids")
-    cuts = _split_cuts(ids, seeds, by, target, val_test_ratio, key)
+    ids = settle_table(_with_draws(rows.select(key, *classes), seed, key), "experiment-ids")
+    cuts = _split_cuts(ids, _seeds(runs), by, target, val_test_ratio, key)
 
     sizes = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"n_{s}").alias("n_class")) for s in ("train", "val")]))
     counts = cuts.select(*classes, "experiment", sizes.alias("_s")).select(*classes, "experiment", "_s.*")
-    fit_ids = _place(ids, seeds, cuts, classes, key).where(F.col("split") != "test")
+    fit_ids = _place(ids, _by_class(cuts, classes, *_CUTS), classes, key).drop("_run").where(F.col("split") != "test")
     plan = settle(resampling_plan(fit_ids, groups, target, seed, key, counts.where("n_class > 0")))
     if require_both:
         _require_both_classes(plan, groups)
 
     keep = F.col("_keep_over") | (F.col("_n_minor") == 0)
-    marks = plan.select(*groups, target, "_under_cut", keep.alias("_whole"))
-    marked = lookup_join(_place(rows, seeds, cuts, classes, key), marks, [*groups, target], "left", spread=key)
-    under = draw_key("under", seed, F.col(key)) <= F.col("_under_cut")
+    of = lambda split, column: F.max(F.when(F.col("split") == split, column))
+    marks = plan.groupBy(*classes, "experiment").agg(
+        *[of(s, F.col("_under_cut")).alias(f"_{s}_under") for s in ("train", "val")],
+        *[of(s, keep).alias(f"_{s}_whole") for s in ("train", "val")],
+    )
+    marked = cuts.join(marks, [*classes, "experiment"], "left")
+    steering = _by_class(marked, classes, *_CUTS, *[c for c in marks.columns if c not in (*classes, "experiment")])
+    keyed = rows.withColumn("_under_key", draw_key("under", seed, F.col(key)))
+    placed = _place(keyed, steering, classes, key)
+
+    split = F.col("split")
+    mine = lambda mark: F.when(split == "train", F.col(f"_run._train_{mark}")).when(split == "val", F.col(f"_run._val_{mark}"))
     frames = F.array_compact(
         F.array(
-            F.col("split"),
-            F.when(under, F.concat(F.col("split"), F.lit("_undersampling"))),
-            F.when(F.col("_whole"), F.concat(F.col("split"), F.lit("_oversampling"))),
+            split,
+            F.when(F.col("_under_key") <= mine("under"), F.concat(split, F.lit("_undersampling"))),
+            F.when(mine("whole"), F.concat(split, F.lit("_oversampling"))),
         )
     )
     once = (
-        marked.withColumn("variant", F.explode(frames))
-        .drop("_under_cut", "_whole", "split")
+        placed.withColumn("variant", F.explode(frames))
+        .drop("_under_key", "_run", "split")
         .withColumn("copy", F.lit(0).cast("bigint"))
     )
 
-    smaller = plan.where(~F.col("_keep_over") & (F.col("_n_minor") > 0)).select(*classes).distinct()
-    fit = _place(lookup_join(rows, settle(smaller), classes, "left_semi", spread=key), seeds, cuts, classes, key)
-    again = redrawn_rows(fit.where(F.col("split") != "test"), plan, groups, target, seed, key, ids=fit_ids)
-    again = again.withColumn("variant", F.concat(F.col("split"), F.lit("_oversampling"))).drop("split")
+    redrawn = plan.where(~F.col("_keep_over") & (F.col("_n_minor") > 0)).select(*classes, "experiment").distinct()
+    again_in = cuts.join(redrawn, [*classes, "experiment"], "left_semi")
+    fit = _place(rows, _by_class(again_in, classes, *_CUTS), classes, key).drop("_run").where(split != "test")
+    again = redrawn_rows(fit, plan, groups, target, seed, key, ids=fit_ids)
+    again = again.withColumn("variant", F.concat(split, F.lit("_oversampling"))).drop("split")
     return once.unionByName(again.select(*once.columns))
 
 
@@ -285,4 +328,5 @@ def shuffled(rows: DataFrame, by=(), seed=RESAMPLE_SEED, key="row_id", copy=None
     """Add the seeded ``shuffle_key`` and the ``position`` it gives a row in its group."""
     parts = [F.col(key)] + ([F.col(copy)] if copy else [])
     keyed = rows.withColumn("shuffle_key", draw_key("order", seed, *parts))
-    return exact_rank(keyed, list(by), "shuffle_key", name="position")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return exact_rank(keyed, list(by), "shuffle_key", name="position", digits=prefix_digits(_largest(sizes, "n")))

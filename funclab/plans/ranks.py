@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 
 from funclab.plans.settle import lookup_join, settle
 
-# Four hex digits: 65,536 buckets per group, so a group of 10^10 rows sorts 150,000 at a time.
-PREFIX_DIGITS = 4
+# About how many rows are sorted together, and the most digits: a million buckets per group.
+ROWS_PER_BUCKET = 8_192
+MAX_DIGITS = 5
 
 # Sorts after every hex key, and before it: "everything" and "nothing" as cuts.
 AFTER_ALL = "g"
 BEFORE_ALL = ""
 
 
+def prefix_digits(largest_group: int) -> int:
+    """How many hex digits make a bucket, so that buckets are small and not more than needed."""
+    digits = 1
+    while digits < MAX_DIGITS and largest_group > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def _bucket_counts(rows, by, key, digits):
     bucket = F.substring(key, 1, digits).alias("_bucket")
     counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
@@ -27,8 +36,8 @@ def _bucket_counts(rows, by, key, digits):
     return counts.withColumn("_before", upto - F.col("_n"))
 
 
-def key_cuts(rows: DataFrame, by, key, wanted: DataFrame, digits=PREFIX_DIGITS) -> DataFrame:
-    """The k-th smallest key of each group.
+def key_cuts(rows: DataFrame, by, key, wanted: DataFrame, digits: int) -> DataFrame:
+    """The k-th smallest key of each group; ``digits`` as from ``prefix_digits``.
 
     ``wanted`` is small and holds the group columns and ``rank`` (1-based, several per group
     allowed); the answer adds ``cut``. Keys must not repeat inside a group.
@@ -49,7 +58,7 @@ def key_cuts(rows: DataFrame, by, key, wanted: DataFrame, digits=PREFIX_DIGITS)
     )
 
 
-def exact_rank(rows: DataFrame, by, key, name="rank", digits=PREFIX_DIGITS) -> DataFrame:
+def exact_rank(rows: DataFrame, by, key, name="rank", *, digits: int) -> DataFrame:
     """Add the 1-based rank of each row inside its group, in key order."""
     counts = _bucket_counts(rows, by, key, digits).drop("_n")
     bucketed = rows.withColumn("_bucket", F.substring(key, 1, digits))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# A listed run of an experiment: ids and a few 32-digit cuts.
+BYTES_PER_LISTED = 256
 SALTS = 64
 
 
@@ -53,8 +55,9 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def fits_broadcast(settled: DataFrame, max_rows=None, max_bytes=None) -> bool:
-    """True where the rows and the text of a settled table are within the bounds."""
+    """True where the rows, and the texts and lists in them, are within the bounds."""
     widths = [F.octet_length(name) for name, kind in settled.dtypes if kind == "string"]
+    widths += [F.size(name) * BYTES_PER_LISTED for name, kind in settled.dtypes if kind.startswith("array")]
     text = sum((F.coalesce(w, F.lit(0)).cast("bigint") for w in widths), F.lit(0).cast("bigint"))
     rows, size = settled.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
     return rows <= (max_rows or MAX_BROADCAST_ROWS) and size <= (max_bytes or MAX_BROADCAST_BYTES)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from funclab.functions.hashing import draw_int, draw_key
 from funclab.plans import settle as settling
-from funclab.plans.ranks import exact_rank, key_cuts
+from funclab.plans.ranks import exact_rank, key_cuts, prefix_digits
 
 
 def rows(spark, n=4000):
@@ -26,6 +26,10 @@ def test_key_cuts_are_order_statistics(spark):
     assert got == {(g, k): keys[g][k - 1] for g, k in [(0, 1), (0, 2666), (1, 700), (1, 701)]}
 
 
+def test_digits_follow_the_group_size():
+    assert [prefix_digits(n) for n in (0, 131_072, 131_073, 10**9, 10**12)] == [1, 1, 2, 5, 5]
+
+
 def test_draws_are_stable_and_not_negative(spark):
     got = spark.range(1000).select(draw_int("a", 1, F.col("id")).alias("d"))
     again = spark.range(1000).repartition(7).select(draw_int("a", 1, F.col("id")).alias("d"))

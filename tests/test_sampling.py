@@ -156,6 +156,14 @@ def test_experiments_refuse_an_empty_class(spark, clean):
         sampling.experiments(clean.where("target = 0"), runs)
 
 
+def test_null_groups_are_refused(spark, clean):
+    rows = clean.withColumn("language", F.when(F.col("row_id") != 5, F.col("language")))
+    with pytest.raises(ValueError, match="null in language"):
+        sampling.stratified_split(rows, sampling.experiment_list(spark, [(0, 0)]), ["language"])
+    with pytest.raises(ValueError, match="null in language"):
+        sampling.undersample(rows, ["language"])
+
+
 def test_shuffled_positions(spark, clean):
     rows = sampling.shuffled(clean, ["language"]).collect()
     for lang in ("kotlin", "rust"):
