@@ -205,8 +205,9 @@ def _with_draws(ids, seed, key):
 def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RESAMPLE_SEED, key="row_id", per_piece=COPIES_PER_PIECE, ids=None) -> DataFrame:
     """The smaller class of each group, redrawn with replacement to the size of the larger.
 
-    ``rows`` must hold one row per group and key; ``ids`` may give their key, group, class and
-    draw from a cheaper source. Adds ``copy``, counting the copies of a row.
+    ``rows`` must hold one row per group and key. Adds ``copy``, counting the copies of a row.
+    ``ids`` may give key, group and class from a cheaper source: a pair of frames, one that has
+    all rows of larger classes with their ``_draw``, and one that has all rows of smaller classes.
 
     The rows of the larger class act as the draws, so drawing is spread like the data, and draws
     of the same row are counted before they are shuffled. A row with very many copies is copied in
@@ -217,12 +218,13 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
     roles = plan.where(F.col("_n_minor") > 0).withColumn("_pieces", F.greatest(pieces, F.lit(1)))
     roles = settle(roles.select(*by, target, "_keep_over", "_n_minor", "_pieces"))
 
-    if ids is None:
-        ids = _with_draws(rows.select(key, *by, target), seed, key)
-    with_roles = lookup_join(ids, roles, [*by, target], spread=key)
+    narrow = rows.select(key, *by, target)
+    larger, smaller = ids or (_with_draws(narrow, seed, key), narrow)
+    keeps = roles.where("_keep_over").drop("_keep_over")
+    redrawn = roles.where(~F.col("_keep_over")).drop("_keep_over", "_n_minor")
     piece = F.pmod(draw_int("piece", seed, F.col(key)), F.col("_pieces"))
     drawn = (
-        with_roles.where("_keep_over")
+        lookup_join(larger, keeps, [*by, target], spread=key)
         .select(
             *by,
             (F.pmod("_draw", "_n_minor") + 1).alias("_rank"),
@@ -231,13 +233,12 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
         .groupBy(*by, "_rank", "_piece")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    minor = with_roles.where(~F.col("_keep_over")).drop("_draw")
+    minor = lookup_join(smaller.select(key, *by, target), redrawn, [*by, target], spread=key)
     minor = minor.withColumn("_key", draw_key("rank", seed, F.col(key)))
     digits = prefix_digits(_largest(roles, "_n_minor"))
     ranked = exact_rank(minor, by, "_key", name="_rank", digits=digits).select(*by, key, "_rank")
     copies = drawn.join(ranked, [*by, "_rank"]).drop("_rank")
 
-    redrawn = roles.where(~F.col("_keep_over")).drop("_keep_over", "_n_minor")
     texts = lookup_join(rows, redrawn, [*by, target], spread=key).withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
     )
@@ -303,23 +304,28 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
 
     split = F.col("split")
     mine = lambda mark: F.when(split == "train", F.col(f"_run._train_{mark}")).when(split == "val", F.col(f"_run._val_{mark}"))
-    frames = F.array_compact(
-        F.array(
-            split,
-            F.when(F.col("_under_key") <= mine("under"), F.concat(split, F.lit("_undersampling"))),
-            F.when(mine("whole"), F.concat(split, F.lit("_oversampling"))),
-        )
+    frames = F.array(
+        split,
+        F.when(F.col("_under_key") <= mine("under"), F.concat(split, F.lit("_undersampling"))),
+        F.when(mine("whole"), F.concat(split, F.lit("_oversampling"))),
     )
+    # A filter after explode() stays in generated code; array_compact() before it would not.
     once = (
         placed.withColumn("variant", F.explode(frames))
+        .where(F.col("variant").isNotNull())
         .drop("_under_key", "_run", "split")
         .withColumn("copy", F.lit(0).cast("bigint"))
     )
 
-    redrawn = plan.where(~F.col("_keep_over") & (F.col("_n_minor") > 0)).select(*classes, "experiment").distinct()
-    again_in = cuts.join(redrawn, [*classes, "experiment"], "left_semi")
-    fit = _place(rows, _by_class(again_in, classes, *_CUTS), classes, key).drop("_run").where(split != "test")
-    again = redrawn_rows(fit, plan, groups, target, seed, key, ids=fit_ids)
+    def in_role(source, role):
+        """Rows of the classes that have a role in some split, in the runs where they have it."""
+        has_role = plan.where(role & (F.col("_n_minor") > 0)).select(*classes, "experiment").distinct()
+        mine = cuts.join(has_role, [*classes, "experiment"], "left_semi")
+        return _place(source, _by_class(mine, classes, *_CUTS), classes, key).drop("_run").where(split != "test")
+
+    larger, smaller = F.col("_keep_over"), ~F.col("_keep_over")
+    pair = in_role(ids, larger), in_role(ids.drop("_draw"), smaller)
+    again = redrawn_rows(in_role(rows, smaller), plan, groups, target, seed, key, ids=pair)
     again = again.withColumn("variant", F.concat(split, F.lit("_oversampling"))).drop("split")
     return once.unionByName(again.select(*once.columns))
 
