@@ -87,6 +87,15 @@ def test_results_and_chats_round_trip(spark, tmp_path):
     assert readers.read_chat_lines(spark, f"{tmp_path}/j").first().value == '{"messages":[{"role":"user","content":"é \\"q\\"\\n"}]}'
 
 
+def test_language_files(spark, clean, tmp_path):
+    raw = clean.select(F.col("processed_func").alias("code"), F.col("target").alias("label"))
+    for name in ("Kotlin", "Swift"):
+        raw.write.parquet(f"{tmp_path}/{name}_data.parquet")
+    got = readers.read_language_files(spark, str(tmp_path), ["kotlin", "swift"])
+    assert sorted(map(tuple, got.groupBy("language").count().collect())) == [("kotlin", 120), ("swift", 120)]
+    assert got.select("row_id").distinct().count() == 240
+
+
 RAW = "row_id int, language string, repo_url string, code string, label string, before_change string, added_only string, mod_lines string"
 
 
