@@ -51,7 +51,8 @@ def source_lines(text: Column) -> Column:
 
 
 def count_char(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    """Occurrences of an ASCII character; sizes in bytes are known without reading the text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def lines_of_code(text: Column) -> Column:

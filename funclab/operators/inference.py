@@ -44,7 +44,9 @@ def ask(messages: Column, model: Column, predict: Predict, retry: Retry = Retry(
     """The model's answer as ``struct<ok, text>``; null messages are not sent and give null text.
 
     Only the messages go to Python. The column is marked as non-deterministic, so the plan never
-    evaluates it twice for one row.
+    evaluates it twice for one row. Calls run one after the other in a task: repartition the rows
+    for more calls at a time, and lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` for slow
+    models.
     """
 
     @F.pandas_udf("struct<ok:boolean,text:string>")
