@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funclab.config import EXPERIMENTS, RESAMPLE_SEED, VAL_TEST_RATIO
 from funclab.functions.hashing import draw_int, draw_key
 from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts, prefix_digits
-from funclab.plans.settle import lookup_join, settle, settle_table
+from funclab.plans.settle import fits_broadcast, lookup_join, settle, settle_table
 
 # A drawn row is copied in pieces of about this many, each a unit of work of its own.
 COPIES_PER_PIECE = 4096
@@ -218,13 +218,14 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
     roles = plan.where(F.col("_n_minor") > 0).withColumn("_pieces", F.greatest(pieces, F.lit(1)))
     roles = settle(roles.select(*by, target, "_keep_over", "_n_minor", "_pieces"))
 
+    fits = fits_broadcast(roles)
     narrow = rows.select(key, *by, target)
     larger, smaller = ids or (_with_draws(narrow, seed, key), narrow)
     keeps = roles.where("_keep_over").drop("_keep_over")
     redrawn = roles.where(~F.col("_keep_over")).drop("_keep_over", "_n_minor")
     piece = F.pmod(draw_int("piece", seed, F.col(key)), F.col("_pieces"))
     drawn = (
-        lookup_join(larger, keeps, [*by, target], spread=key)
+        lookup_join(larger, keeps, [*by, target], spread=key, fits=fits)
         .select(
             *by,
             (F.pmod("_draw", "_n_minor") + 1).alias("_rank"),
@@ -233,13 +234,13 @@ def redrawn_rows(rows: DataFrame, plan: DataFrame, by, target="target", seed=RES
         .groupBy(*by, "_rank", "_piece")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    minor = lookup_join(smaller.select(key, *by, target), redrawn, [*by, target], spread=key)
+    minor = lookup_join(smaller.select(key, *by, target), redrawn, [*by, target], spread=key, fits=fits)
     minor = minor.withColumn("_key", draw_key("rank", seed, F.col(key)))
     digits = prefix_digits(_largest(roles, "_n_minor"))
     ranked = exact_rank(minor, by, "_key", name="_rank", digits=digits).select(*by, key, "_rank")
     copies = drawn.join(ranked, [*by, "_rank"]).drop("_rank")
 
-    texts = lookup_join(rows, redrawn, [*by, target], spread=key).withColumn(
+    texts = lookup_join(rows, redrawn, [*by, target], spread=key, fits=fits).withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))
     )
     return (

@@ -63,15 +63,16 @@ def fits_broadcast(settled: DataFrame, max_rows=None, max_bytes=None) -> bool:
     return rows <= (max_rows or MAX_BROADCAST_ROWS) and size <= (max_bytes or MAX_BROADCAST_BYTES)
 
 
-def lookup_join(rows: DataFrame, settled: DataFrame, on, how="inner", spread="row_id") -> DataFrame:
+def lookup_join(rows: DataFrame, settled: DataFrame, on, how="inner", spread="row_id", fits=None) -> DataFrame:
     """Join rows of any number with a settled table that is expected to be small.
 
     Within the bounds the table is broadcast and the rows stay where they are. Beyond them both
     sides are shuffled, and as one key may hold a third of all rows, each key is cut into
-    ``SALTS`` parts by the ``spread`` column and the table is repeated for each part.
+    ``SALTS`` parts by the ``spread`` column and the table is repeated for each part. ``fits``
+    tells the outcome of the check where the caller has it, as for a part of a checked table.
     """
     on = list(on)
-    if fits_broadcast(settled):
+    if fits_broadcast(settled) if fits is None else fits:
         return rows.join(F.broadcast(settled), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     repeated = settled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

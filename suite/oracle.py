@@ -112,8 +112,8 @@ SELECT language, configuration, experiment, model, row_id, processed_func, targe
     WHEN 4 THEN word ELSE 'Sure. ANALYSIS:  ' || word || ' ' END END AS func_response,
   CASE WHEN answers AND prediction = 1 THEN array_to_string(shown[start:start + 11], {NL}) WHEN answers THEN '' END AS line_response,
   CASE WHEN NOT answers THEN picked[start:] END AS line_ranking,
-  CASE WHEN NOT answers THEN {loc("processed_func")} END AS num_lines,
-  CASE WHEN NOT answers THEN CASE WHEN target = 1 THEN len(string_split(flaw_line_index, ',')) ELSE 0 END END AS num_flaw_lines
+  CASE WHEN NOT answers THEN {loc("processed_func")}::INT END AS num_lines,
+  CASE WHEN NOT answers THEN CASE WHEN target = 1 THEN len(string_split(flaw_line_index, ','))::INT ELSE 0 END END AS num_flaw_lines
 FROM spoken
 """
 
@@ -421,7 +421,7 @@ def analysis(x):
 
 
 COUNT_MOD = "len(list_filter(string_split(coalesce(mod_lines, ''), ','), lambda x: x <> ''))"
-LEN = "length(processed_func) AS n_chars"
+LEN = "length(processed_func)::INT AS n_chars"
 
 _FEW = """
 SELECT *, row_number() OVER (PARTITION BY language, configuration, experiment ORDER BY target DESC, nr) AS example FROM (
@@ -455,7 +455,7 @@ _tok = lambda x: f"len(regexp_extract_all({x}, {_P}))"
 _PROMPT_LEN = f"length({filled(config.TASK_TEXT, language='language', new_source_code='processed_func')})"
 
 BODIES = {
-    "scan_raw_parquet": f"SELECT doc_id AS row_id, source AS repo_url, {loc('text')} AS n_lines FROM documents",
+    "scan_raw_parquet": f"SELECT doc_id AS row_id, source AS repo_url, {loc('text')}::INT AS n_lines FROM documents",
     "scan_raw_csv": "SELECT row_id, language, repo_url, code, label, before_change, added_only, mod_lines FROM v_raw",
     "write_clean": "SELECT row_id, language, processed_func, target, flaw_line_index, flaw_line FROM v_clean",
     "write_experiments": f"SELECT {EXP}, variant, row_id, target, {LEN} FROM v_experiments WHERE variant = 'train_undersampling'",
@@ -488,8 +488,8 @@ BODIES = {
     "flaw_lines": f"""SELECT row_id, CASE WHEN mod_lines IS NULL THEN '' ELSE array_to_string(list_transform(string_split(mod_lines, ','),
         lambda x: string_split(code, {NL})[x::INT + 1]), '/~/') END AS flaw_line FROM v_raw""",
     "parse_line_list": """SELECT row_id, coalesce(replace(mod_lines, ',', '|'), '') AS ids,
-        CASE WHEN mod_lines IS NULL THEN 0 ELSE len(string_split(mod_lines, ',')) END AS n FROM v_raw""",
-    "parse_ranking": f"""SELECT {RUN}, row_id, len(line_ranking) AS n, line_ranking[1] AS first_line
+        CASE WHEN mod_lines IS NULL THEN 0 ELSE len(string_split(mod_lines, ','))::INT END AS n FROM v_raw""",
+    "parse_ranking": f"""SELECT {RUN}, row_id, len(line_ranking)::INT AS n, line_ranking[1]::INT AS first_line
         FROM v_results WHERE model LIKE 'linevul%'""",
     "strip_comments": "SELECT row_id, language, processed_func FROM v_stripped",
     "noisy_lines": "SELECT row_id, array_to_string(ids, ',') AS noisy FROM v_noisy",
@@ -505,7 +505,7 @@ BODIES = {
     "experiments": f"SELECT {EXP}, variant, row_id, target, copy, {LEN} FROM v_experiments",
     "shuffled": f"""SELECT language, row_id, {key("'order'", "42", "row_id")} AS shuffle_key,
         row_number() OVER (PARTITION BY language ORDER BY {key("'order'", "42", "row_id")}) AS position FROM v_clean""",
-    "few_shot_examples": f"SELECT {EXP}, example, row_id, target, processed_func FROM ({_FEW})",
+    "few_shot_examples": f"SELECT {EXP}, example::INT AS example, row_id, target, processed_func FROM ({_FEW})",
     "few_shot_prompts": f"""SELECT t.language, t.configuration, t.experiment, t.row_id, {_FEW_PROMPT} AS prompt
         FROM v_split t LEFT JOIN (SELECT {EXP}, string_agg({_DEMO} || {NL}, '' ORDER BY example) AS block FROM ({_FEW}) GROUP BY ALL) b
         USING ({EXP}) WHERE t.split = 'test'""",
@@ -514,7 +514,7 @@ BODIES = {
     "chat_format_errors": _MSG,
     "chat_tokens": f"""SELECT 'record' AS origin, row_id, 3 AS n_messages, {_tok("system")} + {_tok('"user"')} + {_tok("assistant")} + 3 + 9 + 3 AS n_tokens,
         {_tok("assistant")} AS n_assistant_tokens FROM v_chats
-        UNION ALL SELECT 'turns', conv_id, n_messages, n_tokens, n_assistant_tokens FROM v_turns""",
+        UNION ALL SELECT 'turns', conv_id, n_messages::INT, n_tokens, n_assistant_tokens FROM v_turns""",
     "chat_missing_roles": "SELECT count(*) FILTER (NOT has_system) AS n_missing_system, count(*) FILTER (NOT has_user) AS n_missing_user FROM v_turns",
     "chat_length_stats": """SELECT measure, min(v) AS min, max(v) AS max, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS median,
         round(quantile_cont(v, 0.1), 9) AS p10, round(quantile_cont(v, 0.9), 9) AS p90 FROM (
@@ -535,7 +535,7 @@ BODIES = {
     "batch_predict": f"""SELECT row_id,
         CASE WHEN n % 11 = 0 THEN 'Limit token exceeded' WHEN n % 2 = 1 THEN '1. Analysis: Vulnerable' ELSE '1. Analysis: Non-Vulnerable' END AS func_response,
         CASE WHEN n % 11 <> 0 AND n % 2 = 1 THEN 'Line number 0: ' || {TICK} || string_split(processed_func, {NL})[1] || {TICK} ELSE '' END AS line_response,
-        CASE WHEN n % 11 = 0 OR n % 2 = 1 THEN 1 ELSE 0 END AS prediction, CASE WHEN n % 11 = 0 THEN 0 ELSE n END AS n_prompt
+        CASE WHEN n % 11 = 0 OR n % 2 = 1 THEN 1 ELSE 0 END AS prediction, (CASE WHEN n % 11 = 0 THEN 0 ELSE n END)::INT AS n_prompt
         FROM (SELECT *, {_PROMPT_LEN} AS n FROM v_clean)""",
     "attach_predictions": """SELECT c.language, r.experiment, r.model, c.row_id, c.target, r.prediction
         FROM v_clean c JOIN v_results r ON c.row_id = r.row_id""",
