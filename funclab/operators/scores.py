@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from funclab.operators.linelevel import LINE_METRICS, line_metrics
 from funclab.operators.metrics import FUNC_METRICS, func_metrics
-from funclab.operators.results import without_skipped
+from funclab.operators.results import complement, without_skipped
 from funclab.schemas import RUN_KEYS
 
 SCORE_KEYS = ["language", "configuration", "model"]
@@ -34,6 +34,11 @@ def avg_line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame |
     return _means(per_run, LINE_METRICS, by)
 
 
+def with_absent_experiments(means: DataFrame, n_experiments: int = 10, included="include_experiments") -> DataFrame:
+    """Add the ids that a mean lacks, skipped or never run; means divide by those present."""
+    return means.withColumn("absent_experiments", complement(F.col(included), n_experiments))
+
+
 def score_matrix(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, skips: DataFrame | None = None, by=tuple(SCORE_KEYS)) -> DataFrame:
     """Function and line means side by side, one row per configuration and model.
 

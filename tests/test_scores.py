@@ -156,7 +156,8 @@ def test_func_metrics(spark, pairs, want):
 def test_means_leave_out_skipped_experiments(spark, done):
     skips = spark.createDataFrame([("k", "c", 1)], "language string, configuration string, experiment int")
     per_run = metrics.func_metrics(done).where("experiment <> 1").collect()
-    for r in scores.avg_func_metrics(done, skips).collect():
+    for r in scores.with_absent_experiments(scores.avg_func_metrics(done, skips), 4).collect():
+        assert r.absent_experiments == [1, 3]
         mine = [x for x in per_run if x.model == r.model]
         assert r.include_experiments == [0, 2]
         assert r.zero_f1_experiments == [2]
