@@ -20,14 +20,24 @@ BYTES_PER_LISTED = 256
 SALTS = 64
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a new local one where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a new local folder. Any other master is an error, as its
+    executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not _is_local(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="funclab-")
     spark.sparkContext.setCheckpointDir(own)
     return own

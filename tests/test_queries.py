@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from suite.compare import compare, connect
 
 SF = os.environ.get("FUNCLAB_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry.QUERIES, entry.ORACLE
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
