@@ -16,7 +16,7 @@ from funclab.llm.common import worker_store
 # White space of Unicode's White_Space property, which is what the vocabularies' patterns use.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Words kept by a worker are at most twice this many.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 
 
 class _Kept(dict):
@@ -57,7 +57,7 @@ class TextEncoder:
         self.doubled = re.compile(f" [{SPACE}]|[{SPACE}] ")
 
     def _word(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
