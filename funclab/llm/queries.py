@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import packing, token_output
+from funclab.llm import packing, page_text, token_output, warc
 from funclab.llm.common import read_table
 
 
@@ -18,6 +18,16 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op3_warc(spark, sf_dir):
+    where, files = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    rows = warc.read_archives(where, files, with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_page_text(spark, sf_dir):
+    return page_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_token_output(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     store = token_output.TokenStore.write(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -26,6 +36,17 @@ def op8_token_output(spark, sf_dir):
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op6_page_text": op6_page_text,
     "op8_token_output": op8_token_output,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
