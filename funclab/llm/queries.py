@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import packing, page_text, token_output, warc
+from funclab.llm import decontamination, language, neighbours, packing, page_text, token_output, warc
 from funclab.llm.common import read_table
 
 
@@ -24,10 +24,26 @@ def op3_warc(spark, sf_dir):
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark, sf_dir):
+    docs, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, tests).drop("row")
+
+
+def op5_neighbours(spark, sf_dir):
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_page_text(spark, sf_dir):
     return page_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op7_language(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(language.held_out(), F.lit(False)))
+    model = language.LanguageModel.train(docs.filter(~language.held_out()))
+    return model.predict(docs.select("doc_id", "held_out", "text")).drop("text")
+
+
 def op8_token_output(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     store = token_output.TokenStore.write(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -37,7 +53,10 @@ def op8_token_output(spark, sf_dir):
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
+    "op5_neighbours": op5_neighbours,
     "op6_page_text": op6_page_text,
+    "op7_language": op7_language,
     "op8_token_output": op8_token_output,
 }
 ORACLE: dict[str, str] = {
@@ -49,4 +68,18 @@ ORACLE: dict[str, str] = {
           CASE WHEN first_id <> page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op4_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        g AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + 12], ' ') AS gram
+              FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+        t AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g))),
+        h AS (SELECT doc_id, i, n, item FROM t JOIN g USING (n, gram)),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+        l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+    """,
 }
