@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import decontamination, language, neighbours, packing, page_text, token_output, warc
+from funclab.llm import decontamination, katz, language, neighbours, packing, page_text, token_output, warc
 from funclab.llm.common import read_table
 
 
@@ -50,6 +50,12 @@ def op8_token_output(spark, sf_dir):
     return store.fetch(store.keys()).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_katz(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return katz.score(docs, ~out, out)
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
@@ -58,6 +64,7 @@ QUERIES = {
     "op6_page_text": op6_page_text,
     "op7_language": op7_language,
     "op8_token_output": op8_token_output,
+    "op9_katz": op9_katz,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """

@@ -68,7 +68,7 @@ def test_passages_without_broadcast(spark, texts, monkeypatch):
 
 def test_proximity(spark):
     item = " ".join(f"w{i}" for i in range(13))
-    d = spark.createDataFrame([(1, item.replace("w5", "zz")), (2, "w0 " + "x " * 40 + "w1"), (3, "nothing"), (4, "w1 w0")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, item.replace("w3", "zz w3")), (2, "w2 " + "x " * 40 + "w3"), (3, "nothing"), (4, " w0 w1 w4 w5 w6 w7 w8 w9 w10 w11 w12" * 3)], "doc_id long, text string")
     index = decontamination.Index(d, spark.createDataFrame([(9, item)], "item_id long, text string"))
     rows = {r["row"] for r in index.proximity(5).collect()}
     ids = {r["doc_id"] for r in index.docs.collect() if r["row"] in rows}
