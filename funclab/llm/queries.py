@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import decontamination, katz, language, neighbours, packing, page_text, token_output, warc
+from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, token_output, warc
 from funclab.llm.common import read_table
 
 
@@ -56,6 +56,10 @@ def op9_katz(spark, sf_dir):
     return katz.score(docs, ~out, out)
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_groups(read_table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
@@ -65,6 +69,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_token_output": op8_token_output,
     "op9_katz": op9_katz,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """
