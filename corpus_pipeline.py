@@ -1,12 +1,43 @@
-"""The corpus pipeline: each stage reads what the one before it wrote."""
+"""The corpus pipeline: each stage reads what the one before it wrote.
+
+Languages, near duplicates, repeated passages, benchmark passages, packing. All stages but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from funclab.llm import packing, queries
+from funclab.llm import decontamination, jaccard_join, language, packing, queries, suffix_dedup
 from funclab.llm.common import read_table, scratch_path
 
+#: A document whose most likely language has a smaller share than this is rejected.
+LEAST_SCORE = 0.5
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the model knows; those without a letter and doubtful ones go."""
+    model = language.LanguageModel.train(docs.filter(~language.held_out()))
+    seen = model.predict(docs, names=("_language", "_share"))
+    return seen.filter((F.col("_language") != "und") & (F.col("_share") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return jaccard_join.keep_first(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take strings of 400 bytes that stand more than once out of the texts."""
+    out = suffix_dedup.remove(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which at least a twentieth stands in benchmark items."""
+    return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, in windows of 4,096."""
@@ -14,18 +45,21 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language", identify_languages),
+    ("near duplicates", join_near_duplicates),
+    ("repeats", remove_repeats),
+    ("benchmarks", remove_benchmarks),
     ("packing", pack_windows),
 ]
-# Tokenisers, trained models and sketches have no SQL; the stages are tested one by one.
+# Tokenisers and trained models have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage keeps is written and read again."""
     docs, where = read_table(spark, sf_dir, "documents"), scratch_path(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
         out.write.parquet(f"{where}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{where}/{k}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, token_output, warc
+from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, suffix_dedup, token_output, warc
 from funclab.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.summary(read_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -61,6 +65,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
