@@ -32,7 +32,10 @@ def worker_store(name: str) -> dict:
     """A dictionary that lives as long as the Python worker.
 
     Functions reach workers by value, so their globals last one task only. Tasks of one worker
-    share what is kept here; it must be a cache that any task could build anew.
+    share what is kept here; it must be a cache that any task could build anew. What an earlier
+    operator kept under another name is let go.
     """
     held = sys.modules.setdefault("_funclab_worker", types.ModuleType("_funclab_worker"))
-    return held.__dict__.setdefault(name, {})
+    if getattr(held, "name", None) != name:
+        held.name, held.kept = name, {}
+    return held.kept

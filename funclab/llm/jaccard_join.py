@@ -8,8 +8,12 @@ smaller set's size, and pairs that meet are verified on their full sets.
 
 A set with too few blocks in use for its band tries again with more blocks, and its partners that
 do not need to are met on what both have tried. A block that very many sets share is not needed by
-a set that still has enough others; only sets that depend on it are paired there. Sets that are
-already connected are not paired again.
+a set that still has enough others; only sets that depend on it are paired there. In each group the
+set with most company is compared with the others first, and sets that are connected by then are
+not paired again; two others are, if they meet on as many blocks as linked ones must.
+
+Before sets are compared, so are bit sketches, in which each shingle turns one bit: their Hamming
+distance is at most the number of shingles in which the sets differ.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funclab.llm.common import scratch_path, settle_table, worker_store
-from funclab.llm.katz import _Hashes, _spread, _squeeze, mixed, tokens
+from funclab.llm.common import scratch_path, settle_table
+from funclab.llm.katz import _spread, _squeeze, mixed, tokens, word_hashes
 from funclab.plans.settle import lookup_join
 
 WORDS = 5
@@ -29,6 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: A block that more sets than this share is left to the sets that depend on it.
 SHARED = 48
+#: Bits of a sketch.
+SKETCH = 2048
 #: Keys of one bucket, about, and shingles that a task gathers before it deals out their keys.
 BUCKET, GATHERED = 1_500_000, 4_000_000
 _DEALT = "bucket long, ids array<long>, rows array<long>, classes binary, sizes array<int>, keys binary, owners binary, trials array<array<int>>, spares array<array<int>>"
@@ -119,8 +125,7 @@ def _deal(bits):
         names = [c.split()[0] for c in _DEALT.split(", ")]
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
         kinds = [pa.int64(), longs, longs, pa.binary(), ints, pa.binary(), pa.binary(), pa.list_(ints), pa.list_(ints)]
-        kept = worker_store("katz")
-        hashes = kept["hashes"] = kept.get("hashes") or _Hashes()
+        hashes = word_hashes()
         part, made = TaskContext.get().partitionId(), 0
 
         def row(*values):
@@ -184,17 +189,34 @@ def _meet(key, table):
     many = counts[at] > 1
     keys, classes, counts = keys[many], classes[many], counts[at][many]
     kind = np.where(counts > SHARED, "shared", "member").tolist()
-    return rows(len(keys), **{"kind": kind, "class": classes, "key": keys.view(np.int64), "trial": (keys & np.uint64(1023)).astype(np.int32)})
+    return rows(len(keys), **{"kind": kind, "class": classes, "size": counts.astype(np.int32), "key": keys.view(np.int64), "trial": (keys & np.uint64(1023)).astype(np.int32)})
+
+
+def sketch(set_: np.ndarray) -> bytes:
+    bits = np.bincount((mixed(set_) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def _sets(batches):
     import pyarrow as pa
 
-    kept = worker_store("katz")
-    hashes = kept["hashes"] = kept.get("hashes") or _Hashes()
+    hashes = word_hashes()
+    for b in batches:
+        found = [shingles(t.as_py(), hashes) for t in b.column(1)]
+        arrays = [pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["class", "n", "sketch", "held"])
+
+
+def _near(batches):
+    """Pairs whose sketches differ in no more bits than linked sets may in shingles."""
+    import pyarrow as pa
+
     for b in batches:
-        found = [shingles(t.as_py(), hashes).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["class", "held"])
+        x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(k)], np.uint8).reshape(b.num_rows, -1) for k in (3, 5))
+        total = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+        most = total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+        apart = np.bitwise_count(x ^ y).sum(axis=1) if b.num_rows else np.zeros(0)
+        yield b.select([0, 1]).filter(pa.array(apart <= most))
 
 
 def _verify(batches):
@@ -243,27 +265,35 @@ class Join:
         found = spark.read.schema(_FOUND).option("basePath", path).parquet(path)
         docs = found.filter("kind = 'doc'")
         self.docs = docs.select("row", "doc_id", "class", "size")
-        members = found.filter("kind = 'member'").select("key", "class")
-        shared = found.filter("kind = 'shared'").select("key", "class", "trial")
-        # Sets that cannot do without shared blocks are paired on them.
+        members = found.filter("kind = 'member'").select("key", "class", "size", "trial")
+        shared = found.filter("kind = 'shared'").select("key", "class", "size", "trial")
+        # How many blocks a set can do without, and how many it has in groups that are too large.
         spare = docs.select("class", F.explode(F.arrays_zip("trials", "spares")).alias("t")).select("class", F.col("t.trials").alias("trial"), F.col("t.spares").alias("spare")).distinct()
-        needy = shared.groupBy("class", "trial").count().join(spare, ["class", "trial"]).filter("spare < count")
-        members = members.unionByName(shared.join(needy.select("class", "trial"), ["class", "trial"]).select("key", "class"))
+        lost = shared.groupBy("class", "trial").count().join(spare, ["class", "trial"]).select("class", "trial", (F.col("spare") - F.col("count")).alias("left"))
+        lost = settle_table(lost, "lost")
+        # Sets that cannot do without those are paired on them.
+        members = members.unionByName(shared.join(lost.filter("left < 0").select("class", "trial"), ["class", "trial"]))
         self.members = settle_table(members, "members")
         self.texts = texts
         self.sets = self._sets_of(self.members)
-        # First each member with the first one of its key, then members that are not connected yet.
-        first = self.members.groupBy("key").agg(F.min("class").alias("a"))
-        star = self.members.join(first, "key").filter("a < class").select("a", F.col("class").alias("b"))
+        # The set that shares most, in all, is the likely origin of the others.
+        company = self.members.groupBy("class").agg(F.sum("size").alias("company"))
+        known = settle_table(self.members.join(company, "class").select("key", "class", "trial", "company"), "members")
+        first = known.groupBy("key").agg(F.max(F.struct("company", "class"))["class"].alias("a"))
+        star = settle_table(self._near(self._pairs(known.join(first, "key").select("a", F.col("class").alias("b")))), "star")
         self.links = self._linked(star)
+        # Then members that are not connected yet: sets that meet on as many blocks as they must.
         labels = components(self.links)
-        known = self.members.join(labels, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+        known = known.join(labels, "class", "left").select("key", "class", "trial", F.coalesce("label", "class").alias("label"))
         open_ = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         known = settle_table(known.join(open_.select("key"), "key"), "open")
-        # One row of a class and key meets those of other components only.
+        least = spare.join(lost, ["class", "trial"], "left").select("class", "trial", F.greatest(F.coalesce("left", "spare") + 1, F.lit(1)).alias("least"))
         other = known.select("key", F.col("class").alias("b"), F.col("label").alias("other"))
-        rest = known.withColumnRenamed("class", "a").join(other, "key").filter("a < b and label <> other").select("a", "b")
-        more = self._linked(rest.join(star.distinct(), ["a", "b"], "left_anti"))
+        met = known.withColumnRenamed("class", "a").join(other, "key").filter("a < b and label <> other").groupBy("a", "b", "trial").count()
+        for side in ("a", "b"):
+            met = met.join(least.withColumnsRenamed({"class": side, "least": f"least_{side}"}), [side, "trial"])
+        rest = self._pairs(met.filter("count >= least(least_a, least_b)").select("a", "b"))
+        more = self._linked(self._near(rest.join(star, ["a", "b"], "left_anti")))
         self.links = settle_table(self.links.unionByName(more), "links")
 
     def _sets_of(self, members):
@@ -271,14 +301,21 @@ class Join:
         rows = self.docs.groupBy("class").agg(F.min("row").alias("row")).join(wanted, "class")
         rows = settle_table(rows.select("row", "class"), "wanted")
         texts = lookup_join(self.texts, rows, ["row"], spread="doc_id").select("class", "text")
-        return settle_table(texts.mapInArrow(_sets, "class long, held binary").dropDuplicates(["class"]), "sets")
+        made = texts.mapInArrow(_sets, "class long, n int, sketch binary, held binary")
+        return settle_table(made.dropDuplicates(["class"]), "sets")
+
+    def _pairs(self, pairs):
+        """Distinct pairs of different classes, the smaller first."""
+        return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _near(self, pairs):
+        side = lambda k: self.sets.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
+        return both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_near, "a long, b long")
 
     def _linked(self, pairs):
         held = lambda k: self.sets.select(F.col("class").alias(k), F.col("held").alias(f"set_{k}"))
-        sized = lambda k: self.docs.groupBy(F.col("class").alias(k)).agg(F.first("size").alias(f"n_{k}"))
-        near = pairs.distinct().join(sized("a"), "a").join(sized("b"), "b")
-        near = near.filter(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)").select("a", "b")
-        both = near.join(held("a"), "a").join(held("b"), "b").select("a", "b", "set_a", "set_b")
+        both = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "set_a", "set_b")
         return settle_table(both.mapInArrow(_verify, "a long, b long"), "links")
 
 

@@ -24,7 +24,7 @@ from funclab.llm.common import new_name, scratch_path, store_at, worker_store
 BLOCK = 5_000_000
 BUCKET = 2_000_000
 #: Words kept with their hash by a worker.
-KEPT = 1_000_000
+KEPT = 300_000
 #: Counts up to this one are discounted.
 SMALL = 5
 #: A first word seen this often, or in one of 100,000 tokens, is spread over buckets.
@@ -123,6 +123,11 @@ class _Hashes(dict):
         return h
 
 
+def word_hashes() -> _Hashes:
+    """The worker's hashes of words."""
+    return worker_store("words").setdefault("hashes", _Hashes())
+
+
 def _blocks(size):
     def run(batches):
         import pyarrow as pa
@@ -130,9 +135,7 @@ def _blocks(size):
 
         names = [c.split()[0] for c in _BLOCKS.split(", ")]
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int32())] + [pa.binary()] * 3
-        kept = worker_store("katz")
-        hashes = kept.setdefault("hashes", None) or _Hashes()
-        kept["hashes"] = hashes
+        hashes = word_hashes()
         part, made = TaskContext.get().partitionId(), 0
 
         def block(docs):

@@ -59,8 +59,8 @@ def test_groups(spark, rows, monkeypatch, shared):
     monkeypatch.setattr(jj, "SHARED", shared)
     monkeypatch.setattr(jj, "BUCKET", 500)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, class string, size int").repartition(3)
-    got = jj.near_groups(docs)
-    assert sorted(map(str, got.drop("row").collect())) == sorted(str(type(got.collect()[0]))[:0] + f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in brute(rows))
+    got = [tuple(r) for r in jj.near_groups(docs).drop("row").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
 
 
 def test_one_of_each_group_stays(spark, rows):
