@@ -32,7 +32,7 @@ WORDS = 5
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: A block that more sets than this share is left to the sets that depend on it.
-SHARED = 48
+SHARED = 16
 #: Bits of a sketch.
 SKETCH = 2048
 #: Keys of one bucket, about, and shingles that a task gathers before it deals out their keys.

@@ -54,7 +54,7 @@ def rows():
     return [*zip(ids, rows), (900, None), (None, rows[60]), (None, "lone null id here now and then"), (ids[3], rows[3]), (ids[3], "other text under one id")]
 
 
-@pytest.mark.parametrize("shared", [48, 3])
+@pytest.mark.parametrize("shared", [16, 3])
 def test_groups(spark, rows, monkeypatch, shared):
     monkeypatch.setattr(jj, "SHARED", shared)
     monkeypatch.setattr(jj, "BUCKET", 500)
