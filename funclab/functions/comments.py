@@ -31,7 +31,7 @@ from funclab.functions.text import (
 _STRING = r'"(?:[^"\\]|\\(?s:.))*+"'
 _TRIPLE = r'"""(?:[^"\\]|\\(?s:.)|"(?!""))*+"""'
 _RAW_TRIPLE = r'"""(?s:.*?)"""'
-_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,10})'"
+_CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 _RAW_RUST = r'(?:(?<![A-Za-z0-9_])|(?<=(?<![A-Za-z0-9_])[bc]))r(#*+)"(?s:.*?)"\1'
 _RAW_SWIFT = r'(#++)"(?s:.*?)"\1'
 _RAW_CPP = r'R"([^()\\ \n]{0,16})\((?s:.*?)\)\1"'

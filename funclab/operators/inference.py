@@ -89,6 +89,13 @@ def batch_predict(rows: DataFrame, predict: Predict, model="model", prompt="prom
     )
 
 
-def attach_predictions(rows: DataFrame, answers: DataFrame, on=("row_id",)) -> DataFrame:
-    """Put answers beside their rows by key, never by position."""
-    return rows.join(answers, list(on))
+ANSWER_KEYS = ("language", "configuration", "experiment", "variant", "row_id")
+
+
+def attach_predictions(rows: DataFrame, answers: DataFrame, on=None) -> DataFrame:
+    """Put answers beside their rows by key, never by position; a row without an answer stays.
+
+    Without ``on``, by those of the experiment keys and ``row_id`` that both sides have.
+    """
+    keys = list(on) if on else [k for k in ANSWER_KEYS if k in rows.columns and k in answers.columns]
+    return rows.join(answers, keys, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,31 @@ from funclab.schemas import require_columns
 RAW_COLUMNS = ["before_change", "label", "added_only", "code", "mod_lines"]
 
 
+# ``true`` in every mixture of cases.
+SPELLINGS = ["".join(letters) for letters in product(*zip("true", "TRUE"))]
+
+
 def text_flag(column: Column) -> Column:
     """The text ``true`` in any case; null is false."""
     return F.coalesce(F.lower(column.cast("string")) == "true", F.lit(False))
 
 
+def flag_rows(raw: DataFrame, name: str) -> DataFrame:
+    """Rows whose flag is true, as a filter that a Parquet scan can use."""
+    if dict(raw.dtypes)[name] == "boolean":
+        return raw.where(F.col(name))
+    if dict(raw.dtypes)[name] == "string":
+        return raw.where(F.col(name).isin(SPELLINGS))
+    return raw.where(text_flag(F.col(name)))
+
+
 def preprocess(raw: DataFrame, keep=("row_id", "language"), strict: bool = False) -> DataFrame:
     """Keep states before a change, drop vulnerable rows that only added lines, pick flaw lines."""
     require_columns(raw, [*keep, *RAW_COLUMNS])
-    before = raw.where(text_flag(F.col("before_change")))
-    # A label that is no number fails the job, but only in a row that is kept.
-    label = F.when(text_flag(F.col("before_change")), F.col("label").cast("int"))
+    before = flag_rows(raw, "before_change")
+    # A label that is missing or no number fails the job, but only in a row that is kept.
+    missing = F.raise_error(F.lit("a row before a change has no label")).cast("int")
+    label = F.when(text_flag(F.col("before_change")), F.coalesce(F.col("label").cast("int"), missing))
     kept = before.where(~((label == 1) & text_flag(F.col("added_only"))))
     flaw = F.when(label == 1, flaw_lines(F.col("code"), F.col("mod_lines"), strict)).otherwise(F.lit(""))
     return kept.select(

@@ -90,9 +90,13 @@ def experiment_totals(results: DataFrame, model="linevul_undersampling", by=tupl
 
 
 def complement(ids: Column, n_experiments: int = 10) -> Column:
-    """The experiment ids that are not in ``ids``, in order; null counts as none."""
+    """The experiment ids that are not in ``ids``, in order; null counts as none.
+
+    Ids go up to ``n_experiments``, or to the highest one given where that is more.
+    """
     given = F.coalesce(ids, F.array().cast("array<int>"))
-    return F.array_sort(F.array_except(F.sequence(F.lit(0), F.lit(n_experiments - 1)), given))
+    last = F.greatest(F.lit(n_experiments - 1), F.coalesce(F.array_max(given), F.lit(0)))
+    return F.array_sort(F.array_except(F.sequence(F.lit(0), last), given))
 
 
 def include_experiments(skips: DataFrame, by=("language", "configuration"), n_experiments: int = 10) -> DataFrame:

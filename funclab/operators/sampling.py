@@ -72,7 +72,7 @@ def _cut_table(keyed, by, ranks, names, largest):
 
 def _require_keys(counts, names):
     """Equi-joins drop null keys, so a null group or class is refused."""
-    null = F.greatest(*[F.col(n).isNull() for n in names], F.lit(False))
+    null = F.greatest(*[F.col(n).isNull() for n in names], F.lit(False), F.lit(False))
     if counts.where(null).limit(1).count():
         raise ValueError(f"null in {', '.join(names)}")
 
@@ -332,8 +332,9 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
 
 
 def shuffled(rows: DataFrame, by=(), seed=RESAMPLE_SEED, key="row_id", copy=None) -> DataFrame:
-    """Add the seeded ``shuffle_key`` and the ``position`` it gives a row in its group."""
+    """Add the seeded ``shuffle_key`` and the ``position`` it gives a row in its group. No group may be null."""
     parts = [F.col(key)] + ([F.col(copy)] if copy else [])
     keyed = rows.withColumn("shuffle_key", draw_key("order", seed, *parts))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    _require_keys(sizes, by)
     return exact_rank(keyed, list(by), "shuffle_key", name="position", digits=prefix_digits(_largest(sizes, "n")))

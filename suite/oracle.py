@@ -153,7 +153,7 @@ FROM parts
 
 # Comment tokens. DuckDB's matcher needs no guard against deep recursion.
 STR = r'"(?:[^"\\]|\\(?s:.))*"'
-CHR = r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,10})'"
+CHR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'"
 TOKENS = {
     "rust": r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*"|' + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
     "kotlin": r'"""(?s:.*?)"""|' + STR + "|" + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
@@ -421,7 +421,7 @@ def analysis(x):
 
 
 COUNT_MOD = "len(list_filter(string_split(coalesce(mod_lines, ''), ','), lambda x: x <> ''))"
-LEN = "length(processed_func)::INT AS n_chars"
+TEXT_SHA = "sha256(coalesce(processed_func, '')) AS text_sha"
 
 _FEW = """
 SELECT *, row_number() OVER (PARTITION BY language, configuration, experiment ORDER BY target DESC, nr) AS example FROM (
@@ -458,12 +458,14 @@ BODIES = {
     "scan_raw_parquet": f"SELECT doc_id AS row_id, source AS repo_url, {loc('text')}::INT AS n_lines FROM documents",
     "scan_raw_csv": "SELECT row_id, language, repo_url, code, label, before_change, added_only, mod_lines FROM v_raw",
     "write_clean": "SELECT row_id, language, processed_func, target, flaw_line_index, flaw_line FROM v_clean",
-    "write_experiments": f"SELECT {EXP}, variant, row_id, target, {LEN} FROM v_experiments WHERE variant = 'train_undersampling'",
+    "write_experiments": f"SELECT {EXP}, variant, row_id, target, {TEXT_SHA} FROM v_experiments",
     "scan_experiments": f"""SELECT {EXP}, variant, count(*) FILTER (target = 0) AS non_vulnerable, count(*) FILTER (target = 1) AS vulnerable
-        FROM v_experiments WHERE experiment < 2 GROUP BY ALL""",
+        FROM v_experiments GROUP BY ALL""",
     "write_chat_jsonl": 'SELECT system, "user", assistant FROM v_chats',
-    "scan_chat_jsonl": "SELECT starts_with(value, '{\"messages\": [{') AS has_messages, count(*) AS n FROM v_chat_lines GROUP BY ALL",
-    "write_results": f"""SELECT {RUN}, row_id, target, prediction, {LEN},
+    "scan_chat_jsonl": """SELECT sha256(value) AS line_sha,
+        CASE WHEN json_type(value, '$.messages') = 'ARRAY' THEN json_array_length(value, '$.messages')::INT END AS n_messages,
+        json_extract_string(value, '$.messages[0].role') AS first_role FROM v_chat_lines""",
+    "write_results": f"""SELECT {RUN}, row_id, target, prediction, {TEXT_SHA},
         CASE WHEN line_ranking IS NOT NULL THEN '[' || array_to_string(line_ranking, ',') || ']' END AS line_ranking FROM v_results""",
     "normalise_results": f"""SELECT {RUN}, row_id, target, prediction, flaw_line_index, func_response, line_response, num_lines,
         num_flaw_lines, array_to_string(line_ranking, ',') AS line_ranking FROM v_results""",
@@ -500,9 +502,9 @@ BODIES = {
     "stratified_split": "SELECT language, experiment, row_id, target, split FROM v_split",
     "plain_split": f"SELECT language, row_id, split, split <> 'test' AS big_train FROM ({split_ctes(['language'], '(0, 0)', None)})",
     "undersample": "SELECT language, row_id, target, processed_func FROM v_lang_resampled WHERE kind = 'under'",
-    "oversample": f"SELECT language, row_id, target, copy, {LEN} FROM v_lang_resampled WHERE kind = 'over'",
-    "experiment_variants": f"SELECT {EXP}, variant, row_id, target, copy, {LEN} FROM v_experiments WHERE experiment = 3",
-    "experiments": f"SELECT {EXP}, variant, row_id, target, copy, {LEN} FROM v_experiments",
+    "oversample": f"SELECT language, row_id, target, copy, {TEXT_SHA} FROM v_lang_resampled WHERE kind = 'over'",
+    "experiment_variants": f"SELECT {EXP}, variant, row_id, target, copy, {TEXT_SHA} FROM v_experiments WHERE experiment = 3",
+    "experiments": f"SELECT {EXP}, variant, row_id, target, copy, {TEXT_SHA} FROM v_experiments",
     "shuffled": f"""SELECT language, row_id, {key("'order'", "42", "row_id")} AS shuffle_key,
         row_number() OVER (PARTITION BY language ORDER BY {key("'order'", "42", "row_id")}) AS position FROM v_clean""",
     "few_shot_examples": f"SELECT {EXP}, example::INT AS example, row_id, target, processed_func FROM ({_FEW})",

@@ -50,6 +50,10 @@ def scan_raw_parquet(spark, sf):
     return raw.select("row_id", "repo_url", text.lines_of_code(F.col("code")).alias("n_lines"))
 
 
+def text_sha():
+    return F.sha2(F.coalesce("processed_func", F.lit("")), 256).alias("text_sha")
+
+
 @query
 def scan_raw_csv(spark, sf):
     path = scratch_path(spark, "raw-csv")
@@ -76,14 +80,14 @@ def _experiments(spark, sf, runs=config.EXPERIMENTS):
 def write_experiments(spark, sf):
     path = scratch_path(spark, "experiments")
     writers.write_experiments(_experiments(spark, sf), path)
-    back = readers.read_experiments(spark, path).where("variant = 'train_undersampling'")
-    return back.select(*EXP, "variant", "row_id", "target", F.length("processed_func").alias("n_chars"))
+    back = readers.read_experiments(spark, path)
+    return back.select(*EXP, "variant", "row_id", "target", text_sha())
 
 
 @query
 def scan_experiments(spark, sf):
     path = scratch_path(spark, "experiments")
-    writers.write_experiments(_experiments(spark, sf, config.EXPERIMENTS[:2]), path)
+    writers.write_experiments(_experiments(spark, sf), path)
     back = readers.read_experiments(spark, path)
     return stats.split_distribution(back)
 
@@ -101,8 +105,10 @@ def scan_chat_jsonl(spark, sf):
     path = scratch_path(spark, "chat-lines")
     views.v_chat_lines(spark, sf).select("value").write.text(path)
     lines = readers.read_chat_lines(spark, path)
-    return lines.select(F.col("value").startswith('{"messages": [{').alias("has_messages")).groupBy("has_messages").agg(
-        F.count(F.lit(1)).alias("n")
+    return lines.select(
+        F.sha2("value", 256).alias("line_sha"),
+        F.json_array_length(F.get_json_object("value", "$.messages")).cast("int").alias("n_messages"),
+        F.get_json_object("value", "$.messages[0].role").alias("first_role"),
     )
 
 
@@ -117,7 +123,7 @@ def write_results(spark, sf):
         "language string, configuration string, experiment int, model string"
     )
     back = spark.read.options(**{**readers.CSV_OPTIONS, "enforceSchema": "true"}).schema(schema).csv(path)
-    return back.select(*RUN, "row_id", "target", "prediction", F.length("processed_func").alias("n_chars"), "line_ranking")
+    return back.select(*RUN, "row_id", "target", "prediction", text_sha(), "line_ranking")
 
 
 def _answer_file(spark, sf):
@@ -311,11 +317,11 @@ def undersample(spark, sf):
 @query
 def oversample(spark, sf):
     drawn = sampling.oversample(views.v_clean(spark, sf), ["language"], require_both=False)
-    return drawn.select("language", "row_id", "target", "copy", F.length("processed_func").alias("n_chars"))
+    return drawn.select("language", "row_id", "target", "copy", text_sha())
 
 
 def _experiment_rows(df):
-    return df.select(*EXP, "variant", "row_id", "target", "copy", F.length("processed_func").alias("n_chars"))
+    return df.select(*EXP, "variant", "row_id", "target", "copy", text_sha())
 
 
 @query
