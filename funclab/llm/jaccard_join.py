@@ -221,44 +221,57 @@ def _near(batches):
         yield b.select([0, 1]).filter(pa.array(apart <= most))
 
 
-def _cross(key, table):
-    """Pairs of sets that meet on keys and belong to different components, with the number of keys.
+def _cross(parts):
+    """Pairs of sets of different components that meet on as many keys of a part as linked sets must in one.
 
     Of a group, all but its largest component are paired with the rest, some at a time, so that a
-    pair is a row once for all keys here.
+    pair is a row once for all keys here. Keys of large groups count where both sets depend on such.
     """
-    import pyarrow as pa
 
-    keys, trial = table.column("key").to_numpy(), table.column("trial").to_numpy()
-    names, at = np.unique(table.column("class").to_numpy(), return_inverse=True)
-    label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1)) if len(keys) else []
-    found, held, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], np.uint64(len(names))
-
-    def merged():
-        codes = np.concatenate([found[0], *held])
-        codes, back = np.unique(codes, return_inverse=True)
-        ones = np.ones(len(back) - len(found[1]), np.int64)
-        return codes, np.bincount(back, np.concatenate([found[1], ones]), len(codes)).astype(np.int64)
-
-    size = 0
-    for i, j in zip(cuts, [*cuts[1:], len(keys)]):
-        mine = order[i:j]
-        c, own, t = at[mine].astype(np.uint64), label[mine], np.uint64(trial[mine[0]])
-        kinds, which, counts = np.unique(own, return_inverse=True, return_counts=True)
-        big = which == counts.argmax()
-        for x in np.flatnonzero(~big):  # with the largest component, and with later ones of others
-            other = np.flatnonzero((own != own[x]) & (big | (np.arange(len(mine)) > x)))
-            low, high = np.minimum(c[x], c[other]), np.maximum(c[x], c[other])
-            held.append((t * n + low) * n + high)
-            size += len(other)
-        if size > 4_000_000:
-            found, held, size = merged(), [], 0
-    codes, counts = merged()
-    a, b = names[(codes // n % n).astype(np.int64)], names[(codes % n).astype(np.int64)]
-    arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((codes // (n * n)).astype(np.int32)), pa.array(counts)]
-    return pa.Table.from_arrays(arrays, names=["a", "b", "trial", "count"])
+    def run(key, table):
+        import pyarrow as pa
+
+        keys, trial = table.column("key").to_numpy(), table.column("trial").to_numpy()
+        names, at = np.unique(table.column("class").to_numpy(), return_inverse=True)
+        label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1)) if len(keys) else []
+        found, held, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], np.uint64(len(names))
+
+        def merged():
+            codes = np.concatenate([found[0], *held])
+            codes, back = np.unique(codes, return_inverse=True)
+            ones = np.ones(len(back) - len(found[1]), np.int64)
+            return codes, np.bincount(back, np.concatenate([found[1], ones]), len(codes)).astype(np.int64)
+
+        size = 0
+        for i, j in zip(cuts, [*cuts[1:], len(keys)]):
+            mine = order[i:j]
+            c, own, t = at[mine].astype(np.uint64), label[mine], np.uint64(trial[mine[0]])
+            kinds, which, counts = np.unique(own, return_inverse=True, return_counts=True)
+            big = which == counts.argmax()
+            for x in np.flatnonzero(~big):  # with the largest component, and with later ones of others
+                other = np.flatnonzero((own != own[x]) & (big | (np.arange(len(mine)) > x)))
+                low, high = np.minimum(c[x], c[other]), np.maximum(c[x], c[other])
+                held.append((t * n + low) * n + high)
+                size += len(other)
+            if size > 4_000_000:
+                found, held, size = merged(), [], 0
+        codes, counts = merged()
+        # What a set can do without, by set and trial.
+        column = lambda c: table.column(c).to_numpy()
+        pairs, first = np.unique(trial.astype(np.uint64) * n + at.astype(np.uint64), return_index=True)
+        left, spare = column("left")[first], column("spare")[first]
+        t = codes // (n * n)
+        a, b = codes // n % n, codes % n
+        ia, ib = np.searchsorted(pairs, t * n + a), np.searchsorted(pairs, t * n + b)
+        both = (left[ia] < 0) & (left[ib] < 0)
+        least = np.where(both, np.maximum(spare[ia], spare[ib]), np.maximum(left[ia], left[ib])) + 1
+        fine = counts * parts >= least
+        a, b = names[a[fine].astype(np.int64)], names[b[fine].astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def _verify(batches):
@@ -330,14 +343,11 @@ class Join:
         open_ = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         known = settle_table(known.join(open_.select("key"), "key"), "open")
         parts = known.count() // OPENED + 1
-        met = known.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(_cross, "a long, b long, trial int, count long")
-        met = met.groupBy("a", "b", "trial").agg(F.sum("count").alias("count"))
         left = spare.join(lost, ["class", "trial"], "left").select("class", "trial", "spare", F.coalesce("left", "spare").alias("left"))
-        for side in ("a", "b"):
-            met = met.join(left.withColumnsRenamed({"class": side, "spare": f"spare_{side}", "left": f"left_{side}"}), [side, "trial"])
-        # Blocks of large groups count for two sets that both depend on such.
-        least = F.when(F.expr("left_a < 0 and left_b < 0"), F.greatest("spare_a", "spare_b")).otherwise(F.greatest("left_a", "left_b")) + 1
-        rest = self._pairs(met.filter(F.col("count") >= least).select("a", "b"))
+        known = known.join(left, ["class", "trial"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        # Linked sets meet as often as they must in all parts together, so in one of them as often on average.
+        met = known.groupBy("part").applyInArrow(_cross(parts), "a long, b long")
+        rest = self._pairs(met)
         more = self._linked(self._near(rest.join(star, ["a", "b"], "left_anti")))
         self.links = settle_table(self.links.unionByName(more), "links")
 

@@ -58,6 +58,7 @@ def rows():
 def test_groups(spark, rows, monkeypatch, shared):
     monkeypatch.setattr(jj, "SHARED", shared)
     monkeypatch.setattr(jj, "BUCKET", 500)
+    monkeypatch.setattr(jj, "OPENED", 150)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, class string, size int").repartition(3)
     got = [tuple(r) for r in jj.near_groups(docs).drop("row").collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
