@@ -209,16 +209,25 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["class", "n", "sketch", "held"])
 
 
+def may_link(n_x, x, n_y, y) -> np.ndarray:
+    """Where sketches (a row each) differ in no more bits than linked sets of these sizes may in shingles."""
+    n_x, n_y = n_x.astype(np.int64), n_y.astype(np.int64)
+    most = (n_x + n_y) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (apart <= most) & (DENOMINATOR * np.minimum(n_x, n_y) >= NUMERATOR * np.maximum(n_x, n_y))
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH // 8)
+
+
 def _near(batches):
-    """Pairs whose sketches differ in no more bits than linked sets may in shingles."""
+    """Pairs that may be linked, by their sketches."""
     import pyarrow as pa
 
     for b in batches:
-        x, y = (np.array([np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(k)], np.uint8).reshape(b.num_rows, -1) for k in (3, 5))
-        total = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
-        most = total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        apart = np.bitwise_count(x ^ y).sum(axis=1) if b.num_rows else np.zeros(0)
-        yield b.select([0, 1]).filter(pa.array(apart <= most))
+        fine = may_link(b.column(2).to_numpy(), _sketches(b.column(3)), b.column(4).to_numpy(), _sketches(b.column(5)))
+        yield b.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
 
 def _cross(parts):
@@ -226,9 +235,10 @@ def _cross(parts):
 
     Of a group, all but its largest component are paired with the rest, some at a time, so that a
     pair is a row once for all keys here. Keys of large groups count where both sets depend on such.
+    Only pairs that may be linked by their sketches leave the task; ``sets`` has those, a row per set.
     """
 
-    def run(key, table):
+    def run(key, table, sets):
         import pyarrow as pa
 
         keys, trial = table.column("key").to_numpy(), table.column("trial").to_numpy()
@@ -268,7 +278,12 @@ def _cross(parts):
         both = (left[ia] < 0) & (left[ib] < 0)
         least = np.where(both, np.maximum(spare[ia], spare[ib]), np.maximum(left[ia], left[ib])) + 1
         fine = counts * parts >= least
-        a, b = names[a[fine].astype(np.int64)], names[b[fine].astype(np.int64)]
+        a, b = a[fine].astype(np.int64), b[fine].astype(np.int64)
+        by = np.argsort(sets.column("set").to_numpy())
+        sizes, bits = sets.column("n").to_numpy()[by], _sketches(sets.column("sketch"))[by]
+        steps = [(a[i : i + 50_000], b[i : i + 50_000]) for i in range(0, len(a), 50_000)]
+        fine = np.concatenate([np.zeros(0, bool), *[may_link(sizes[x], bits[x], sizes[y], bits[y]) for x, y in steps]])
+        a, b = names[a[fine]], names[b[fine]]
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
@@ -346,9 +361,10 @@ class Join:
         left = spare.join(lost, ["class", "trial"], "left").select("class", "trial", "spare", F.coalesce("left", "spare").alias("left"))
         known = known.join(left, ["class", "trial"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
         # Linked sets meet as often as they must in all parts together, so in one of them as often on average.
-        met = known.groupBy("part").applyInArrow(_cross(parts), "a long, b long")
-        rest = self._pairs(met)
-        more = self._linked(self._near(rest.join(star, ["a", "b"], "left_anti")))
+        bits = known.select(F.col("part").alias("dealt"), F.col("class").alias("set")).distinct()
+        bits = bits.join(self.sets.select(F.col("class").alias("set"), "n", "sketch"), "set").select("dealt", "set", "n", "sketch")
+        met = known.groupBy("part").cogroup(bits.groupBy("dealt")).applyInArrow(_cross(parts), "a long, b long")
+        more = self._linked(self._pairs(met).join(star, ["a", "b"], "left_anti"))
         self.links = settle_table(self.links.unionByName(more), "links")
 
     def _sets_of(self, members):
