@@ -6,8 +6,8 @@ by one pattern per language; then comment tokens are blanked. Rules for the patt
 * Java's matcher recurses once per turn of a repeated group unless the group is possessive, so
   every repeated group here is possessive (``*+``) and long literals cannot overflow the stack.
 * Rust, Swift and Kotlin nest block comments, which no pattern can follow to any depth. Rows where
-  a block comment may open inside another are cut by a small Python helper; all other rows send
-  the helper a null, so the text is read once and stays in the JVM.
+  a block comment may open inside another, or several stay open, are cut by a small Python helper;
+  all other rows send the helper a null, so the text is read once and stays in the JVM.
 """
 
 from __future__ import annotations
@@ -29,6 +29,21 @@ from funclab.functions.text import (
 )
 
 _STRING = r'"(?:[^"\\]|\\(?s:.))*+"'
+_INNER = r'"(?:[^"\\\n]|\\[^\n])*+"'
+
+
+def _hole(opener, left, right, levels=3):
+    """Code put into a string, on one line: plain code, strings, and brackets to a few levels."""
+    plain = rf'[^"{left}{right}\n]|{_INNER}'
+    body = rf"(?:{plain})*+"
+    for _ in range(levels):
+        body = rf"(?:{plain}|\{left}{body}\{right})*+"
+    return rf"{opener}{body}\{right}"
+
+
+# A hole that is not closed on its line is read as ordinary text of the string.
+_STRING_KOTLIN = r'"(?:[^"\\$]|\\(?s:.)|' + _hole(r"\$\{", "{", "}") + r'|\$)*+"'
+_STRING_SWIFT = r'"(?:[^"\\]|' + _hole(r"\\\(", "(", ")") + r'|\\(?s:.))*+"'
 _TRIPLE = r'"""(?:[^"\\]|\\(?s:.)|"(?!""))*+"""'
 _RAW_TRIPLE = r'"""(?s:.*?)"""'
 _CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
@@ -45,8 +60,8 @@ _ANY = r"(?s:.)"
 # Per language: literals, comments other than blocks, plain runs that start none of these.
 _TOKENS = {
     "rust": ([_RAW_RUST, _STRING, _CHAR], [_LINE], r'(?:[^"\'/r]++|r(?!#*+"))++'),
-    "kotlin": ([_RAW_TRIPLE, _STRING, _CHAR], [_LINE], r"[^\"'/]++"),
-    "swift": ([_RAW_SWIFT, _TRIPLE, _STRING], [_LINE], r'[^"/#]++'),
+    "kotlin": ([_RAW_TRIPLE, _STRING_KOTLIN, _CHAR], [_LINE], r"[^\"'/]++"),
+    "swift": ([_RAW_SWIFT, _TRIPLE, _STRING_SWIFT], [_LINE], r'[^"/#]++'),
     "c": ([_STRING, _CHAR], [_LINE_C, _INCLUDE], r"[^\"'/#]++"),
     "cpp": (
         [_RAW_CPP, _STRING, _CHAR],
@@ -68,23 +83,49 @@ def token_pattern(language: str, blocks: bool = True) -> str:
     return "|".join([*literals, *comments, *block, plain, _ANY])
 
 
-def _end_of_nested(code, start):
-    depth = 0
-    for found in re.compile(r"/\*|\*/").finditer(code, start):
-        depth += 1 if found.group() == "/*" else -1
-        if depth == 0:
-            return found.end()
-    return None
+_SIGN = re.compile(r"/\*|\*/")
+
+
+def _note_ends(code, start, ends):
+    """Note in ``ends`` where the blocks opened from ``start`` on end, until the first one does."""
+    opened = []
+    for found in _SIGN.finditer(code, start):
+        if found.group() == "/*":
+            opened.append(found.start())
+        else:
+            ends[opened.pop()] = found.end()
+            if not opened:
+                return
+    ends.update(dict.fromkeys(opened))
+
+
+def _block_end(code, at, nests, ends):
+    """End of the block comment that opens at ``at``; None where it stays open."""
+    if nests:
+        if at not in ends:
+            _note_ends(code, at, ends)
+        return ends[at]
+    if "open" in ends:  # no end follows an earlier block, so none follows this one
+        return None
+    found = code.find("*/", at + 2)
+    if found < 0:
+        ends["open"] = at
+        return None
+    return found + 2
 
 
 def nested_tokens(code: str, language: str) -> list[str]:
-    """Tokens of one text, following block comments to any depth."""
+    """Tokens of one text, following block comments to any depth where the language nests them.
+
+    Where blocks end is noted once, so many open blocks cost no more than one.
+    """
     pattern = re.compile(token_pattern(language, blocks=False))
-    tokens, at = [], 0
+    tokens, at, ends = [], 0, {}
     while at < len(code):
-        end = _end_of_nested(code, at) if code.startswith("/*", at) else None
-        if end is None:
-            end = at + 1 if code.startswith("/*", at) else pattern.match(code, at).end()
+        if code.startswith("/*", at):
+            end = _block_end(code, at, language in _NESTING, ends) or at + 1
+        else:
+            end = pattern.match(code, at).end()
         tokens.append(code[at:end])
         at = end
     return tokens
@@ -104,6 +145,12 @@ def _may_nest(code: Column, language: Column) -> Column:
     return language.isin(_NESTING) & (opened >= 4) & F.exists(inner, lambda piece: ~piece.contains("*/"))
 
 
+def _stays_open(code: Column) -> Column:
+    """True where several ``/*`` follow the last ``*/``: a pattern would look for the end of each."""
+    rest = F.substring_index(code, "*/", -1)
+    return F.octet_length(rest) - F.octet_length(F.replace(rest, F.lit("/*"), F.lit(""))) >= 4
+
+
 def _has_comment_sign(code: Column, language: Column) -> Column:
     sign = code.contains("//") | code.contains("/*")
     c_sign = language.isin("c", "cpp") & (code.contains("include") | code.contains("using"))
@@ -131,7 +178,7 @@ def with_tokens(df: DataFrame, code: str, language: str) -> DataFrame:
     """Add ``_lang`` and ``_tokens``; null texts keep null tokens."""
     keyed = df.withColumn("_lang", norm_lang(F.col(language))).withColumn("_code", unify_line_breaks(F.col(code)))
     text, lang = F.col("_code"), F.col("_lang")
-    rare = _nested_tokens_udf(F.when(_may_nest(text, lang), text), lang)
+    rare = _nested_tokens_udf(F.when(_may_nest(text, lang) | (lang.isin(LANGUAGES) & _stays_open(text)), text), lang)
     return (
         keyed.withColumn("_rare", rare)
         .withColumn("_tokens", F.coalesce(F.col("_rare"), flat_tokens(text, lang)))

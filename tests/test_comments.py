@@ -1,5 +1,6 @@
 import glob
 import os
+import time
 import random
 import re
 
@@ -113,6 +114,10 @@ CASES = [
     ("cpp", '#include <a.h> // x\nusing namespace std;\nint b /* c */ = 2; // d \\\n e\nusing T = int;', " \n\nint b  = 2; \n\nusing T = int;"),
     ("cpp", 'auto s = R"x(// "a" )" )x"; /* y */', 'auto s = R"x(// "a" )" )x"; '),
     ("c", "#include \"b.h\"\nint reusing = 1; int u = using;", "\nint reusing = 1; int u = using;"),
+    ("kotlin", 'val u = "${m["http://x"]}/y" + z // c', 'val u = "${m["http://x"]}/y" + z '),
+    ("kotlin", 'val u = "${run { m["//x"] }} $a ${" // c', 'val u = "${run { m["//x"] }} $a ${" '),
+    ("swift", 'let u = "\\(f("http://x"))/y" + z // c', 'let u = "\\(f("http://x"))/y" + z '),
+    ("swift", 'let u = "\\(" // c', 'let u = "\\(" '),
     ("Rust", "a // b\r\nc\r\n", "a \nc"),
     ("rust", "", ""),
     ("C++", "x // é\n", "x "),
@@ -151,6 +156,14 @@ def test_long_texts_do_not_overflow(spark):
     assert [r[0] for r in got] == [2 * big + 3, 2 * big + 7, 2 * big + 7, 0, 0, 2 * big, 1]
 
 
+@pytest.mark.parametrize("lang", ["rust", "cpp"])
+def test_open_blocks_are_linear(spark, lang):
+    code = "x /* y */ " + "/* a " * 200_000 + "// z"
+    start = time.time()
+    assert comments.strip_comments(frame(spark, [(lang, code)])).first().processed_func == "x  " + "/* a " * 200_000
+    assert time.time() - start < 20
+
+
 def test_unknown_language_fails(spark):
     with pytest.raises(Exception, match="no comment rules"):
         comments.strip_comments(frame(spark, [("cobol", "a // b")])).collect()
