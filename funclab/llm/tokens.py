@@ -3,7 +3,8 @@
 Both vocabularies used here cut a text at every step from a character that is not white space to
 one that is, before any merge. The ids of a text are therefore the ids of its words (with the
 white space before each, where it counts) one after the other, and a word met before need not be
-encoded again.
+encoded again. A new ASCII word is cut by the vocabulary's own pattern; of its parts most are
+known already, and the others go to the vocabulary's merges directly.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from funclab.llm.common import worker_store
 
 # White space of Unicode's White_Space property, which is what the vocabularies' patterns use.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Words kept by a worker are at most twice this many.
-KEPT_WORDS = 500_000
+#: Words, and parts of words, kept by a worker are at most twice this many each.
+KEPT_WORDS = 300_000
+# How the vocabularies cut a text before merges (for ASCII); the second one is met in lower case.
+BYTE_PARTS = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+WORD_PARTS = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
 
 
 class _Kept(dict):
@@ -52,12 +56,27 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.words = _Kept(self._word)
+        self.parts = _Kept(self._part)
+        self.cut = re.compile(BYTE_PARTS if spaced else WORD_PARTS, re.ASCII).findall
+        # With ``spaced``, words by what follows the one space before them.
+        self.words = _Kept((lambda word: self._word(" " + word)) if spaced else self._word)
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaced else f"[^{SPACE}]+")
         self.doubled = re.compile(f" [{SPACE}]|[{SPACE}] ")
 
     def _word(self, word: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        if word.isascii():
+            return b"".join(map(self.parts.__getitem__, self.cut(word if self.spaced else word.lower())))
+        return self._whole(word)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isprintable():
+            return self._whole(part)
+        # Merges work on characters that stand for bytes; of printable ASCII only the space has another.
+        ids = [token.id for token in self.tokenizer.model.tokenize(part.replace(" ", "\u0120"))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
@@ -68,9 +87,9 @@ class TextEncoder:
             plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
             return b"".join(map(self.words.__getitem__, text.split() if plain else self.pieces.findall(text)))
         if text[0] == " " or text[-1] == " " or self.doubled.search(text):
-            return b"".join(map(self.words.__getitem__, self.pieces.findall(text)))
+            return b"".join(map(self._word, self.pieces.findall(text)))
         first, *rest = text.split(" ")
-        return self._word(first) + b"".join([self.words[" " + word] for word in rest])
+        return self._word(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 def encoder(path: str, spaced: bool) -> TextEncoder:

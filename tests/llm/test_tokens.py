@@ -17,6 +17,7 @@ BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 ODD = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "x\x1cy", "x!\x1c y", "  two", "don't stop <|endoftext|> now", "é́ x",
     "tab\tand nbsp 　 wide", "İstanbul ΣΑΣ", "😀 😀\n\n\nq", "a b ́c", "9 99 999", "it's 'tis we'll\r\n",
+    "a\n\nb", "I'M don't'll'x", "~^!! 12a3 A1B2", "\x00\x01 \x7f", "a\x0bb\x0c",
 ]
 
 
