@@ -112,3 +112,22 @@ def parse_line_list(text: Column) -> Column:
 def parse_ranking(text: Column) -> Column:
     """``"[3, 1]"`` to ``[3, 1]``."""
     return F.from_json(text, "array<int>")
+
+
+def rounded(number: Column, places: int = 2) -> Column:
+    """A double of at least 0, below 2^53 / 10^places, rounded to the nearest decimal as its binary value stands.
+
+    A value exactly between two decimals goes to the even one, so 0.125 gives 0.12, while 2.675,
+    whose double lies below its decimal, gives 2.67. The comparison with the middle is made in
+    integers: the fraction is laid out in as many binary places as a bigint has room for.
+    """
+    scale, fives = 10**places, 5**places
+    shift = 62 - fives.bit_length()
+    whole = F.floor(number)
+    fraction = number - whole
+    steps = F.floor(fraction * scale)
+    laid = fraction * float(2**shift)
+    units = laid.cast("bigint")
+    above = (units * fives - (steps * 2 + 1) * 2 ** (shift - 1 - places)).cast("double") + (laid - units) * fives
+    up = (above > 0) | ((above == 0) & (steps % 2 == 1))
+    return (whole * scale + steps + up.cast("int")).cast("double") / scale

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funclab.functions.responses import locate_lines
-from funclab.functions.text import lines_of_code, parse_line_list
+from funclab.functions.text import lines_of_code, parse_line_list, rounded
 from funclab.operators.metrics import ratio
 from funclab.operators.results import gives_answers, overlap_semi_join
 from funclab.plans.settle import lookup_join, settle, settle_table
@@ -72,9 +72,10 @@ def _topk_columns():
     return [F.avg(test.cast("double")).alias(f"top_{k}_accuracy") for k, test in tests.items()]
 
 
-def _ifa_column():
+def _ifa_column(places=None):
     clean = F.coalesce(_first_hit() - 1, F.when(F.col("n_said") > 0, F.col("n_said")).otherwise(F.col("loc")))
-    return F.avg(clean).alias("ifa")
+    mean = F.avg(clean)
+    return (mean if places is None else rounded(mean, places)).alias("ifa")
 
 
 def topk_accuracy(facts: DataFrame, by=tuple(RUN_KEYS)) -> DataFrame:
@@ -82,12 +83,13 @@ def topk_accuracy(facts: DataFrame, by=tuple(RUN_KEYS)) -> DataFrame:
     return facts.groupBy(*by).agg(*_topk_columns())
 
 
-def ifa(facts: DataFrame, by=tuple(RUN_KEYS)) -> DataFrame:
+def ifa(facts: DataFrame, by=tuple(RUN_KEYS), places: int | None = None) -> DataFrame:
     """Mean number of clean lines read before the first right one.
 
     Without a right line all predicted lines count, and without any predicted line the function.
+    With ``places`` each run's mean is rounded, before any mean over runs.
     """
-    return facts.groupBy(*by).agg(_ifa_column())
+    return facts.groupBy(*by).agg(_ifa_column(places))
 
 
 def recall_at_loc(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS)) -> DataFrame:
@@ -161,10 +163,10 @@ def effort_at_recall(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), ex
     return effort.select(*by, share.alias("effort_at_20_recall"))
 
 
-def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS)) -> DataFrame:
+def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS), ifa_places: int | None = None) -> DataFrame:
     """All line scores per run, over true positives (within ``overlap``, when given).
 
-    ``ifa`` is not rounded. Runs without any true positive are listed with the worst values.
+    ``ifa`` is rounded to ``ifa_places``, if given. Runs without any true positive are listed with the worst values.
     """
     by, exp = list(by), list(exp)
     totals = settle(totals)
@@ -172,7 +174,7 @@ def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | Non
     scores = facts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_true_positives"),
         *_topk_columns(),
-        _ifa_column(),
+        _ifa_column(ifa_places),
         F.sum("n_hits_in_cut").alias("_in_cut"),
     )
     runs = results.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -28,9 +28,9 @@ def avg_func_metrics(results: DataFrame, skips: DataFrame | None = None, by=tupl
     return _means(per_run, FUNC_METRICS, by, zero.alias("zero_f1_experiments"))
 
 
-def avg_line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, skips: DataFrame | None = None, by=tuple(SCORE_KEYS)) -> DataFrame:
-    """Mean line scores over the experiments present."""
-    per_run = line_metrics(without_skipped(results, skips), totals, overlap)
+def avg_line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, skips: DataFrame | None = None, by=tuple(SCORE_KEYS), ifa_places: int | None = None) -> DataFrame:
+    """Mean line scores over the experiments present; ``ifa_places`` rounds each run's IFA before the mean."""
+    per_run = line_metrics(without_skipped(results, skips), totals, overlap, ifa_places=ifa_places)
     return _means(per_run, LINE_METRICS, by)
 
 
@@ -39,7 +39,7 @@ def with_absent_experiments(means: DataFrame, n_experiments: int = 10, included=
     return means.withColumn("absent_experiments", complement(F.col(included), n_experiments))
 
 
-def score_matrix(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, skips: DataFrame | None = None, by=tuple(SCORE_KEYS)) -> DataFrame:
+def score_matrix(results: DataFrame, totals: DataFrame, overlap: DataFrame | None = None, skips: DataFrame | None = None, by=tuple(SCORE_KEYS), ifa_places: int | None = None) -> DataFrame:
     """Function and line means side by side, one row per configuration and model.
 
     Function scores average every experiment; line scores leave out the skipped ones and say which
@@ -47,5 +47,5 @@ def score_matrix(results: DataFrame, totals: DataFrame, overlap: DataFrame | Non
     """
     by = list(by)
     func = avg_func_metrics(results, None, by).withColumnRenamed("include_experiments", "func_experiments")
-    line = avg_line_metrics(results, totals, overlap, skips, by).withColumnRenamed("include_experiments", "line_experiments")
+    line = avg_line_metrics(results, totals, overlap, skips, by, ifa_places).withColumnRenamed("include_experiments", "line_experiments")
     return func.join(line, by, "left").orderBy(*by)

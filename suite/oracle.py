@@ -552,6 +552,8 @@ BODIES = {
     "func_metrics": f"SELECT {RUN}, tp, fp, fn, tn, {FUNC} FROM v_func_scores",
     "topk_accuracy": f"SELECT {RUN}, {r9('top_1_accuracy', 'top_3_accuracy', 'top_5_accuracy', 'top_10_accuracy')} FROM v_line_scores WHERE n_true_positives > 0",
     "ifa": f"SELECT {RUN}, {r9('ifa')} FROM v_line_scores WHERE n_true_positives > 0",
+    # Formatting a double rounds its exact binary value, halves to even.
+    "ifa_rounded": f"SELECT {RUN}, format('{{:.2f}}', ifa)::DOUBLE AS ifa FROM v_line_scores WHERE n_true_positives > 0",
     "effort_at_recall": f"SELECT {RUN}, {r9('effort_at_20_recall')} FROM v_line_scores WHERE n_true_positives > 0",
     "recall_at_loc": f"SELECT {RUN}, {r9('recall_at_1_loc')} FROM v_line_scores WHERE n_true_positives > 0",
     "line_metrics": f"SELECT {RUN}, n_true_positives, {LINE} FROM v_line_scores",

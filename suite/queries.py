@@ -521,6 +521,12 @@ def ifa(spark, sf):
     return _rounded(linelevel.ifa(facts), "ifa")
 
 
+@query
+def ifa_rounded(spark, sf):
+    facts, _ = _facts(spark, sf)
+    return linelevel.ifa(facts, places=2)
+
+
 @query
 def effort_at_recall(spark, sf):
     facts, totals = _facts(spark, sf)

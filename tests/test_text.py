@@ -52,3 +52,11 @@ def test_language_names(spark):
     assert one(spark, text.norm_lang(F.col("v")), v="Rust") == "rust"
     assert one(spark, text.title_lang(F.col("v")), v="kOTLIN") == "Kotlin"
     assert one(spark, text.lines_of_code(F.col("v")), v="a\n\nb\n") == 4
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    values = [0.0, 0.005, 0.015, 0.045, 0.125, 0.285, 0.29, 0.375, 0.995, 1.005, 2.675, 2.665, 100.0, 12345.675, 0.99999, 7.125]
+    values += [s / n for n in (3, 8, 40, 200, 1000) for s in range(1, 700, 7)]
+    for places in (2, 4):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.rounded(F.col("v"), places).alias("r")).collect()
+        assert [r.r for r in got] == [round(r.v, places) for r in got]
