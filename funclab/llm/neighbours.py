@@ -2,17 +2,16 @@
 
 Trees are fitted on a bounded sample. Every row is put into one leaf of each tree; where the table
 is larger than the sample, leaves are cut further by random planes through their centre, so that a
-leaf holds about as many rows at every size. A query walks all trees through one priority queue,
+leaf holds about as many rows at every size. The leaves of all trees are in one order,
 in which a branch counts as the smallest distance to a plane that was crossed on the way, and the
-rows of the leaves it meets first are ranked by their exact cosine.
+rows of the leaves it meets first are ranked by their exact cosine. The number of these leaves grows
+with the number of leaves, so that recall does not fall with the size of the table.
 
 Rows of one vector are indexed once, with their smallest ids, so a common vector costs one row.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +23,10 @@ from funclab.plans.settle import settle_table
 FIT_ROWS = 60_000
 LEAF = 64
 TREES = 32
+#: Leaves that a query ranks for each that the sample alone would have; levels below it double them.
 PROBES = 600
-#: Index rows of one group of leaves, about.
-CELL_ROWS = 40_000
+#: Index rows of one group of leaves, about, and queries that one task ranks in it.
+CELL_ROWS, CELL_QUERIES = 40_000, 20_000
 _HIT = "query long, rep long, score double, members array<long>"
 
 
@@ -34,7 +34,7 @@ class Forest:
     """Random-projection trees over unit vectors. ``extra``: levels below the fitted leaves."""
 
     def __init__(self, trees, extra, planes):
-        self.trees, self.extra, self.planes = trees, extra, planes
+        self.trees, self.extra, self.planes, self.levels = trees, extra, planes, None
 
     @classmethod
     def fit(cls, sample: np.ndarray, n_trees, leaf, extra, seed=3) -> Forest:
@@ -86,26 +86,51 @@ class Forest:
                 out[t] = out[t] * 2 + bit
         return out
 
+    def _levels(self, t):
+        """Inner nodes of a tree, by their depth."""
+        children, out, now = self.trees[t][2], [], np.arange(min(1, len(self.trees[t][2])))
+        while len(now):
+            out.append(now)
+            below = children[now].ravel()
+            now = below[below > 0]
+        return out
+
+    def costs(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each tree, the smallest distance to a plane that is crossed from a query (a row) to a leaf (a column)."""
+        if self.levels is None:
+            self.levels = [self._levels(t) for t in range(len(self.trees))]
+        out = []
+        for t, (normals, offsets, children, centres) in enumerate(self.trees):
+            cost = np.full((len(centres), len(vectors)), -np.inf, np.float32)
+            inner, margin = np.full((len(normals), len(vectors)), -np.inf, np.float32), normals @ vectors.T - offsets[:, None]
+            for nodes in self.levels[t]:
+                for side in (0, 1):
+                    child = children[nodes, side]
+                    below = np.maximum(inner[nodes], -margin[nodes] if side else margin[nodes])
+                    cost[-child[child < 0] - 1], inner[child[child > 0]] = below[child < 0], below[child > 0]
+            cost = cost.T[:, :, None]
+            for plane in self.planes[t]:
+                margin = ((vectors @ plane)[:, None] - centres @ plane)[:, :, None]
+                cost = np.stack([np.maximum(cost, margin), np.maximum(cost, -margin)], axis=3).reshape(*cost.shape[:2], -1)
+            out.append(cost.reshape(len(vectors), -1))
+        return out
+
+    def search_all(self, vectors: np.ndarray, probes: int):
+        """For each query, the trees and the leaves that it meets first, over all trees."""
+        sizes = [len(tree[3]) << self.extra for tree in self.trees]
+        starts = np.cumsum([0, *sizes])
+        step = max(1, (1 << 22) // int(starts[-1]))
+        for i in range(0, len(vectors), step):
+            cost = np.concatenate(self.costs(vectors[i : i + step]), axis=1)
+            for row in cost:
+                at = np.argpartition(row, probes)[:probes] if probes < len(row) else np.arange(len(row))
+                tree = np.searchsorted(starts, at, side="right") - 1
+                yield tree, at - starts[tree]
+
     def search(self, vector: np.ndarray, probes: int) -> list[tuple[int, int]]:
         """The first (tree, leaf) pairs that a query meets, over all trees."""
-        heap = [(-np.inf, t, 0 if len(tree[0]) else -1, 0, 0) for t, tree in enumerate(self.trees)]
-        found = []
-        while heap and len(found) < probes:
-            cost, t, node, level, bits = heapq.heappop(heap)
-            normals, offsets, children, centres = self.trees[t]
-            if node >= 0:
-                margin = float(vector @ normals[node]) - float(offsets[node])
-                for side in (0, 1):
-                    far = -margin if side else margin
-                    heapq.heappush(heap, (max(cost, far), t, int(children[node, side]), 0, 0))
-            elif level < self.extra:
-                margin = float((vector - centres[-node - 1]) @ self.planes[t, level])
-                for side in (0, 1):
-                    far = -margin if side else margin
-                    heapq.heappush(heap, (max(cost, far), t, node, level + 1, bits * 2 + side))
-            else:
-                found.append((t, ((-node - 1) << self.extra) | bits))
-        return found
+        tree, leaf = next(self.search_all(vector[None], probes))
+        return list(zip(tree.tolist(), leaf.tolist()))
 
 
 def _unit(rows, dim):
@@ -123,7 +148,7 @@ def vectors_of(table: DataFrame) -> DataFrame:
     return rows.filter(fine & F.exists("vec", lambda x: x != 0)).distinct()
 
 
-def _index_rows(forest, dim, cells):
+def _index_rows(forest, dim, cells, slices):
     def run(batches):
         import pyarrow as pa
 
@@ -133,23 +158,32 @@ def _index_rows(forest, dim, cells):
                 continue
             at = f.leaves(_unit(b.column("vec").to_pylist(), dim).astype(np.float32))
             for t in range(len(at)):
-                cell = (at[t] * 1_000_003 + t) % cells
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(at[t] * 1024 + t), *b.columns], names=["cell", "leaf", *b.schema.names])
+                cell = (at[t] * 1_000_003 + t) % cells * slices
+                for k in range(slices):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + k), pa.array(at[t] * 1024 + t), *b.columns], names=["cell", "leaf", *b.schema.names])
 
     return run
 
 
-def _probe_rows(forest, dim, cells, probes):
+def _probe_rows(forest, dim, cells, slices, probes):
+    """A row for each query and group of leaves that it asks, with all leaves of the group that it asks for."""
+
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.float64())]
         for b in batches:
-            out = []
-            for q, vec, unit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unit(b.column(1).to_pylist(), dim)):
-                out += [((leaf * 1_000_003 + t) % cells, leaf * 1024 + t, q, vec) for t, leaf in forest.value.search(unit.astype(np.float32), probes)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cell", "leaf", "query", "vec"])
+            if not b.num_rows:
+                continue
+            met = forest.value.search_all(_unit(b.column(1).to_pylist(), dim).astype(np.float32), probes)
+            for i, (tree, leaf) in enumerate(met):
+                query = b.column(0)[i].as_py()
+                cell = (leaf * 1_000_003 + tree) % cells * slices + (query * 0x9E3779B1 >> 16) % slices
+                order = np.argsort(cell, kind="stable")
+                at, starts = np.unique(cell[order], return_index=True)
+                asked = np.split((leaf * 1024 + tree)[order], starts[1:])
+                columns = [at, asked, np.full(len(at), query), [b.column(1)[i].as_py()] * len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cell", "leaves", "query", "vec"])
 
     return run
 
@@ -161,14 +195,14 @@ def _rank(dim, best):
         out = []
         held = rows.groupby("leaf").indices
         known, reps = _unit(rows["vec"].tolist(), dim) if len(rows) else None, rows["rep"].to_numpy()
-        for query, at in queries.groupby("query").indices.items():
+        for query, leaves, vec in zip(queries["query"], queries["leaves"], queries["vec"]):
             # A group holds several leaves, of which a query may ask for any, of any tree.
-            mine = [held[leaf] for leaf in queries["leaf"].iloc[at] if leaf in held]
+            mine = [held[leaf] for leaf in leaves if leaf in held]
             if not mine:
                 continue
             mine = np.concatenate(mine)
             mine = mine[np.unique(reps[mine], return_index=True)[1]]
-            score = known[mine] @ _unit([queries["vec"].iloc[at[0]]], dim)[0]
+            score = known[mine] @ _unit([vec], dim)[0]
             for i in np.lexsort((reps[mine], -score))[:best]:
                 out.append((query, reps[mine[i]], score[i], rows["members"].iloc[mine[i]]))
         return pd.DataFrame(out, columns=["query", "rep", "score", "members"])
@@ -197,10 +231,12 @@ def nearest(table: DataFrame, k=5, every=50, n_trees=TREES, probes=PROBES, fit_r
     extra = max(0, int(np.ceil(np.log2(n / fit_rows))))
     forest = spark.sparkContext.broadcast(Forest.fit(_unit(sample.to_pylist(), dim), n_trees, leaf, extra))
     cells = max(1, n * n_trees // CELL_ROWS)
-    index = classes.mapInArrow(_index_rows(forest, dim, cells), "cell long, leaf long, rep long, vec array<double>, members array<long>")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    asked = queries.groupBy("vec").agg(F.min("vec_id").alias("query"))
-    probed = asked.select("query", "vec").mapInArrow(_probe_rows(forest, dim, cells, probes), "cell long, leaf long, query long, vec array<double>")
+    asked = settle_table(queries.groupBy("vec").agg(F.min("vec_id").alias("query")), "asked")
+    slices = asked.count() // CELL_QUERIES + 1
+    index = classes.mapInArrow(_index_rows(forest, dim, cells, slices), "cell long, leaf long, rep long, vec array<double>, members array<long>")
+    # As many more leaves as the table has for those of the sample, so that the share that is ranked stays the same.
+    probed = asked.select("query", "vec").mapInArrow(_probe_rows(forest, dim, cells, slices, probes << extra), "cell long, leaves array<long>, query long, vec array<double>")
     hits = probed.groupBy("cell").cogroup(index.groupBy("cell")).applyInPandas(_rank(dim, k + 1), _HIT)
     hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score"), F.first("members").alias("members"))
     near = hits.select("query", "score", F.explode("members").alias("vec_id"))

@@ -117,6 +117,18 @@ def test_forest_cuts_leaves_evenly():
     assert set(own) <= set(f.search(x[5].astype(np.float32), 60))
 
 
+def test_neighbours_of_a_table_several_times_the_sample(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.nearest(table, every=200, fit_rows=1000, n_trees=8, probes=60, leaf=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set(np.argsort(-(x @ x[q]))[1:6].tolist()) for q in range(0, 8000, 200)}
+    assert sum(len(got[q] & want[q]) for q in want) / (5 * len(want)) > 0.9
+
+
 def test_language(spark):
     rng = random.Random(8)
     kinds = {"aa": "the of and in house river green", "bb": "der die und haus fluss grün", "cc": "le la et maison rivière vert"}
