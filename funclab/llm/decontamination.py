@@ -36,13 +36,14 @@ def row_key(docs: DataFrame):
 
 
 def windows_of(tests: DataFrame, window=WINDOW) -> DataFrame:
-    """item, at, length and words (lower-cased) of each window; an item of fewer words is one window."""
+    """item, key (of the item and its words), at, length and words (lower-cased) of each window; an item of fewer words is one window."""
     words = F.filter(split_words(F.translate("text", _UPPER, _LOWER)), lambda x: x != "")
     items = tests.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - window, F.lit(0))
-    rows = items.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    # Other texts under the same id are items of their own.
+    rows = items.select("item", F.xxhash64("item", "w").alias("key"), "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     part = F.slice("w", F.col("at") + 1, window)
-    return rows.select("item", "at", F.size(part).alias("length"), part.alias("words")).distinct()
+    return rows.select("item", "key", "at", F.size(part).alias("length"), part.alias("words")).distinct()
 
 
 class Index:
@@ -57,17 +58,17 @@ class Index:
         self.docs = docs.select("doc_id", "text", row_key(docs).alias("row"))
         # An item text that stands twice under one id has its windows once.
         items = windows_of(tests, window)
-        terms = items.select("item", "at", "length", F.posexplode("words").alias("place", "word"))
-        terms = terms.select("item", "at", (F.col("at") + F.col("place")).alias("offset"), F.lower("word").alias("term"))
+        terms = items.select("key", "at", "length", F.posexplode("words").alias("place", "word"))
+        terms = terms.select("key", "at", (F.col("at") + F.col("place")).alias("offset"), F.lower("word").alias("term"))
         terms, items = settle_table(terms, "terms"), settle_table(items, "windows")
         vocabulary = settle_table(terms.select("term").distinct(), "vocabulary")
         counts = lookup_join(self._tokens().select("row", "term"), vocabulary, ["term"], spread="row").groupBy("term").count()
-        rank = Window.partitionBy("item", "at").orderBy(F.coalesce("count", F.lit(0)), "offset")
+        rank = Window.partitionBy("key", "at").orderBy(F.coalesce("count", F.lit(0)), "offset")
         ranked = terms.join(settle_table(counts, "counts"), "term", "left").withColumn("rank", F.row_number().over(rank))
-        anchors = settle_table(ranked.filter(F.col("rank") <= rarest).select("item", "at", "offset", "term", "rank"), "anchors")
-        needed = anchors.groupBy("item", "at").agg(F.collect_set("offset").alias("needed"))
-        self.windows = settle_table(items.join(needed, ["item", "at"]), "windows")
-        self.anchors = settle_table(anchors.select("item", "offset", "term").distinct(), "anchors")
+        anchors = settle_table(ranked.filter(F.col("rank") <= rarest).select("key", "at", "offset", "term", "rank"), "anchors")
+        needed = anchors.groupBy("key", "at").agg(F.collect_set("offset").alias("needed"))
+        self.windows = settle_table(items.join(needed, ["key", "at"]), "windows")
+        self.anchors = settle_table(anchors.select("key", "offset", "term").distinct(), "anchors")
         chosen = settle_table(anchors.select("term").distinct(), "terms")
         self.postings = settle_table(lookup_join(self._tokens(), chosen, ["term"], spread="row").distinct(), "postings")
 
@@ -78,8 +79,8 @@ class Index:
     def aligned(self) -> DataFrame:
         """row, start and a window whose looked-up terms all stand in their places, not yet compared in full."""
         met = lookup_join(self.postings, self.anchors, ["term"], spread="row")
-        met = met.groupBy("row", "item", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.collect_set("offset").alias("met"))
-        rows = lookup_join(met, self.windows, ["item"], spread="row")
+        met = met.groupBy("row", "key", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.collect_set("offset").alias("met"))
+        rows = lookup_join(met, self.windows, ["key"], spread="row")
         rows = rows.filter(F.size(F.array_intersect("needed", "met")) == F.size("needed"))
         return rows.select("row", (F.col("shift") + F.col("at")).cast("int").alias("start"), "length", "item", "words").filter("start >= 0")
 
@@ -100,10 +101,10 @@ class Index:
         Windows of one word, and words in other texts that only differ in letters beyond A-Z, are
         met as they are. Positions are met by ranges of ``slop`` words, not by all pairs of a text.
         """
-        pairs = self.windows.filter(F.size("needed") == 2).select("item", "at", F.array_sort("needed").alias("n"))
-        pairs = pairs.select("item", "at", F.col("n")[0].alias("o1"), F.col("n")[1].alias("o2"))
-        side = lambda k: self.anchors.select("item", F.col("offset").alias(f"o{k}"), F.col("term").alias(f"term{k}"))
-        pairs = settle_table(pairs.join(side(1), ["item", "o1"]).join(side(2), ["item", "o2"]), "pairs")
+        pairs = self.windows.filter(F.size("needed") == 2).select("item", "key", "at", F.array_sort("needed").alias("n"))
+        pairs = pairs.select("item", "key", "at", F.col("n")[0].alias("o1"), F.col("n")[1].alias("o2"))
+        side = lambda k: self.anchors.select("key", F.col("offset").alias(f"o{k}"), F.col("term").alias(f"term{k}"))
+        pairs = settle_table(pairs.join(side(1), ["key", "o1"]).join(side(2), ["key", "o2"]), "pairs")
         width = slop + 1
         place = lambda k: self.postings.select("row", F.col("term").alias(f"term{k}"), F.col("pos").alias(f"pos{k}"))
         first = lookup_join(place(1), pairs, ["term1"], spread="row").withColumn("due", F.expr("pos1 + o2 - o1"))

@@ -56,6 +56,20 @@ def test_passages(spark, texts):
     assert decontamination.contamination(d, t.filter("false")).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+def test_two_texts_under_one_id(spark):
+    rng = random.Random(9)
+    bodies = [[f"{k}{i}" for i in range(13)] for k in ("p", "q", "r", "s")]
+    # The terms of one text at each id are rarer than all of the other's.
+    docs = [(i, " ".join(body)) for i, body in enumerate(bodies)] + [(10 + i, " ".join(rng.sample(body, 13))) for i in range(5) for body in bodies[::2]]
+    tests = [(4, docs[0][1]), (4, docs[1][1]), (None, docs[2][1]), (None, docs[3][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(tests, "item_id long, text string")
+    got = decontamination.contamination(d, t).drop("row").collect()
+    # As in brute, an id of 0 is -1.
+    assert sorted((r[0] or -1, *r[1:]) for r in got) == brute(docs, tests) and sum(r[-1] for r in got) == 4
+    assert not {0, 1, 2, 3} & {r["doc_id"] for r in decontamination.clean(d, t).collect()}
+
+
 def test_passages_without_broadcast(spark, texts, monkeypatch):
     from funclab.plans import settle
 
