@@ -10,7 +10,8 @@ A set with too few blocks in use for its band tries again with more blocks, and
 do not need to are met on what both have tried. A block that very many sets share is not needed by
 a set that still has enough others; only sets that depend on it are paired there. In each group the
 set with most company is compared with the others first, and sets that are connected by then are
-not paired again; two others are, if they meet on as many blocks as linked ones must.
+not paired again; two others are, if they meet on as many blocks as linked ones must. This gives the
+components; then all sets of a component are compared, by pairs of blocks of them, for all links.
 
 Before sets are compared, so are bit sketches, in which each shingle turns one bit: their Hamming
 distance is at most the number of shingles in which the sets differ.
@@ -35,6 +36,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 SHARED = 16
 #: Members of keys, about, whose pairs one task counts.
 OPENED = 200_000
+#: Sets of a block, about, of which a task compares two.
+BLOCK = 512
 #: Bits of a sketch.
 SKETCH = 2048
 #: Keys of one bucket, about, and shingles that a task gathers before it deals out their keys.
@@ -301,6 +304,62 @@ def _verify(batches):
         yield b.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
+def _links_within(a, sets_a, n_a, bits_a, b, sets_b, n_b, bits_b, step=64):
+    """Places in ``a`` and ``b`` of the linked pairs of two blocks, a pair of one block once."""
+    words = np.unique(np.concatenate([*sets_a, *sets_b]))
+    owner = np.repeat(np.arange(len(b)), n_b)
+    at = np.searchsorted(words, np.concatenate(sets_b))
+    order = np.argsort(at, kind="stable")
+    owner, starts = owner[order], np.searchsorted(at[order], np.arange(len(words) + 1))
+    for i in range(0, len(a), step):
+        x, y = np.meshgrid(np.arange(i, min(i + step, len(a))), np.arange(len(b)), indexing="ij")
+        x, y = x.ravel(), y.ravel()
+        fine = DENOMINATOR * np.minimum(n_a[x], n_b[y]) >= NUMERATOR * np.maximum(n_a[x], n_b[y])
+        if a is b:
+            fine &= x < y
+        x, y = x[fine], y[fine]
+        fine = may_link(n_a[x], bits_a[x], n_b[y], bits_b[y])
+        x, y = x[fine], y[fine]
+        for k in np.unique(x):
+            other = y[x == k]
+            mine = np.searchsorted(words, sets_a[k])
+            # Members of the other block that have each shingle of this set.
+            low, many = starts[mine], starts[mine + 1] - starts[mine]
+            every = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            both = np.bincount(owner[every], minlength=len(b))[other]
+            linked = other[DENOMINATOR * both >= NUMERATOR * (n_a[k] + n_b[other] - both)]
+            yield k, linked
+
+
+def _block_links(count):
+    """Verified pairs of classes of two blocks of a component, or the rows that each class is linked with there."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        low, high = key[1].as_py(), key[2].as_py()
+        table = table.sort_by("class")
+        block, names, weight = (table.column(c).to_numpy() for c in ("block", "class", "rows"))
+        n, bits = table.column("n").to_numpy().astype(np.int64), _sketches(table.column("sketch"))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("held")]
+        side = lambda at: (at, [held[i] for i in at], n[at], bits[at])
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        first = side(a)
+        found = _links_within(*first, *(first if low == high else side(b))) if len(a) and len(b) else ()
+        b = a if low == high else b
+        if count:
+            total = np.zeros(len(names), np.int64)
+            for k, linked in found:
+                total[a[k]] += weight[b[linked]].sum()
+                total[b[linked]] += weight[a[k]]
+            return pa.table({"class": names, "linked": total})
+        pairs = [(names[a[k]], names[b[i]]) for k, linked in found for i in linked]
+        x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """class and label (the smallest class that links lead to) of the classes in ``links`` (a, b)."""
     both = links.select("a", "b").union(links.select("b", "a"))
@@ -321,7 +380,12 @@ def row_key():
 
 
 class Join:
-    """``docs`` (row, doc_id, class, size) and verified ``links`` between classes of different sets."""
+    """``docs`` (row, doc_id, class, size) and verified ``links`` between classes of different sets.
+
+    ``links`` are as many as connect each component, and not all: sets that are connected by then
+    are not paired again. As no link leaves a component, ``pairs`` and ``linked_rows`` have all of
+    them, by comparing the sets within each one.
+    """
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
@@ -365,7 +429,32 @@ class Join:
         bits = bits.join(self.sets.select(F.col("class").alias("set"), "n", "sketch"), "set").select("dealt", "set", "n", "sketch")
         met = known.groupBy("part").cogroup(bits.groupBy("dealt")).applyInArrow(_cross(parts), "a long, b long")
         more = self._linked(self._pairs(met).join(star, ["a", "b"], "left_anti"))
-        self.links = settle_table(self.links.unionByName(more), "links")
+        self.links, self._labels = settle_table(self.links.unionByName(more), "links"), None
+
+    def labels(self):
+        """class and label of the classes that have links."""
+        if self._labels is None:
+            self._labels = components(self.links)
+        return self._labels
+
+    def _blocks(self):
+        """The sets of each component, dealt over pairs of blocks."""
+        labels = settle_table(self.labels(), "labels")
+        blocks = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = self.docs.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+        rows = lookup_join(labels, settle_table(blocks, "blocks"), ["label"], spread="class").join(rows, "class")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+        rows = rows.join(self.sets, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "rows", "n", "sketch", "held").groupBy("label", "low", "high")
+
+    def pairs(self) -> DataFrame:
+        """a and b of all linked classes of different sets, the smaller first."""
+        return self._blocks().applyInArrow(_block_links(False), "a long, b long")
+
+    def linked_rows(self) -> DataFrame:
+        """class and linked: the rows in all classes that the class is linked with. Pairs do not leave their tasks."""
+        found = self._blocks().applyInArrow(_block_links(True), "class long, linked long")
+        return found.groupBy("class").agg(F.sum("linked").alias("linked"))
 
     def _sets_of(self, members):
         wanted = members.select("class").distinct()
@@ -397,14 +486,27 @@ def near_groups(documents: DataFrame) -> DataFrame:
     documents of their own; component_id is the smallest id that links lead to, and null where all
     of these are null. Other columns are not read. Sets are compared by 64-bit hashes of shingles.
     """
+    return _groups(Join(documents)).drop("class")
+
+
+def linked_groups(documents: DataFrame) -> DataFrame:
+    """The same, and n_links: the number of other rows whose similarity with the row is 0.8 or more, equal ones too."""
     join = Join(documents)
-    labels = components(join.links)
-    docs = join.docs.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    docs = _groups(join)
+    copies = docs.filter("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+    links = copies.join(join.linked_rows(), "class", "left").select("class", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = docs.join(settle_table(links, "n_links"), "class", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long")
+    return out.select("row", "doc_id", "n_shingles", "component_id", own.alias("n_links"))
+
+
+def _groups(join: Join) -> DataFrame:
+    docs = join.docs.join(join.labels(), "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = docs.filter("size > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     # A label that many rows have is one row on the other side, and a skewed join is split.
     out = docs.join(lowest, "label", "left")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return out.select("row", "doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), "class")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:

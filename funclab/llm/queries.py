@@ -61,7 +61,7 @@ def op9_katz(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
-    return jaccard_join.near_groups(read_table(spark, sf_dir, "documents")).drop("row")
+    return jaccard_join.linked_groups(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES = {

@@ -64,6 +64,19 @@ def test_groups(spark, rows, monkeypatch, shared):
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
 
 
+def test_all_links(spark, rows, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = sets(rows)
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(r[0], len(x), c, sum(link(x, y) for y in s) - bool(x)) for r, x, (_, _, c) in zip(rows, s, brute(rows))]
+    assert sorted(map(str, (tuple(r) for r in jj.linked_groups(docs).drop("row").collect()))) == sorted(map(str, want))
+    different = list(set(s))
+    n = sum(link(x, y) for i, x in enumerate(different) for y in different[:i])
+    got = [tuple(r) for r in jj.Join(docs).pairs().collect()]
+    assert len(got) == len(set(got)) == n and all(a < b for a, b in got)
+
+
 def test_one_of_each_group_stays(spark, rows):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
     kept = jj.keep_first(docs)
