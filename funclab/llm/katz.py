@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from funclab.llm.common import new_name, scratch_path, store_at, worker_store
 
 #: Tokens of a block, about, and of what one bucket gathers.
-BLOCK = 5_000_000
-BUCKET = 2_000_000
+BLOCK = 1_500_000
+BUCKET = 1_000_000
 #: Words kept with their hash by a worker.
 KEPT = 300_000
 #: Counts up to this one are discounted.
