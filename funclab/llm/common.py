@@ -7,16 +7,36 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from funclab.plans.settle import scratch_path, settle_table
+from funclab.plans.settle import lookup_join, scratch_path, settle_table
 
-__all__ = ["read_table", "scratch_path", "settle_table", "store_at", "new_name", "worker_store"]
+__all__ = ["read_table", "scratch_path", "settle_table", "keyed_join", "store_at", "new_name", "worker_store"]
+
+#: A key that more rows than this have is looked up where the rows lie.
+HOT_KEY = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed_join(rows: DataFrame, keyed: DataFrame, on, count: str, spread: str) -> DataFrame:
+    """Left join of rows with a stored table that has a row for each key, and in ``count`` how many rows share it.
+
+    Rows of a key that very many share do not meet in one task: such keys are few, are looked up
+    (broadcast within its bounds, else salted by ``spread``), and only the rest is shuffled. Rows
+    with a null key match none. ``count`` is not returned.
+    """
+    keyed, names = keyed.withColumnRenamed(count, "rows of the key"), list(rows.columns)
+    hot = settle_table(keyed.filter(F.col("rows of the key") > HOT_KEY), "hot")
+    marked = lookup_join(rows, hot, on, "left", spread=spread)
+    done = marked.filter(F.col("rows of the key").isNotNull()).drop("rows of the key")
+    rest = marked.filter(F.col("rows of the key").isNull()).select(*names)
+    cold = keyed.filter(F.col("rows of the key") <= HOT_KEY).drop("rows of the key")
+    return done.unionByName(rest.join(cold, list(on), "left"))
+
+
 def store_at(uri: str):
     """File system and path of a shared folder, usable inside tasks (file, hdfs, s3, gs)."""
     from pyarrow import fs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, suffix_dedup, token_output, warc
+from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, simhash, suffix_dedup, token_output, warc, whitening
 from funclab.llm.common import read_table
 
 
@@ -64,6 +64,14 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_groups(read_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.near_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -75,6 +83,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_katz": op9_katz,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """
