@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, simhash, suffix_dedup, token_output, warc, whitening
+from funclab.llm import decontamination, jaccard_join, katz, language, neighbours, packing, page_text, prefix_trie, simhash, suffix_dedup, token_output, warc, whitening
 from funclab.llm.common import read_table
 
 
@@ -72,6 +72,10 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_simhash": op11_simhash,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """
@@ -109,4 +114,32 @@ ORACLE: dict[str, str] = {
           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
     """,
+    # Eight turns of 256 after each digit make its CRC-32; the list of turns up to a depth is the node.
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS own,
+                xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [ord(s), 256, 256, 256, 256, 256, 256, 256, 256]))::BIGINT[],
+                  lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a // 2, (a % 2) * 3988292384) END, 4294967295::BIGINT), 4294967295) % 4 AS h
+              FROM t GROUP BY 1, 2),
+        k AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS lent FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        r AS (SELECT k.conv_id, p AS depth, turn FROM k JOIN t ON t.conv_id = k.base AND p <= h
+              UNION ALL SELECT k.conv_id, p - h + lent, turn FROM k JOIN t ON t.conv_id = k.conv_id AND p > h),
+        f AS (SELECT conv_id, depth, list(turn) OVER (PARTITION BY conv_id ORDER BY depth) AS node,
+                len(regexp_extract_all(turn.text, '[^\x20\x09-\x0D]+')) AS words FROM r
+              UNION ALL SELECT conv_id, 0, [], 0 FROM k),
+        e AS (SELECT f.*, depth = lent + greatest(own - h, 0) AS ends FROM f JOIN k USING (conv_id)),
+        n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+              FROM e GROUP BY 1, 2),
+        u AS (SELECT n.depth, n.node, p.conv_id AS parent_conv_id, p.node AS parent FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.node = n.node[1 : n.depth - 1]),
+        g AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY 1),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN g USING (node)),
+        a AS (SELECT node[1 : up] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+              FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM w) GROUP BY 1)
+        SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+          saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM w JOIN u USING (node) JOIN a USING (node)
+    """,
 }
