@@ -5,9 +5,10 @@ by one pattern per language; then comment tokens are blanked. Rules for the patt
 
 * Java's matcher recurses once per turn of a repeated group unless the group is possessive, so
   every repeated group here is possessive (``*+``) and long literals cannot overflow the stack.
-* Rust, Swift and Kotlin nest block comments, which no pattern can follow to any depth. Rows where
-  a block comment may open inside another, or several stay open, are cut by a small Python helper;
-  all other rows send the helper a null, so the text is read once and stays in the JVM.
+* Rust, Swift and Kotlin nest block comments, and strings of Swift and Kotlin hold code, which no
+  pattern can follow to any depth. Rows where a block comment may open inside another, or several
+  stay open, and rows with comment signs and code in a string are cut by a small Python helper; all
+  other rows send the helper a null, so the text is read once and stays in the JVM.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from funclab.functions import lexer
 from funclab.functions.text import (
     drop_final_newline,
     is_blank,
@@ -41,14 +43,15 @@ def _hole(opener, left, right, levels=3):
     return rf"{opener}{body}\{right}"
 
 
-# A hole that is not closed on its line is read as ordinary text of the string.
+# These follow holes where the stack of the lexer finds one that stays open; a hole that is not closed
+# on its line is then read as ordinary text of the string.
 _STRING_KOTLIN = r'"(?:[^"\\$]|\\(?s:.)|' + _hole(r"\$\{", "{", "}") + r'|\$)*+"'
 _STRING_SWIFT = r'"(?:[^"\\]|' + _hole(r"\\\(", "(", ")") + r'|\\(?s:.))*+"'
 _TRIPLE = r'"""(?:[^"\\]|\\(?s:.)|"(?!""))*+"""'
-_RAW_TRIPLE = r'"""(?s:.*?)"""'
+_RAW_TRIPLE = r'"""(?s:.*?)""""*+'  # quotes before the last three are its own
 _CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 _RAW_RUST = r'(?:(?<![A-Za-z0-9_])|(?<=(?<![A-Za-z0-9_])[bc]))r(#*+)"(?s:.*?)"\1'
-_RAW_SWIFT = r'(#++)"(?s:.*?)"\1'
+_RAW_SWIFT = r'(#++)(?:"(?s:.*?)"|/(?s:.*?)/)\1'  # strings and regular expressions
 _RAW_CPP = r'R"([^()\\ \n]{0,16})\((?s:.*?)\)\1"'
 _LINE = r"//[^\n]*+"
 _LINE_C = r"//(?:[^\\\n]|\\(?s:.))*+"
@@ -83,37 +86,6 @@ def token_pattern(language: str, blocks: bool = True) -> str:
     return "|".join([*literals, *comments, *block, plain, _ANY])
 
 
-_SIGN = re.compile(r"/\*|\*/")
-
-
-def _note_ends(code, start, ends):
-    """Note in ``ends`` where the blocks opened from ``start`` on end, until the first one does."""
-    opened = []
-    for found in _SIGN.finditer(code, start):
-        if found.group() == "/*":
-            opened.append(found.start())
-        else:
-            ends[opened.pop()] = found.end()
-            if not opened:
-                return
-    ends.update(dict.fromkeys(opened))
-
-
-def _block_end(code, at, nests, ends):
-    """End of the block comment that opens at ``at``; None where it stays open."""
-    if nests:
-        if at not in ends:
-            _note_ends(code, at, ends)
-        return ends[at]
-    if "open" in ends:  # no end follows an earlier block, so none follows this one
-        return None
-    found = code.find("*/", at + 2)
-    if found < 0:
-        ends["open"] = at
-        return None
-    return found + 2
-
-
 def nested_tokens(code: str, language: str) -> list[str]:
     """Tokens of one text, following block comments to any depth where the language nests them.
 
@@ -123,7 +95,7 @@ def nested_tokens(code: str, language: str) -> list[str]:
     tokens, at, ends = [], 0, {}
     while at < len(code):
         if code.startswith("/*", at):
-            end = _block_end(code, at, language in _NESTING, ends) or at + 1
+            end = lexer.block_end(code, at, language in _NESTING, ends) or at + 1
         else:
             end = pattern.match(code, at).end()
         tokens.append(code[at:end])
@@ -131,9 +103,20 @@ def nested_tokens(code: str, language: str) -> list[str]:
     return tokens
 
 
+def deep_tokens(code: str, language: str) -> list[str]:
+    """Tokens of one text with nested blocks, or with code inside its strings, to any depth.
+
+    From a string on that stays open, or holds a hole that does, the patterns cut the rest.
+    """
+    if language not in lexer.LANGUAGES:
+        return nested_tokens(code, language)
+    spans, stop = lexer.comment_spans(code, language)
+    return lexer.cut_at(code[:stop], spans) + nested_tokens(code[stop:], language)
+
+
 @F.pandas_udf(ArrayType(StringType()))
-def _nested_tokens_udf(code: pd.Series, language: pd.Series) -> pd.Series:
-    cut = [None if c is None else nested_tokens(c, lang) for c, lang in zip(code, language)]
+def _deep_tokens_udf(code: pd.Series, language: pd.Series) -> pd.Series:
+    cut = [None if c is None else deep_tokens(c, lang) for c, lang in zip(code, language)]
     return pd.Series(cut, index=code.index, dtype=object)
 
 
@@ -145,6 +128,12 @@ def _may_nest(code: Column, language: Column) -> Column:
     return language.isin(_NESTING) & (opened >= 4) & F.exists(inner, lambda piece: ~piece.contains("*/"))
 
 
+def _holds_code(code: Column, language: Column) -> Column:
+    """True where a string may hold code, and the text a comment."""
+    hole = ((language == "kotlin") & code.contains("${")) | ((language == "swift") & code.rlike(r"\\#*\("))
+    return hole & (code.contains("//") | code.contains("/*"))
+
+
 def _stays_open(code: Column) -> Column:
     """True where several ``/*`` follow the last ``*/``: a pattern would look for the end of each."""
     rest = F.substring_index(code, "*/", -1)
@@ -178,7 +167,8 @@ def with_tokens(df: DataFrame, code: str, language: str) -> DataFrame:
     """Add ``_lang`` and ``_tokens``; null texts keep null tokens."""
     keyed = df.withColumn("_lang", norm_lang(F.col(language))).withColumn("_code", unify_line_breaks(F.col(code)))
     text, lang = F.col("_code"), F.col("_lang")
-    rare = _nested_tokens_udf(F.when(_may_nest(text, lang) | (lang.isin(LANGUAGES) & _stays_open(text)), text), lang)
+    deep = _may_nest(text, lang) | _holds_code(text, lang) | (lang.isin(LANGUAGES) & _stays_open(text))
+    rare = _deep_tokens_udf(F.when(deep, text), lang)
     return (
         keyed.withColumn("_rare", rare)
         .withColumn("_tokens", F.coalesce(F.col("_rare"), flat_tokens(text, lang)))

@@ -6,6 +6,7 @@ import re
 
 from funclab import config
 from funclab.functions.text import PYTHON_SPACE
+from suite.views import MARK, NESTED, SIGNS
 
 CONFIGURATION = "data_with_comments_single_before_change"
 SPACE = "concat(" + ", ".join(f"chr({ord(c)})" for c in PYTHON_SPACE) + ")"
@@ -156,7 +157,7 @@ STR = r'"(?:[^"\\]|\\(?s:.))*"'
 CHR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'"
 TOKENS = {
     "rust": r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*"|' + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
-    "kotlin": r'"""(?s:.*?)"""|' + STR + "|" + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
+    "kotlin": r'"""(?s:.*?)""""*|' + STR + "|" + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
     "swift": r'"""(?s:.*?)"""|' + STR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"/]+|(?s:.)',
     "cpp": STR + "|" + CHR + r'|//[^\n]*|/\*(?s:.*?)\*/|[^"\'/]+|(?s:.)',
 }
@@ -192,6 +193,29 @@ SELECT row_id, processed_func, list_filter(range(0, len(ml)), lambda i:
 FROM split
 """
 
+
+
+def _ends(k):
+    """The ends of lines of the nested view, of a kind, by language."""
+    shown = {lang: ", ".join(text(p[k]).replace(MARK, "' || chr(1) || '") for p in list_) for lang, list_ in NESTED.items()}
+    return "CASE language " + " ".join(f"WHEN '{lang}' THEN [{x}]" for lang, x in shown.items()) + " END"
+
+
+def _nested(k):
+    line = f"translate(line, {text(SIGNS)}, '{'_' * len(SIGNS)}')"
+    end = f"coalesce(({_ends(k)})[({h(chr(39) + 'nest' + chr(39), 'row_id', 'i - 1')} % 8)::INT + 1], '')"
+    return f"array_to_string(list_transform(string_split(code, {NL}), lambda line, i: {line} || {end}), {NL})"
+
+
+# What is left without comments, and the lines that hold some, are known here without reading the text.
+CTES["v_nested"] = f"""
+SELECT row_id, language, {_nested(0)} AS dirty, {drop_last_break(_nested(1))} AS clean, {_nested(2)} AS marked FROM v_raw
+"""
+CTES["v_nested_noisy"] = f"""
+WITH split AS (SELECT row_id, dirty, {lines_of("marked")} AS ml FROM v_nested)
+SELECT row_id, dirty, list_filter(range(0, len(ml)), lambda i: contains(ml[i + 1], chr(1)) OR {strip("ml[i + 1]")} = '') AS ids FROM split
+"""
+
 # --- splits ----------------------------------------------------------------------------------
 
 
@@ -499,6 +523,12 @@ BODIES = {
         lambda l, i: CASE WHEN list_contains(ids, i - 1) THEN '# ' || l ELSE l END), {NL}) AS annotated FROM v_noisy""",
     "blank_lines": f"""SELECT row_id, processed_func AS clean_code, array_to_string(list_filter(list_transform({lines_of("processed_func")},
         lambda l, i: CASE WHEN {strip("l")} = '' THEN i - 1 END), lambda x: x IS NOT NULL), ',') AS blank FROM v_stripped""",
+    "strip_comments_nested": "SELECT row_id, language, clean AS processed_func FROM v_nested",
+    "noisy_lines_nested": "SELECT row_id, array_to_string(ids, ',') AS noisy FROM v_nested_noisy",
+    "noisy_annotate_nested": f"""SELECT row_id, array_to_string(list_transform({lines_of("dirty")},
+        lambda l, i: CASE WHEN list_contains(ids, i - 1) THEN '# ' || l ELSE l END), {NL}) AS annotated FROM v_nested_noisy""",
+    "blank_lines_nested": f"""SELECT row_id, clean AS clean_code, array_to_string(list_filter(list_transform({lines_of("clean")},
+        lambda l, i: CASE WHEN {strip("l")} = '' THEN i - 1 END), lambda x: x IS NOT NULL), ',') AS blank FROM v_nested""",
     "stratified_split": "SELECT language, experiment, row_id, target, split FROM v_split",
     "plain_split": f"SELECT language, row_id, split, split <> 'test' AS big_train FROM ({split_ctes(['language'], '(0, 0)', None)})",
     "undersample": "SELECT language, row_id, target, processed_func FROM v_lang_resampled WHERE kind = 'under'",

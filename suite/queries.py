@@ -295,6 +295,28 @@ def blank_lines(spark, sf):
     return blank.select("row_id", "clean_code", F.array_join(F.col("blank").cast("array<string>"), ",").alias("blank"))
 
 
+@query
+def strip_comments_nested(spark, sf):
+    return comments.strip_comments(views.v_nested(spark, sf))
+
+
+@query
+def noisy_lines_nested(spark, sf):
+    noisy = comments.noisy_lines(views.v_nested(spark, sf))
+    return noisy.select("row_id", F.array_join(F.col("noisy").cast("array<string>"), ",").alias("noisy"))
+
+
+@query
+def noisy_annotate_nested(spark, sf):
+    return comments.noisy_annotate(views.v_nested(spark, sf)).select("row_id", "annotated")
+
+
+@query
+def blank_lines_nested(spark, sf):
+    blank = comments.blank_lines(views.v_nested(spark, sf))
+    return blank.select("row_id", "clean_code", F.array_join(F.col("blank").cast("array<string>"), ",").alias("blank"))
+
+
 # --- sampling --------------------------------------------------------------------------------
 
 

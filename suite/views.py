@@ -74,6 +74,72 @@ def v_code(spark, sf) -> DataFrame:
     return raw.select("row_id", "language", code.alias("processed_func"))
 
 
+# Ends of lines, as (text, the text without comments, the same with chr(1) on each line in place of a comment).
+MARK = "\x01"
+NESTED = {
+    "rust": [
+        (" /* a /* b // c */ d */ z", "  z", f" {MARK} z"),
+        (' let s = r#"// "no" /* x */"#; // y', ' let s = r#"// "no" /* x */"#; ', f' let s = r#"// "no" /* x */"#; {MARK}'),
+        (" let c = '\"'; // \"", " let c = '\"'; ", f" let c = '\"'; {MARK}"),
+        (' b"//" /* m\n n */', ' b"//" \n', f' b"//" {MARK}\n{MARK}'),
+    ],
+    "kotlin": [
+        (' val u = "${f("http://x")}/y" // c', ' val u = "${f("http://x")}/y" ', f' val u = "${{f("http://x")}}/y" {MARK}'),
+        (
+            ' val u = "${a { b { c { d { e("//x") } } } }}//" + v // c',
+            ' val u = "${a { b { c { d { e("//x") } } } }}//" + v ',
+            f' val u = "${{a {{ b {{ c {{ d {{ e("//x") }} }} }} }}}}//" + v {MARK}',
+        ),
+        (
+            ' val u = "${f(\n "//x" /* k */\n)} // in" // out',
+            ' val u = "${f(\n "//x" /* k */\n)} // in" ',
+            f' val u = "${{f(\n "//x" /* k */\n)}} // in" {MARK}',
+        ),
+        (' val t = """${g("//")} "// """" // c', ' val t = """${g("//")} "// """" ', f' val t = """${{g("//")}} "// """" {MARK}'),
+        (" val q = '\"' // \"", " val q = '\"' ", f" val q = '\"' {MARK}"),
+        (' val w = "${a // in\n}" + b', ' val w = "${a \n}" + b', f' val w = "${{a {MARK}\n}}" + b'),
+    ],
+    "swift": [
+        (' let u = "\\(f("http://x"))/y" // c', ' let u = "\\(f("http://x"))/y" ', f' let u = "\\(f("http://x"))/y" {MARK}'),
+        (
+            ' let u = "\\(a(b(c(d(e("//x"))))))//" + v /* c /* d */ */ + w',
+            ' let u = "\\(a(b(c(d(e("//x"))))))//" + v  + w',
+            f' let u = "\\(a(b(c(d(e("//x"))))))//" + v {MARK} + w',
+        ),
+        (" let r = #/http://x/# // c", " let r = #/http://x/# ", f" let r = #/http://x/# {MARK}"),
+        (' let s = #"\\(no // " \\#(f("//")) "# // c', ' let s = #"\\(no // " \\#(f("//")) "# ', f' let s = #"\\(no // " \\#(f("//")) "# {MARK}'),
+        (
+            ' let t = """\n \\(f(\n "//"))\n // in\n""" // c',
+            ' let t = """\n \\(f(\n "//"))\n // in\n""" ',
+            f' let t = """\n \\(f(\n "//"))\n // in\n""" {MARK}',
+        ),
+        (' let w = "\\(a // in\n)" + b', ' let w = "\\(a \n)" + b', f' let w = "\\(a {MARK}\n)" + b'),
+    ],
+    "cpp": [
+        (' auto s = R"x(// "a" )" )x"; /* y */', ' auto s = R"x(// "a" )" )x"; ', f' auto s = R"x(// "a" )" )x"; {MARK}'),
+        (" char c = '\"'; // \"", " char c = '\"'; ", f" char c = '\"'; {MARK}"),
+        (" #include <a.h> // x", "  ", f" {MARK} {MARK}"),
+        (" // one \\\n two", " \n", f" {MARK}\n{MARK}"),
+        (" using namespace std; z", "  z", f" {MARK} z"),
+    ],
+}
+#: Signs that a line of a document loses, so that only its end holds any.
+SIGNS = "\"'/\\#$*{}();`\r"
+
+
+def v_nested(spark, sf) -> DataFrame:
+    """Function texts whose lines end in nested comments, and in strings that hold code and comment signs."""
+    ends = F.create_map(*[x for lang, list_ in NESTED.items() for x in (F.lit(lang), F.array(*[F.lit(p[0]) for p in list_]))])
+
+    def line(text, i):
+        end = F.get(F.element_at(ends, F.col("language")), _mod(8, "nest", F.col("row_id"), i).cast("int"))
+        return F.concat(F.translate(text, SIGNS, "_" * len(SIGNS)), F.coalesce(end, F.lit("")))
+
+    raw = v_raw(spark, sf).select("row_id", "language", F.col("code").alias("plain"))
+    code = F.array_join(F.transform(split_lines(F.col("plain")), line), "\n")
+    return raw.select("row_id", "language", code.alias("processed_func"))
+
+
 def v_results(spark, sf) -> DataFrame:
     """Six models' results on every clean row in each of ten experiments."""
     row = F.col("row_id")
