@@ -15,10 +15,17 @@ from funclab.functions.hashing import draw_int, draw_key
 from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts, prefix_digits
 from funclab.plans.settle import fits_broadcast, lookup_join, settle, settle_table
 
+#: Column that holds the seeded order of the rows of a frame: 32 hex digits, none twice in a frame.
+ORDER = "order_key"
 # A drawn row is copied in pieces of about this many, each a unit of work of its own.
 COPIES_PER_PIECE = 4096
 
 
+def frame_key(variant, seed, key, copy=0):
+    """The place of a row in the seeded order of its frame; the experiment is a column of the rows."""
+    return draw_key("frame", variant, seed, F.col("experiment"), F.col(key), copy)
+
+
 def experiment_list(spark, experiments=EXPERIMENTS) -> DataFrame:
     return spark.createDataFrame(experiments, "experiment int, seed int")
 
@@ -136,12 +143,15 @@ def _split(rows, seeds, by, strata, val_test_ratio, key):
     classes = [*by, strata] if strata else list(by)
     ids = settle_table(rows.select(key, *classes), "split-ids")
     cuts = _split_cuts(ids, seeds, by, strata, val_test_ratio, key)
-    return _place(rows, _by_class(cuts, classes, *_CUTS), classes, key).drop("_run")
+    placed = _place(rows, _by_class(cuts, classes, *_CUTS), classes, key)
+    return placed.withColumn(ORDER, frame_key(F.col("split"), F.col("_run.seed"), key)).drop("_run")
 
 
 def stratified_split(rows: DataFrame, experiments: DataFrame, by=(), target="target", val_test_ratio=VAL_TEST_RATIO, key="row_id") -> DataFrame:
     """Each row once per experiment, with its ``split``; class shares are kept to the row.
 
+    ``order_key`` is the row's place in the random order of its frame.
+
     Sizes: val and test together take ceil(ratio * n), test the larger half of it; classes share a
     size by largest remainder. Small passes over ids run at once to fix the cuts.
     """
@@ -277,8 +287,10 @@ def oversample(rows: DataFrame, by=(), target="target", seed=RESAMPLE_SEED, key=
 def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration"), target="target", val_test_ratio=VAL_TEST_RATIO, seed=RESAMPLE_SEED, key="row_id", require_both=True) -> DataFrame:
     """All seven frames of every experiment as one long frame.
 
-    Adds ``experiment``, ``variant`` and ``copy`` (0 but for redrawn rows). Test is not resampled.
-    The texts are read once for everything but the redrawn rows.
+    Adds ``experiment``, ``variant``, ``copy`` (0 but for redrawn rows) and ``order_key``, which sorts
+    the rows of each frame in a random order: by the experiment's seed in train, val and test, and by
+    ``seed`` in resampled frames. Test is not resampled. The texts are read once for everything but
+    the redrawn rows.
     """
     by = list(by)
     classes, groups = [*by, target], [*by, "experiment", "split"]
@@ -314,6 +326,7 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
     once = (
         placed.withColumn("variant", F.explode(frames))
         .where(F.col("variant").isNotNull())
+        .withColumn(ORDER, frame_key(F.col("variant"), F.when(F.col("variant") == split, F.col("_run.seed")).otherwise(F.lit(seed)), key))
         .drop("_under_key", "_run", "split")
         .withColumn("copy", F.lit(0).cast("bigint"))
     )
@@ -328,6 +341,7 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
     pair = in_role(ids, larger), in_role(ids.drop("_draw"), smaller)
     again = redrawn_rows(in_role(rows, smaller), plan, groups, target, seed, key, ids=pair)
     again = again.withColumn("variant", F.concat(split, F.lit("_oversampling"))).drop("split")
+    again = again.withColumn(ORDER, frame_key(F.col("variant"), seed, key, F.col("copy")))
     return once.unionByName(again.select(*once.columns))
 
 

@@ -447,10 +447,18 @@ def analysis(x):
 COUNT_MOD = "len(list_filter(string_split(coalesce(mod_lines, ''), ','), lambda x: x <> ''))"
 TEXT_SHA = "sha256(coalesce(processed_func, '')) AS text_sha"
 
-_FEW = """
+# The seeded order of the rows of a frame.
+SEEDS = f"(VALUES {ALL_SEEDS}) s(experiment, seed)"
+
+
+def frame_key(variant, seed, copy):
+    return key("'frame'", variant, seed, "experiment", "row_id", copy)
+
+
+_FEW = f"""
 SELECT *, row_number() OVER (PARTITION BY language, configuration, experiment ORDER BY target DESC, nr) AS example FROM (
-  SELECT *, row_number() OVER (PARTITION BY language, configuration, experiment, target ORDER BY row_id) AS nr
-  FROM v_split WHERE split = 'train')
+  SELECT *, row_number() OVER (PARTITION BY language, configuration, experiment, target ORDER BY {frame_key("'train'", "seed", "0")}) AS nr
+  FROM v_split JOIN {SEEDS} USING (experiment) WHERE split = 'train')
 WHERE nr <= CASE WHEN target = 1 THEN 9 ELSE 1 END
 """
 
@@ -535,6 +543,9 @@ BODIES = {
     "oversample": f"SELECT language, row_id, target, copy, {TEXT_SHA} FROM v_lang_resampled WHERE kind = 'over'",
     "experiment_variants": f"SELECT {EXP}, variant, row_id, target, copy, {TEXT_SHA} FROM v_experiments WHERE experiment = 3",
     "experiments": f"SELECT {EXP}, variant, row_id, target, copy, {TEXT_SHA} FROM v_experiments",
+    "frame_order": f"""SELECT {EXP}, variant, row_id, copy,
+        {frame_key("variant", "CASE WHEN variant IN ('train', 'val', 'test') THEN seed ELSE 42 END", "copy")} AS order_key
+        FROM v_experiments JOIN {SEEDS} USING (experiment)""",
     "shuffled": f"""SELECT language, row_id, {key("'order'", "42", "row_id")} AS shuffle_key,
         row_number() OVER (PARTITION BY language ORDER BY {key("'order'", "42", "row_id")}) AS position FROM v_clean""",
     "few_shot_examples": f"SELECT {EXP}, example::INT AS example, row_id, target, processed_func FROM ({_FEW})",

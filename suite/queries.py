@@ -356,6 +356,12 @@ def experiments(spark, sf):
     return _experiment_rows(_experiments(spark, sf))
 
 
+@query
+def frame_order(spark, sf):
+    """The seeded order that each frame of each experiment carries."""
+    return _experiments(spark, sf).select(*EXP, "variant", "row_id", "copy", sampling.ORDER)
+
+
 @query
 def shuffled(spark, sf):
     return sampling.shuffled(views.v_clean(spark, sf), ["language"]).select("language", "row_id", "shuffle_key", "position")

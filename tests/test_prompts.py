@@ -53,3 +53,25 @@ def test_zero_shot_and_training_texts(spark):
             ("user", config.TASK_TEXT.format(language="Rust", new_source_code=row.processed_func)),
             ("assistant", f"1. Analysis: {verdict}"),
         ]
+
+
+def test_examples_go_by_the_order_of_the_frame(spark):
+    rows = [(i, "c", "cfg", e, i % 2, f"f{i}", f"{(i * 7919 + e) % 10007:032x}") for i in range(400) for e in range(3)]
+    schema = "row_id long, language string, configuration string, experiment int, target int, processed_func string, order_key string"
+    df = spark.createDataFrame(rows, schema).repartition(6)
+    got = fewshot.few_shot_examples(df, max_vul=30, max_non_vul=7).collect()
+    for e in range(3):
+        mine = sorted((r for r in rows if r[3] == e), key=lambda r: r[6])
+        want = [r[0] for r in mine if r[4] == 1][:30] + [r[0] for r in mine if r[4] == 0][:7]
+        assert [r.row_id for r in sorted((g for g in got if g.experiment == e), key=lambda g: g.example)] == want
+
+
+def test_many_examples_rank_no_class_in_one_task(spark):
+    """Only rows of the bucket that holds the last example, and chosen ones, are ranked."""
+    df = spark.range(60_000).selectExpr(
+        "id AS row_id", "'c' AS language", "'x' AS configuration", "0 AS experiment", "int(id % 3 > 0) AS target", "'t' AS processed_func", "md5(string(id)) AS order_key"
+    )
+    got = fewshot.few_shot_examples(df, max_vul=5_000, max_non_vul=12)
+    keys = [r.order_key for r in got.orderBy("example").collect()]
+    assert len(keys) == 5_012 and keys[:5_000] == sorted(keys[:5_000]) and keys[5_000:] == sorted(keys[5_000:])
+    assert keys[4_999] == df.where("target = 1").orderBy("order_key").limit(5_000).agg({"order_key": "max"}).first()[0]

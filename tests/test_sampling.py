@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from funclab import config
 from funclab.operators import sampling
+from funclab.schemas import VARIANTS
 from funclab.plans import settle as settling
 
 GROUP = ["language", "configuration"]
@@ -170,3 +171,19 @@ def test_shuffled_positions(spark, clean):
         mine = sorted((r for r in rows if r.language == lang), key=lambda r: r.shuffle_key)
         assert [r.position for r in mine] == list(range(1, len(mine) + 1))
         assert [r.row_id for r in mine] != sorted(r.row_id for r in mine)
+
+
+def test_frames_carry_their_order(spark, clean):
+    rows = sampling.experiments(clean, sampling.experiment_list(spark, [(0, 0), (3, 42)])).collect()
+    frames = {}
+    for r in rows:
+        frames.setdefault((r.language, r.experiment, r.variant), []).append(r)
+    assert {f[2] for f in frames} == set(VARIANTS)
+    orders = {}
+    for f, mine in frames.items():
+        assert len({r.order_key for r in mine}) == len(mine)
+        orders[f] = [r.row_id for r in sorted(mine, key=lambda r: r.order_key)]
+        assert len(mine) < 5 or orders[f] != sorted(orders[f])
+    assert orders["kotlin", 0, "train"][:5] != orders["kotlin", 3, "train"][:5]
+    again = sampling.experiments(clean.repartition(7), sampling.experiment_list(spark, [(0, 0), (3, 42)])).collect()
+    assert sorted((r.variant, r.row_id, r.copy, r.order_key) for r in rows) == sorted((r.variant, r.row_id, r.copy, r.order_key) for r in again)
