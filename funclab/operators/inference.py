@@ -92,10 +92,26 @@ def batch_predict(rows: DataFrame, predict: Predict, model="model", prompt="prom
 ANSWER_KEYS = ("language", "configuration", "experiment", "variant", "row_id")
 
 
+#: What tells answers of several runs to one row apart.
+RUN_COLUMNS = ("experiment", "variant", "model")
+
+
 def attach_predictions(rows: DataFrame, answers: DataFrame, on=None) -> DataFrame:
     """Put answers beside their rows by key, never by position; a row without an answer stays.
 
-    Without ``on``, by those of the experiment keys and ``row_id`` that both sides have.
+    Without ``on``, by those of the experiment keys and ``row_id`` that both sides have. Answers of
+    several runs (experiment, variant or model that rows do not have) give a row each; two answers
+    of one run to one key are an error, as either could be the right one.
     """
     keys = list(on) if on else [k for k in ANSWER_KEYS if k in rows.columns and k in answers.columns]
-    return rows.join(answers, keys, "left")
+    one = [*keys, *[c for c in RUN_COLUMNS if c in answers.columns and c not in keys]]
+    rest = [c for c in answers.columns if c not in one]
+    # Grouped by the keys of the join first, so the join needs no other shuffle of the answers.
+    grouped = answers.groupBy(*one).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
+    named = F.concat_ws("/", *[F.col(c).cast("string") for c in one])
+    repeated = F.raise_error(F.concat(F.lit("several answers for "), named)).cast("boolean")
+    checked = grouped.where(F.when(F.col("_n") > 1, repeated).otherwise(F.lit(True)))
+    # In the order that a join of the two tables gives.
+    right = checked.select(*one, *[F.col("_rest")[c].alias(c) for c in rest])
+    left = [rows[c] for c in rows.columns if c not in keys]
+    return rows.join(right, keys, "left").select(*keys, *left, *[right[c] for c in answers.columns if c not in keys])

@@ -78,6 +78,12 @@ def _ifa_column(places=None):
     return (mean if places is None else rounded(mean, places)).alias("ifa")
 
 
+def _total(name: str, exp) -> Column:
+    """A total of the experiment; without one there is no score, and a zero would look perfect."""
+    said = F.concat(F.lit(f"no {name} for "), F.concat_ws("/", *[F.col(c).cast("string") for c in exp]))
+    return F.coalesce(F.col(name).cast("double"), F.raise_error(said).cast("double"))
+
+
 def topk_accuracy(facts: DataFrame, by=tuple(RUN_KEYS)) -> DataFrame:
     """Share of true positives with a right line among the first k predicted ones."""
     return facts.groupBy(*by).agg(*_topk_columns())
@@ -94,51 +100,68 @@ def ifa(facts: DataFrame, by=tuple(RUN_KEYS), places: int | None = None) -> Data
 
 def recall_at_loc(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS)) -> DataFrame:
     found = facts.groupBy(*by).agg(F.sum("n_hits_in_cut").alias("_found"))
-    share = ratio(F.col("_found").cast("double"), F.col("total_flaw_lines").cast("double"))
+    share = ratio(F.col("_found").cast("double"), _total("total_flaw_lines", exp))
     return found.join(totals, list(exp), "left").select(*by, share.alias("recall_at_1_loc"))
 
 
-def effort_lines(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS), order="row_id", buckets=4096) -> DataFrame:
-    """Predicted lines read, in row order, until 20% of the flawed lines are found.
+def _within():
+    return (F.col("_low").isNull() | (F.col("_at") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_at") <= F.col("_high")))
+
 
-    Rows are laid into ranges of ``order``; ranges are summed and only the one range in which the
-    goal is reached is put in order, so no task holds a whole run.
+def _goal_ranges(narrow: DataFrame, spans: DataFrame, by, ranges) -> DataFrame:
+    """Cut the span of each run into ranges of equal numbers of rows, and keep the one that reaches the goal.
+
+    The cuts are quantiles of a sketch that tasks fill and that is merged, so the ranges are even
+    however the order is spread, but for the error of the sketch.
     """
-    by = list(by)
-    goals = totals.select(*exp, _share_of(F.col("total_flaw_lines"), RECALL_SHARE).alias("_goal"))
-    spans = (
-        facts.groupBy(*by)
-        .agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-        .join(goals, list(exp))
-        .where(F.col("_goal") > 0)
-    )
-    width = F.expr(f"(_high - _low) div {int(buckets)} + 1")
-    spans = settle(spans.select(*by, "_goal", "_low", width.alias("_width")))
-    narrow = facts.select(*by, F.col(order).alias("_at"), "n_said", "hit_at")
-    placed = (
-        lookup_join(narrow, spans, by, spread="_at")
-        .withColumn("_range", F.expr("(_at - _low) div _width"))
-        .drop("_low", "_width")
-    )
-    sums = placed.groupBy(*by, "_goal", "_range").agg(
-        F.sum(F.size("hit_at")).alias("_hits"), F.sum("n_said").alias("_said")
+    rows = lookup_join(narrow, spans, by, spread="_at").where(_within())
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_at", shares, ranges * 100)).alias("_cuts"))
+    cuts = settle(cuts)
+    placed = lookup_join(rows.select(*by, "_at", "n_said", "hit_at"), cuts, by, spread="_at")
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_at"))))
+    sums = placed.groupBy(*by, "_range").agg(
+        F.sum(F.size("hit_at")).alias("_hits"), F.sum("n_said").alias("_said"), F.count(F.lit(1)).alias("_n")
     )
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.select(
+    upto = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0))
+    sums = sums.select(*by, "_range", F.struct("_range", "_n", upto("_hits").alias("_hits"), upto("_said").alias("_said")).alias("_here"))
+    both = sums.join(spans.withColumnRenamed("_n", "_n_span"), by).where(F.col("_hits_before") + F.col("_here._hits") < F.col("_goal"))
+    carried = ["_goal", "_low", "_high", "_hits_before", "_said_before", "_n_span"]
+    last = both.groupBy(*by, *carried).agg(F.max("_here").alias("_here")).join(cuts, by)
+    at, n = F.col("_here._range"), F.col("_here._n")
+    return last.select(
         *by,
         "_goal",
-        "_range",
-        F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_hits_before"),
-        F.coalesce(F.sum("_said").over(before), F.lit(0)).alias("_said_before"),
+        F.coalesce(F.get("_cuts", at - 1), F.col("_low")).alias("_low"),
+        F.coalesce(F.get("_cuts", at), F.col("_high")).alias("_high"),
+        (F.col("_hits_before") + F.col("_here._hits")).alias("_hits_before"),
+        (F.col("_said_before") + F.col("_here._said")).alias("_said_before"),
+        # Rows that all stand at one place cannot be told apart: no further cut.
+        F.when(n < F.col("_n_span"), n).otherwise(F.lit(0)).alias("_n"),
     )
-    last = (
-        running.where(F.col("_hits_before") < F.col("_goal"))
-        .groupBy(*by)
-        .agg(F.max(F.struct("_range", "_hits_before", "_said_before")).alias("_last"))
-        .select(*by, "_last.*")
-    )
-    inside = lookup_join(placed, settle(last), [*by, "_range"], spread="_at")
-    above = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def effort_lines(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), exp=tuple(EXPERIMENT_KEYS), order="row_id", buckets=64, bound=8_192) -> DataFrame:
+    """Predicted lines read, in row order, until 20% of the flawed lines are found.
+
+    A run of more than ``bound`` rows is cut into ``buckets`` by quantiles of ``order``, these are
+    summed, and only the one in which the goal is reached goes on, cut again while it is over the
+    bound. So at most about ``bound`` rows of a run are put in order together. ``facts`` and
+    ``totals`` are stored tables.
+    """
+    by = list(by)
+    goals = totals.select(*exp, _share_of(F.col("total_flaw_lines"), RECALL_SHARE).alias("_goal")).where("_goal > 0")
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    spans = facts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(goals, list(exp))
+    spans = settle(spans.select(*by, "_goal", none.alias("_low"), none.alias("_high"), zero.alias("_hits_before"), zero.alias("_said_before"), "_n"))
+    narrow = facts.select(*by, F.col(order).cast("bigint").alias("_at"), "n_said", "hit_at")
+    ready = spans.where(F.col("_n") <= bound)
+    while not (wide := spans.where(F.col("_n") > bound)).isEmpty():
+        spans = settle(_goal_ranges(narrow, wide, by, max(buckets, 2)))
+        ready = ready.unionByName(spans.where(F.col("_n") <= bound))
+    inside = lookup_join(narrow, settle(ready.drop("_n")), by, spread="_at").where(_within())
+    above = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     found = F.col("_hits_before") + F.coalesce(F.sum(F.size("hit_at")).over(above), F.lit(0))
     read = (
         F.when(F.col("_found") >= F.col("_goal"), 0)
@@ -159,7 +182,7 @@ def effort_at_recall(facts: DataFrame, totals: DataFrame, by=tuple(RUN_KEYS), ex
     """Effort lines over all lines of the experiment; 0 where 20% of its flawed lines is less than one."""
     runs = facts.select(*by).distinct().join(totals, list(exp), "left")
     effort = runs.join(effort_lines(facts, totals, by, exp), list(by), "left")
-    share = ratio(F.col("effort_lines").cast("double"), F.col("total_lines").cast("double"))
+    share = ratio(F.col("effort_lines").cast("double"), _total("total_lines", exp))
     return effort.select(*by, share.alias("effort_at_20_recall"))
 
 
@@ -167,6 +190,7 @@ def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | Non
     """All line scores per run, over true positives (within ``overlap``, when given).
 
     ``ifa`` is rounded to ``ifa_places``, if given. Runs without any true positive are listed with the worst values.
+    An experiment without totals is an error.
     """
     by, exp = list(by), list(exp)
     totals = settle(totals)
@@ -187,6 +211,6 @@ def line_metrics(results: DataFrame, totals: DataFrame, overlap: DataFrame | Non
         F.coalesce("n_true_positives", F.lit(0)).alias("n_true_positives"),
         *[F.coalesce(f"top_{k}_accuracy", F.lit(0.0)).alias(f"top_{k}_accuracy") for k in TOP_K],
         F.coalesce("ifa", F.lit(WORST_IFA)).alias("ifa"),
-        ratio(number("effort_lines"), number("total_lines")).alias("effort_at_20_recall"),
-        ratio(number("_in_cut"), number("total_flaw_lines")).alias("recall_at_1_loc"),
+        ratio(number("effort_lines"), _total("total_lines", exp)).alias("effort_at_20_recall"),
+        ratio(number("_in_cut"), _total("total_flaw_lines", exp)).alias("recall_at_1_loc"),
     )

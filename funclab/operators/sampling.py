@@ -84,11 +84,25 @@ def _require_keys(counts, names):
         raise ValueError(f"null in {', '.join(names)}")
 
 
+def _class_sizes_of(rows, by, classes, key):
+    """Rows of each class as ``n_class``; a null group or class, or a key twice in a group, is refused.
+
+    Keys are counted first and classes from those counts, so the check costs no pass of its own.
+    """
+    strata = [c for c in classes if c not in by]
+    each = rows.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in strata])
+    counts = settle(each.groupBy(*classes).agg(F.sum("_n").alias("n_class"), F.max("_n").alias("_most"), F.max(F.struct("_n", key))[key].alias("_key")))
+    _require_keys(counts, classes)
+    repeated = counts.where("_most > 1").select("_key").first()
+    if repeated:
+        raise ValueError(f"{key} {repeated[0]} occurs more than once in its group")
+    return counts.drop("_most", "_key")
+
+
 def _split_cuts(ids, seeds, by, strata, val_test_ratio, key):
     """Per class and experiment: its seed and quotas, and the keys at which train and val end."""
     classes = [*by, strata] if strata else list(by)
-    counts = settle(ids.groupBy(*classes).agg(F.count(F.lit(1)).alias("n_class")))
-    _require_keys(counts, classes)
+    counts = _class_sizes_of(ids, list(by), classes, key)
     if strata:
         quotas = split_quotas(counts, by, strata, val_test_ratio)
     else:
@@ -152,6 +166,7 @@ def stratified_split(rows: DataFrame, experiments: DataFrame, by=(), target="tar
 
     ``order_key`` is the row's place in the random order of its frame.
 
+    A key that occurs twice in a group is an error, since it would shift the split.
     Sizes: val and test together take ceil(ratio * n), test the larger half of it; classes share a
     size by largest remainder. Small passes over ids run at once to fix the cuts.
     """
@@ -180,8 +195,7 @@ def resampling_plan(rows: DataFrame, by, target="target", seed=RESAMPLE_SEED, ke
     """
     by = list(by)
     if counts is None:
-        counts = settle(rows.groupBy(*by, target).agg(F.count(F.lit(1)).alias("n_class")))
-        _require_keys(counts, [*by, target])
+        counts = _class_sizes_of(rows, by, [*by, target], key)
     sizes = _class_sizes(counts, by, target)
     smaller = F.least("_n0", "_n1")
     redrawn = F.when(F.col("_n1") < F.col("_n0"), 1).otherwise(0)
@@ -346,9 +360,8 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
 
 
 def shuffled(rows: DataFrame, by=(), seed=RESAMPLE_SEED, key="row_id", copy=None) -> DataFrame:
-    """Add the seeded ``shuffle_key`` and the ``position`` it gives a row in its group. No group may be null."""
+    """Add the seeded ``shuffle_key`` and the ``position`` it gives a row in its group. No group may be null, and no key twice in one."""
     parts = [F.col(key)] + ([F.col(copy)] if copy else [])
     keyed = rows.withColumn("shuffle_key", draw_key("order", seed, *parts))
-    sizes = settle(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
-    _require_keys(sizes, by)
-    return exact_rank(keyed, list(by), "shuffle_key", name="position", digits=prefix_digits(_largest(sizes, "n")))
+    sizes = _class_sizes_of(keyed, list(by), list(by), "shuffle_key")
+    return exact_rank(keyed, list(by), "shuffle_key", name="position", digits=prefix_digits(_largest(sizes, "n_class")))

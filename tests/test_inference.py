@@ -94,3 +94,14 @@ def test_attach_by_key(spark):
     rows = spark.createDataFrame([(i, i * 2) for i in range(20)], "row_id int, v int").repartition(5)
     answers = spark.createDataFrame([(i, f"a{i}") for i in range(20)], "row_id int, a string").repartition(3)
     assert all(r.a == f"a{r.row_id}" and r.v == 2 * r.row_id for r in inference.attach_predictions(rows, answers).collect())
+
+
+def test_repeated_answers_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, language string")
+    schema = "row_id long, model string, prediction int, v int"
+    several = spark.createDataFrame([(1, "m", 1, 5), (1, "n", 0, 6)], schema)
+    got = inference.attach_predictions(rows, several)
+    assert got.columns == ["language", "row_id", "model", "prediction", "v"] or got.columns == ["row_id", "language", "model", "prediction", "v"]
+    assert sorted((r.row_id, r.model or "", r.prediction, r.v) for r in got.collect()) == [(1, "m", 1, 5), (1, "n", 0, 6), (2, "", None, None)]
+    with pytest.raises(Exception, match="several answers for 1/m"):
+        inference.attach_predictions(rows, several.unionByName(several.where("model = 'm'"))).collect()

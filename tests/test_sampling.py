@@ -187,3 +187,21 @@ def test_frames_carry_their_order(spark, clean):
     assert orders["kotlin", 0, "train"][:5] != orders["kotlin", 3, "train"][:5]
     again = sampling.experiments(clean.repartition(7), sampling.experiment_list(spark, [(0, 0), (3, 42)])).collect()
     assert sorted((r.variant, r.row_id, r.copy, r.order_key) for r in rows) == sorted((r.variant, r.row_id, r.copy, r.order_key) for r in again)
+
+
+def test_repeated_keys_are_refused(spark, clean):
+    runs = sampling.experiment_list(spark, [(0, 0)])
+    twice = clean.unionByName(clean.where("row_id = 5").withColumn("target", 1 - F.col("target")))
+    for sampled in (
+        lambda: sampling.stratified_split(twice, runs, GROUP),
+        lambda: sampling.plain_split(twice, GROUP),
+        lambda: sampling.undersample(twice, GROUP),
+        lambda: sampling.oversample(twice, GROUP),
+        lambda: sampling.experiments(twice, runs),
+        lambda: sampling.shuffled(twice, GROUP),
+    ):
+        with pytest.raises(ValueError, match="occurs more than once"):
+            sampled()
+    # The same key in another group is another row.
+    apart = clean.unionByName(clean.where("row_id = 5").withColumn("configuration", F.lit("other")))
+    assert sampling.stratified_split(apart, runs, GROUP).count() == 121

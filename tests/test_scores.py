@@ -115,6 +115,55 @@ def test_effort_does_not_depend_on_ranges(done, buckets):
     assert any(r.effort_lines > 0 for r in base)
 
 
+def effort_facts(spark, seed=6):
+    """Runs with evenly spread places, with one far place, and with all rows at few places."""
+    rng = random.Random(seed)
+    rows, goals = [], []
+    for e, places in enumerate(([3 * k for k in range(400)], [*range(399), 10**15], [k // 50 for k in range(400)], [5])):
+        for k in places:
+            said = rng.randint(0, 4)
+            rows.append(("k", "c", e, "m", k, said, sorted(rng.sample(range(1, said + 1), rng.randint(0, said)))))
+        goals.append(("k", "c", e, 5000, 5 * sum(len(r[6]) for r in rows if r[2] == e) // 2))
+    facts = spark.createDataFrame(rows, "language string, configuration string, experiment int, model string, row_id long, n_said int, hit_at array<int>")
+    totals = spark.createDataFrame(goals, "language string, configuration string, experiment int, total_lines long, total_flaw_lines long")
+    return rows, facts.repartition(5), totals
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 64])
+def test_effort_within_quantile_ranges(spark, buckets):
+    rows, facts, totals = effort_facts(spark)
+    whole = {r.experiment: r.effort_lines for r in linelevel.effort_lines(facts, totals).collect()}
+    cut = {r.experiment: r.effort_lines for r in linelevel.effort_lines(facts, totals, buckets=buckets, bound=5).collect()}
+    goals = {r.experiment: int(r.total_flaw_lines * 0.2) for r in totals.collect()}
+    for e in (0, 1):
+        found = effort = 0
+        for r in sorted((r for r in rows if r[2] == e), key=lambda r: r[4]):
+            for line in range(1, r[5] + 1):
+                if found < goals[e]:
+                    effort, found = effort + 1, found + (line in r[6])
+        assert cut[e] == whole[e] == effort
+    assert set(cut) == set(whole)
+
+
+def test_one_far_row_leaves_no_large_range(spark):
+    _, facts, totals = effort_facts(spark)
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    spans = facts.groupBy(*linelevel.RUN_KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n = 400").join(totals, linelevel.EXPERIMENT_KEYS)
+    goal = F.col("total_flaw_lines") * F.lit(0.2)
+    spans = spans.select(*linelevel.RUN_KEYS, goal.cast("bigint").alias("_goal"), none.alias("_low"), none.alias("_high"), zero.alias("_hits_before"), zero.alias("_said_before"), "_n")
+    narrow = facts.withColumnRenamed("row_id", "_at")
+    kept = {r.experiment: r._n for r in linelevel._goal_ranges(narrow, spans, linelevel.RUN_KEYS, 20).collect()}
+    assert kept[0] <= 3 * 20 and kept[1] <= 3 * 20 and kept[2] <= 50
+
+
+def test_missing_totals_are_refused(done):
+    totals = results.experiment_totals(done).where("experiment <> 1")
+    facts = linelevel.line_facts(done, totals)
+    for scored in (linelevel.line_metrics(done, totals), linelevel.effort_at_recall(facts, totals), linelevel.recall_at_loc(facts, totals)):
+        with pytest.raises(Exception, match="no total"):
+            scored.collect()
+
+
 def test_effort_with_a_goal_below_one_line(spark):
     rows = [("k", "c", 0, "linevul_undersampling", 1, "a\nb", 1, 1, "1", None, [0, 1], 200, 4)]
     done = spark.createDataFrame(rows, SCHEMA)
