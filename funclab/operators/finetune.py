@@ -17,6 +17,7 @@ from funclab.config import (
 from funclab.functions.prompts import training_messages
 from funclab.functions.tokens import TOKENS_PER_MESSAGE, TOKENS_PER_NAME, TOKENS_PER_REPLY, count_pieces
 from funclab.plans.settle import lookup_join, settle
+from funclab.schemas import MESSAGE_FIELDS
 
 # Error kinds of the format check, roles and message keys.
 ERROR_KINDS = [
@@ -29,7 +30,7 @@ ERROR_KINDS = [
     "example_missing_assistant_message",
 ]
 ROLES = ["system", "user", "assistant"]
-MESSAGE_KEYS = ["role", "content", "name"]
+MESSAGE_KEYS = MESSAGE_FIELDS
 
 
 def fine_tuning_chats(rows: DataFrame, code="processed_func", target="target", language="language", template=DEFAULT_TEMPLATE) -> DataFrame:

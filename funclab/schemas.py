@@ -10,6 +10,8 @@ CLEAN = "processed_func string, target int, flaw_line_index string, flaw_line st
 CLEAN_WITH_KEYS = "row_id bigint, language string, " + CLEAN
 
 MESSAGES = "array<struct<role:string,content:string>>"
+# What a message may say.
+MESSAGE_FIELDS = ["role", "content", "name"]
 
 # Column names of the two result file formats.
 ANSWER_RESULT_CSV = (

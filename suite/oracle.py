@@ -152,6 +152,18 @@ SELECT row_id, CASE bad
 FROM parts
 """
 
+CTES["v_named"] = f"""
+WITH parts AS (
+  SELECT *, {h("'named'", "row_id")} % 6 AS pick, CASE WHEN {h("'named'", "row_id")} % 6 IN (1, 2) THEN 'user_' || row_id % 5 END AS uname,
+         CASE WHEN {h("'named'", "row_id")} % 6 = 2 THEN 'bot one' END AS aname, {h("'named'", "row_id")} % 6 < 3 AS fine
+  FROM v_chats
+)
+SELECT *, CASE WHEN pick = 3 THEN '[1]'
+  WHEN pick = 4 THEN '{{"messages": [1, ' || json_object('role', 'user', 'content', "user")::VARCHAR || ']}}'
+  ELSE '{{"messages": [' || json_object('role', 'system', 'content', system)::VARCHAR END AS line
+FROM parts
+"""
+
 # Comment tokens. DuckDB's matcher needs no guard against deep recursion.
 STR = r'"(?:[^"\\]|\\(?s:.))*"'
 CHR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'"
@@ -497,6 +509,20 @@ BODIES = {
     "scan_chat_jsonl": """SELECT sha256(value) AS line_sha,
         CASE WHEN json_type(value, '$.messages') = 'ARRAY' THEN json_array_length(value, '$.messages')::INT END AS n_messages,
         json_extract_string(value, '$.messages[0].role') AS first_role FROM v_chat_lines""",
+    "scan_chat_records": """SELECT CASE WHEN fine THEN
+          CASE WHEN pick < 2 THEN 'system|' || sha256(system) || '|-;' ELSE '' END || 'user|' || sha256("user") || '|' || coalesce(uname, '-')
+          || ';assistant|' || sha256(assistant) || '|' || coalesce(aname, '-') END AS messages,
+        CASE WHEN NOT fine THEN sha256(line) END AS bad_line_sha FROM v_named""",
+    "chat_report": f"""SELECT sha256("user") AS asked_sha, uname AS asked_by, CASE WHEN pick < 2 THEN 3 ELSE 2 END AS n_messages,
+        CASE WHEN pick < 2 THEN {_tok("system")} + 3 + 1 ELSE 0 END + {_tok('"user"')} + {_tok("assistant")} + 6 + 2 + 3
+          + coalesce({_tok("uname")} + 1, 0) + coalesce({_tok("aname")} + 1, 0) AS n_tokens,
+        {_tok("assistant")} AS n_assistant_tokens, pick < 2 AS has_system, true AS has_user, true AS has_assistant
+        FROM v_named WHERE fine""",
+    "scan_experiment_tree": f"""SELECT {EXP}, variant, target, flaw_line_index, sha256(coalesce(flaw_line, '')) AS flaw_line_sha, {TEXT_SHA}
+        FROM (SELECT * FROM v_experiments UNION ALL SELECT * REPLACE ('data_original' AS configuration, NULL AS flaw_line_index, NULL AS flaw_line) FROM v_experiments)
+        WHERE experiment = 3""",
+    "scan_result_tree": f"""SELECT {RUN}, row_id, target, prediction, flaw_line_index, num_lines, num_flaw_lines, array_to_string(line_ranking, ',') AS line_ranking,
+        sha256(coalesce(func_response, '')) AS func_sha, sha256(coalesce(line_response, '')) AS line_sha FROM v_results""",
     "write_results": f"""SELECT {RUN}, row_id, target, prediction, {TEXT_SHA},
         CASE WHEN line_ranking IS NOT NULL THEN '[' || array_to_string(line_ranking, ',') || ']' END AS line_ranking FROM v_results""",
     "normalise_results": f"""SELECT {RUN}, row_id, target, prediction, flaw_line_index, func_response, line_response, num_lines,

@@ -112,6 +112,52 @@ def scan_chat_jsonl(spark, sf):
     )
 
 
+def _named_records(spark, sf):
+    path = scratch_path(spark, "named-chats")
+    views.v_named_lines(spark, sf).select("value").write.text(path)
+    return readers.read_chat_records(spark, path)
+
+
+@query
+def scan_chat_records(spark, sf):
+    """Every field of every message of every record in a file, and every line that is none."""
+    said = F.transform("messages", lambda m: F.concat_ws("|", m["role"], F.sha2(m["content"], 256), F.coalesce(m["name"], F.lit("-"))))
+    return _named_records(spark, sf).select(F.array_join(said, ";").alias("messages"), F.sha2("bad_line", 256).alias("bad_line_sha"))
+
+
+@query
+def chat_report(spark, sf):
+    """From a file of chats to the facts that decide on tuning: messages, tokens, names, roles."""
+    records = _named_records(spark, sf).where("bad_line is null")
+    asked = F.filter("messages", lambda m: m["role"] == "user")[0]
+    records = records.withColumns({"asked_sha": F.sha2(asked["content"], 256), "asked_by": asked["name"]})
+    return finetune.chat_facts(records, keep=("asked_sha", "asked_by"))
+
+
+@query
+def scan_experiment_tree(spark, sf):
+    """A tree of CSV files, some with flaw lines and some without, read back as one frame."""
+    path = scratch_path(spark, "experiment-tree")
+    made = _experiments(spark, sf, [(3, 42)])
+    keys = [*EXP, "variant"]
+    writers.write_csv(made.select(*keys, "processed_func", "target", "flaw_line_index", "flaw_line"), path, keys)
+    plain = made.withColumn("configuration", F.lit("data_original")).select(*keys, "processed_func", "target")
+    writers.write_csv(plain, path, keys, mode="append")
+    back = readers.read_experiment_tree(spark, path).fillna("", ["flaw_line"])
+    return back.select(*keys, "target", "flaw_line_index", F.sha2("flaw_line", 256).alias("flaw_line_sha"), text_sha())
+
+
+@query
+def scan_result_tree(spark, sf):
+    """Both kinds of result files in one tree, read back on one schema."""
+    path = scratch_path(spark, "result-tree")
+    writers.write_csv(_answer_file(spark, sf), path, RUN)
+    writers.write_csv(_ranking_file(spark, sf), path, RUN, mode="append")
+    both = results.normalise_results(*readers.read_result_tree(spark, path))
+    return _flat_results(both.fillna("", ["func_response", "line_response"])).select(*RUN, *_RESULT_COLUMNS[:4], "num_lines", "num_flaw_lines", "line_ranking",
+        F.sha2("func_response", 256).alias("func_sha"), F.sha2("line_response", 256).alias("line_sha"))
+
+
 @query
 def write_results(spark, sf):
     path = scratch_path(spark, "results")

@@ -228,3 +228,28 @@ def v_chat_lines(spark, sf) -> DataFrame:
         .otherwise(record(ok(0), ok(1), F.lit('{"role": "assistant", "content": 5}')))
     )
     return v_chats(spark, sf).select("row_id", line.alias("value"))
+
+
+def v_named_lines(spark, sf) -> DataFrame:
+    """Chat records as JSON lines in which some speakers have names, and lines that are no records."""
+    pick = _mod(6, "named", F.col("row_id"))
+    m = [F.get("messages", F.lit(i)) for i in range(3)]
+    user = F.concat(F.lit("user_"), (F.col("row_id") % 5).cast("string"))
+
+    def message(i, name=None):
+        said = [m[i]["role"].alias("role"), m[i]["content"].alias("content")]
+        return F.to_json(F.struct(*said, *([name.alias("name")] if name is not None else [])))
+
+    def record(*messages):
+        parts = [p for msg in messages for p in (F.lit(", "), msg)][1:]
+        return F.concat(F.lit('{"messages": ['), *parts, F.lit("]}"))
+
+    line = (
+        F.when(pick == 0, record(message(0), message(1), message(2)))
+        .when(pick == 1, record(message(0), message(1, user), message(2)))
+        .when(pick == 2, record(message(1, user), message(2, F.lit("bot one"))))
+        .when(pick == 3, F.lit("[1]"))
+        .when(pick == 4, F.concat(F.lit('{"messages": [1, '), message(1), F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"messages": ['), message(0)))
+    )
+    return v_chats(spark, sf).select("row_id", line.alias("value"))
