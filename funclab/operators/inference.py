@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -40,53 +42,84 @@ class Retry:
                 self.sleep(random.uniform(0, min(self.longest_wait, 2.0 ** (attempt - 1))))
 
 
-def ask(messages: Column, model: Column, predict: Predict, retry: Retry = Retry()) -> Column:
-    """The model's answer as ``struct<ok, text>``; null messages are not sent and give null text.
+class StopAsking(Exception):
+    """For a model function to raise where no further call can succeed, as when a quota is used up."""
+
+
+#: What stands in place of an error for a row that was not asked about, or not to the end.
+NOT_ASKED = "not asked"
+
+
+def _answer_all(sent, models, predict, retry, at_once, stopped):
+    """(ok, text, error) of each question, in the order of the questions; ok is null where none was asked."""
+
+    def one(question):
+        body, name = question
+        if body is None:
+            return True, None, None
+        if stopped.is_set():
+            return None, None, NOT_ASKED
+        turns = json.loads(body)
+        try:
+            return True, retry(lambda: predict(turns, name)), None
+        except StopAsking:
+            stopped.set()
+            return None, None, NOT_ASKED
+        except Exception as error:  # one bad row must not fail the job
+            return False, None, f"{type(error).__name__}: {error}"
+
+    questions = list(zip(sent, models))
+    if at_once <= 1:
+        return [one(q) for q in questions]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, questions))
+
+
+def ask(messages: Column, model: Column, predict: Predict, retry: Retry = Retry(), at_once: int = 1) -> Column:
+    """The model's answer as ``struct<ok, text, error>``; null messages are not sent and give null text.
 
     Only the messages go to Python. The column is marked as non-deterministic, so the plan never
-    evaluates it twice for one row. Calls run one after the other in a task: repartition the rows
-    for more calls at a time, and lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` for slow
-    models.
+    evaluates it twice for one row. A task keeps up to ``at_once`` calls open, each in a thread with
+    its own retries, and answers keep the order of the rows; repartition the rows for more tasks,
+    and lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` for slow models. After ``StopAsking`` a
+    task makes no further call, and ``ok`` is null for what it leaves out.
     """
 
-    @F.pandas_udf("struct<ok:boolean,text:string>")
+    @F.pandas_udf("struct<ok:boolean,text:string,error:string>")
     def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        stopped = threading.Event()
         for sent, models in batches:
-            answers = []
-            for body, name in zip(sent, models):
-                if body is None:
-                    answers.append((True, None))
-                    continue
-                turns = json.loads(body)
-                try:
-                    answers.append((True, retry(lambda: predict(turns, name))))
-                except Exception as error:  # one bad row must not fail the job
-                    answers.append((False, str(error)))
-            yield pd.DataFrame(answers, columns=["ok", "text"])
+            answers = _answer_all(sent, models, predict, retry, at_once, stopped)
+            yield pd.DataFrame(answers, columns=["ok", "text", "error"])
 
     return call.asNondeterministic()(F.to_json(messages), model)
 
 
-def batch_predict(rows: DataFrame, predict: Predict, model="model", prompt="prompt", language="language", retry: Retry = Retry(), template=DEFAULT_TEMPLATE) -> DataFrame:
+def batch_predict(rows: DataFrame, predict: Predict, model="model", prompt="prompt", language="language", retry: Retry = Retry(), template=DEFAULT_TEMPLATE, error: str | None = None, at_once: int = 1) -> DataFrame:
     """Add ``func_response``, ``line_response`` and ``prediction``.
 
     Lines are asked for in a second call, only where the first answer is plainly "vulnerable". A
-    row whose call fails counts as vulnerable and loses its prompt. Write the result before
-    using it twice, or the model is asked twice.
+    row whose call fails counts as vulnerable and loses its prompt; what went wrong is kept in the
+    column named by ``error``, if any. A row that a stopped task left out keeps its prompt and has
+    null answers. Write the result before using it twice, or the model is asked twice; ``plans.runs``
+    has runs that write it and go on where they ended.
     """
-    first = rows.withColumn("_a", ask(question_messages(F.col(prompt), F.col(language), template), F.col(model), predict, retry))
+    first = rows.withColumn("_a", ask(question_messages(F.col(prompt), F.col(language), template), F.col(model), predict, retry, at_once))
     first = first.withColumn("_answer", strip(F.col("_a.text")))
     gate = F.col("_a.ok") & line_question_gate(F.col("_answer"))
     more = line_question_messages(F.col(prompt), F.col("_answer"), F.col(language), template)
-    second = first.withColumn("_b", ask(F.when(gate, more), F.col(model), predict, retry))
+    second = first.withColumn("_b", ask(F.when(gate, more), F.col(model), predict, retry, at_once))
+    asked = F.col("_a.ok").isNotNull() & F.col("_b.ok").isNotNull()
     failed = ~(F.col("_a.ok") & F.col("_b.ok"))
-    return (
-        second.withColumn("func_response", F.when(failed, F.lit(FAILED_CALL_TEXT)).otherwise(F.col("_answer")))
-        .withColumn("line_response", F.when(failed, F.lit("")).otherwise(F.coalesce(strip(F.col("_b.text")), F.lit(""))))
-        .withColumn("prediction", F.when(failed, F.lit(1)).otherwise(response_label(F.col("_answer"))))
-        .withColumn(prompt, F.when(failed, F.lit("")).otherwise(F.col(prompt)))
-        .drop("_a", "_b", "_answer")
+    done = (
+        second.withColumn("func_response", F.when(asked, F.when(failed, F.lit(FAILED_CALL_TEXT)).otherwise(F.col("_answer"))))
+        .withColumn("line_response", F.when(asked, F.when(failed, F.lit("")).otherwise(F.coalesce(strip(F.col("_b.text")), F.lit("")))))
+        .withColumn("prediction", F.when(asked, F.when(failed, F.lit(1)).otherwise(response_label(F.col("_answer")))))
+        .withColumn(prompt, F.when(asked & failed, F.lit("")).otherwise(F.col(prompt)))
     )
+    if error:
+        done = done.withColumn(error, F.coalesce(F.col("_a.error"), F.col("_b.error")))
+    return done.drop("_a", "_b", "_answer")
 
 
 ANSWER_KEYS = ("language", "configuration", "experiment", "variant", "row_id")

@@ -498,6 +498,22 @@ _P = r"'[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\v]'"
 _tok = lambda x: f"len(regexp_extract_all({x}, {_P}))"
 _PROMPT_LEN = f"length({filled(config.TASK_TEXT, language='language', new_source_code='processed_func')})"
 
+_FEW_ASKED = f"""SELECT t.language, t.configuration, t.experiment, t.row_id, t.target, {_FEW_PROMPT} AS prompt
+    FROM v_split t LEFT JOIN (SELECT {EXP}, string_agg({_DEMO} || {NL}, '' ORDER BY example) AS block FROM ({_FEW}) GROUP BY ALL) b
+    USING ({EXP}) WHERE t.split = 'test'"""
+_ASKED = f"SELECT *, {filled(config.TASK_TEXT, language='language', new_source_code='processed_func')} AS prompt"
+
+
+def told(source, also=""):
+    """What the stub says about the prompts of ``source``."""
+    return f"""SELECT * EXCLUDE (prompt, n, label), CASE WHEN n % 11 = 0 THEN 'Limit token exceeded' ELSE '1. Analysis: ' || label END AS func_response,
+        CASE WHEN n % 11 <> 0 AND n % 2 = 1 THEN 'Line number 0: ' || {TICK} || string_split(prompt, {NL})[1] || {TICK} ELSE '' END AS line_response,
+        CASE WHEN n % 11 = 0 OR n % 2 = 1 THEN 1 ELSE 0 END AS prediction {also}
+        FROM (SELECT *, CASE WHEN n % 2 = 1 THEN 'Vulnerable' ELSE 'Non-Vulnerable' END AS label FROM (SELECT *, length(prompt) AS n FROM ({source})))"""
+
+
+_ERROR = ", CASE WHEN n % 11 = 0 THEN 'ValueError: too long' END AS error"
+
 BODIES = {
     "scan_raw_parquet": f"SELECT doc_id AS row_id, source AS repo_url, {loc('text')}::INT AS n_lines FROM documents",
     "scan_raw_csv": "SELECT row_id, language, repo_url, code, label, before_change, added_only, mod_lines FROM v_raw",
@@ -606,6 +622,9 @@ BODIES = {
         CASE WHEN n % 11 <> 0 AND n % 2 = 1 THEN 'Line number 0: ' || {TICK} || string_split(processed_func, {NL})[1] || {TICK} ELSE '' END AS line_response,
         CASE WHEN n % 11 = 0 OR n % 2 = 1 THEN 1 ELSE 0 END AS prediction, (CASE WHEN n % 11 = 0 THEN 0 ELSE n END)::INT AS n_prompt
         FROM (SELECT *, {_PROMPT_LEN} AS n FROM v_clean)""",
+    "retried_predict": told(_ASKED.replace("*", "row_id") + " FROM v_clean", _ERROR),
+    "resumed_run": told(f"SELECT *, 'base' AS model FROM ({_FEW_ASKED}) WHERE experiment = 3", _ERROR + ", 1 AS attempt"),
+    "fine_tuned_run": told(_ASKED.replace("*", f"{EXP}, row_id, target, 'ft:1' AS model") + " FROM v_split WHERE experiment = 3 AND split = 'test'"),
     "attach_predictions": """SELECT c.language, r.experiment, r.model, c.row_id, c.target, r.prediction
         FROM v_clean c JOIN v_results r ON c.row_id = r.row_id""",
     "true_positives": f"SELECT DISTINCT {RUN}, sha256(processed_func) AS func_key FROM v_results WHERE target = 1 AND prediction = 1",

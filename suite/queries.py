@@ -18,6 +18,7 @@ from funclab.operators import (
     scores,
     stats,
 )
+from funclab.plans import runs
 from funclab.plans.settle import scratch_path
 from funclab.schemas import EXPERIMENT_KEYS, MESSAGES, RAW_CSV, RUN_KEYS
 from funclab.sources import readers, writers
@@ -534,6 +535,52 @@ def batch_predict(spark, sf):
     return done.select("row_id", "func_response", "line_response", "prediction", F.length("prompt").alias("n_prompt"))
 
 
+class FailsFirst:
+    """The stub, whose connection breaks at the first call for each question."""
+
+    def __init__(self):
+        self.called = set()
+
+    def __call__(self, messages, model):
+        asked = str(messages)
+        if asked not in self.called:
+            self.called.add(asked)
+            raise ConnectionError("broken")
+        return stub_model(messages, model)
+
+
+@query
+def retried_predict(spark, sf):
+    """Four calls at a time, each of which fails once; errors of a row keep their text."""
+    asked = fewshot.zero_shot_prompts(views.v_clean(spark, sf)).withColumn("model", F.lit("stub"))
+    retry = inference.Retry(attempts=3, longest_wait=0.0)
+    done = inference.batch_predict(asked, FailsFirst(), retry=retry, error="error", at_once=4)
+    return done.select("row_id", "func_response", "line_response", "prediction", "error")
+
+
+def stopping_model(messages, model):
+    """The stub with a quota that ends at a question of some length."""
+    if len(messages[1]["content"]) % 17 == 3:
+        raise inference.StopAsking()
+    return stub_model(messages, model)
+
+
+@query
+def resumed_run(spark, sf):
+    """A few-shot run that is stopped half way, and a second one that asks only what is left."""
+    exps = _experiments(spark, sf, [(3, 42)])
+    path = scratch_path(spark, "answers")
+    runs.few_shot_run(exps, stopping_model, "base", answers=path)
+    done = runs.few_shot_run(exps, stub_model, "base", answers=path)
+    return done.select(*EXP, "row_id", "target", "model", "func_response", "line_response", "prediction", "error", "attempt")
+
+
+@query
+def fine_tuned_run(spark, sf):
+    done = runs.fine_tuned_run(_experiments(spark, sf, [(3, 42)]), stub_model, "ft:1")
+    return done.select(*EXP, "row_id", "target", "model", "func_response", "line_response", "prediction")
+
+
 @query
 def attach_predictions(spark, sf):
     done = views.v_results(spark, sf).select("row_id", "experiment", "model", "prediction")

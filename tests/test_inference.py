@@ -105,3 +105,72 @@ def test_repeated_answers_are_refused(spark):
     assert sorted((r.row_id, r.model or "", r.prediction, r.v) for r in got.collect()) == [(1, "m", 1, 5), (1, "n", 0, 6), (2, "", None, None)]
     with pytest.raises(Exception, match="several answers for 1/m"):
         inference.attach_predictions(rows, several.unionByName(several.where("model = 'm'"))).collect()
+
+
+class Counted:
+    """Counts its calls for each prompt, stops at some, and fails at others."""
+
+    def __init__(self, calls, stop=lambda n: False, fail=lambda n: False):
+        self.calls, self.stop, self.fail = calls, stop, fail
+
+    def __call__(self, messages, name):
+        n = int(messages[1]["content"])
+        if self.stop(n):
+            raise inference.StopAsking()
+        self.calls.add([n])
+        if self.fail(n):
+            raise ValueError(f"no {n}")
+        return "1. Analysis: Non-Vulnerable"
+
+
+class Listed:
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        a += b
+        return a
+
+
+def asked_rows(spark, n=60):
+    return spark.range(n).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("prompt"), F.lit("rust").alias("language"), F.lit("m").alias("model"))
+
+
+@pytest.mark.parametrize("at_once", [1, 5])
+def test_a_stopped_run_goes_on_where_it_ended(spark, tmp_path, at_once):
+    from funclab.plans.runs import answered
+
+    calls = spark.sparkContext.accumulator([], Listed())
+    rows, path = asked_rows(spark).repartition(3), f"{tmp_path}/answers"
+    first = answered(rows, Counted(calls, stop=lambda n: n % 20 == 13), path, at_once=at_once)
+    some = first.where("func_response is not null").count()
+    assert 0 < some < 60 and len(calls.value) == some
+    done = answered(rows, Counted(calls, fail=lambda n: n == 13), path, at_once=at_once).collect()
+    assert sorted(calls.value) == list(range(60))
+    assert {r.row_id: r.error for r in done if r.error} == {13: "ValueError: no 13"}
+    assert all(r.attempt == 1 and (r.prediction, r.func_response) == ((1, "Limit token exceeded") if r.row_id == 13 else (0, "1. Analysis: Non-Vulnerable")) for r in done)
+    # Nothing is left to ask, unless rows whose call failed are to be asked again.
+    assert answered(rows, Counted(calls), path).count() == 60 and len(calls.value) == 60
+    again = {r.row_id: r for r in answered(rows, Counted(calls), path, failed_again=True).collect()}
+    assert calls.value[60:] == [13] and again[13].attempt == 2 and again[13].error is None and again[13].prediction == 0
+
+
+def test_calls_at_once_keep_the_order_and_their_number(spark):
+    import threading
+    import time
+
+    open_, most, lock = [0], [0], threading.Lock()
+
+    def slow(turns, name):
+        with lock:
+            open_[0] += 1
+            most[0] = max(most[0], open_[0])
+        time.sleep(0.02 * (int(turns[0]) % 3))
+        with lock:
+            open_[0] -= 1
+        return turns[0]
+
+    sent = [f'["{k}"]' if k % 7 else None for k in range(40)]
+    got = inference._answer_all(sent, ["m"] * 40, slow, inference.Retry(), 4, threading.Event())
+    assert [text for _, text, _ in got] == [str(k) if k % 7 else None for k in range(40)]
+    assert 1 < most[0] <= 4
