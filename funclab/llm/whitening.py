@@ -63,21 +63,65 @@ def _pack(height):
     return run
 
 
+def _matrix_schema():
+    """Rows as MLlib keeps the blocks of a matrix."""
+    from pyspark.mllib.linalg import MatrixUDT
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    place = StructType([StructField("row", LongType()), StructField("column", LongType())])
+    return StructType([StructField("place", place), StructField("matrix", MatrixUDT())])
+
+
+def _as_matrices(height, width):
+    """Packed blocks, one by one, as matrices in the form of their SQL type; no value becomes an object."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ints = pa.list_(pa.int32())
+        names = ["type", "numRows", "numCols", "colPtrs", "rowIndices", "values", "isTransposed"]
+        for b in batches:
+            for number, held in zip(b.column(0).to_pylist(), b.column(1)):
+                values = pa.array(np.frombuffer(held.as_buffer()))
+                dense = [pa.array([1], pa.int8()), pa.array([height], pa.int32()), pa.array([width], pa.int32()), pa.nulls(1, ints), pa.nulls(1, ints)]
+                dense += [pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([True])]
+                place = pa.StructArray.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int64())], names=["row", "column"])
+                yield pa.RecordBatch.from_arrays([place, pa.StructArray.from_arrays(dense, names=names)], names=["place", "matrix"])
+
+    return run
+
+
+def _as_rows(batches):
+    """Blocks of a product, one by one, as lists of their rows."""
+    import pyarrow as pa
+
+    for b in batches:
+        for place, matrix in zip(b.column(0), b.column(1)):
+            height, width = matrix["numRows"].as_py(), matrix["numCols"].as_py()
+            values = matrix["values"].values.to_numpy()
+            values = values.reshape(height, width) if matrix["isTransposed"].as_py() else values.reshape(width, height).T
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, height * width + 1, width), pa.int32()), pa.array(values.ravel()))
+            rows = pa.ListArray.from_arrays(pa.array([0, height], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([pa.array([place[0].as_py()], pa.int64()), rows], names=["number", "projected"])
+
+
 class Blocks:
     """Centred rows (vec_id, deviation, centred) as a BlockMatrix, with the ids of the rows of each block."""
 
     def __init__(self, rows: DataFrame, width: int, name: str):
-        from pyspark.mllib.linalg import DenseMatrix
+        from pyspark.mllib.common import callMLlibFunc
         from pyspark.mllib.linalg.distributed import BlockMatrix
 
         self.width, self.height = width, max(1, VALUES // width)
         packed = settle_table(rows.select("vec_id", "deviation", "centred").mapInArrow(_pack(self.height), _PACKED), name)
         # A row for each block, so few that one task can number them.
-        numbers = packed.select("part", "k", (F.row_number().over(Window.orderBy("part", "k")) - 1).alias("number"))
+        numbers = packed.select("part", "k", (F.row_number().over(Window.orderBy("part", "k")) - 1).cast("long").alias("number"))
         self.packed = lookup_join(packed, settle_table(numbers, f"{name}-numbers"), ["part", "k"], spread="k")
-        self.count, height = numbers.count(), self.height
-        blocks = self.packed.select("number", "held").rdd.map(lambda r: ((r[0], 0), DenseMatrix(height, width, np.frombuffer(r[1]), True)))
-        self.matrix = BlockMatrix(blocks, height, width, self.count * height, width)
+        self.count = numbers.count()
+        frame = self.packed.select("number", "held").mapInArrow(_as_matrices(self.height, width), _matrix_schema())
+        # What BlockMatrix itself calls, on a table in place of Python objects.
+        made = callMLlibFunc("createBlockMatrix", frame, self.height, width, self.count * self.height, width)
+        self.matrix = BlockMatrix(made, self.height, width)
 
     def scatter(self) -> np.ndarray:
         """Sum of the outer products of all rows: the transpose times the matrix."""
@@ -90,14 +134,15 @@ class Blocks:
 
     def project(self, by: np.ndarray) -> DataFrame:
         """vec_id, deviation and projected (a value for each column of ``by``) of every row."""
+        from pyspark.mllib.common import callMLlibFunc
         from pyspark.mllib.linalg import DenseMatrix
         from pyspark.mllib.linalg.distributed import BlockMatrix
 
         session, columns = self.packed.sparkSession, by.shape[1]
         right = session.sparkContext.parallelize([((0, 0), DenseMatrix(self.width, columns, by.ravel(order="F")))], 1)
         product = self.matrix.multiply(BlockMatrix(right, self.width, columns, self.width, columns))
-        rows = product.blocks.map(lambda b: (b[0][0], b[1].toArray().tolist()))
-        made = session.createDataFrame(rows, "number long, projected array<array<double>>")
+        blocks = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model)
+        made = blocks.mapInArrow(_as_rows, "number long, projected array<array<double>>")
         both = self.packed.select("number", "filled", "ids", "deviations").join(made, "number")
         rows = F.slice("projected", F.lit(1), F.col("filled"))
         both = both.select(F.explode(F.arrays_zip("ids", "deviations", rows.alias("projected"))).alias("r"))
