@@ -429,7 +429,9 @@ def sql(body):
                 needed.add(name)
                 queue.append(CTES[name])
     views = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in CTES if name in needed)
-    return f"WITH {views}\n{body}" if views else body
+    if not views:
+        return body
+    return f"WITH {views},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {views}\n{body}"
 
 
 EXP = "language, configuration, experiment"
@@ -629,8 +631,11 @@ BODIES = {
         FROM v_clean c JOIN v_results r ON c.row_id = r.row_id""",
     "true_positives": f"SELECT DISTINCT {RUN}, sha256(processed_func) AS func_key FROM v_results WHERE target = 1 AND prediction = 1",
     "model_overlap": overlap_sql(),
-    "overlap_semi_join": f"""SELECT {RUN}, row_id, prediction FROM (SELECT *, sha256(processed_func) AS func_key FROM v_results)
-        SEMI JOIN v_overlap USING ({EXP}, func_key)""",
+    "overlap_semi_join": f"""WITH keyed AS MATERIALIZED (SELECT {RUN}, row_id, target, prediction, sha256(processed_func) AS func_key FROM v_results),
+        hits AS (SELECT DISTINCT {RUN}, func_key FROM keyed WHERE target = 1 AND prediction = 1
+          AND model IN ({", ".join(f"'{m}'" for m in config.OVERLAP_MODELS)})),
+        shared AS (SELECT {EXP}, func_key FROM hits GROUP BY ALL HAVING count(*) = {len(config.OVERLAP_MODELS)})
+        SELECT {RUN}, row_id, prediction FROM keyed JOIN shared USING ({EXP}, func_key)""",
     "include_experiments": f"""SELECT language, configuration, {IDS} AS skip_experiments,
         array_to_string(list_filter(range(10), lambda i: NOT list_contains(list(experiment), i)), ',') AS include_experiments
         FROM v_skips GROUP BY ALL""",
