@@ -1,5 +1,8 @@
 """The main text of web pages: elements that never hold it go, then lines that a nearby page has too.
 
+A page that marks its article keeps all lines of the article, whoever quotes them; on all others,
+lines are judged by the pages next to them.
+
 Pages of a host are ordered by URL path, and each is paired with the neighbour whose path begins
 most alike. The longest common subsequence of both pages' lines is what the site prints on either,
 and is deleted. Only hashes of lines are compared and sorted; texts are met again by a row hash.
@@ -55,10 +58,10 @@ def _shut(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[str]:
+def article_blocks(page: str | None) -> tuple[list[str], bool]:
     """Text blocks of a page in order, without elements that never hold main text.
 
-    Where the page marks an article or main part that has text, only that part's blocks.
+    Where the page marks an article or main part that has text, only that part's blocks, and true.
     """
     page = page or ""
     out, text, stack = [], [], []  # stack: (name, shut, in article)
@@ -114,7 +117,12 @@ def blocks(page: str | None) -> list[str]:
             stack.append((name, shut or _shut(name, tag[2], inside), inside or name in ("article", "main")))
         shut, inside = stack[-1][1:] if stack else (False, False)
     cut()
-    return [line for line, held in out if held] or [line for line, _ in out]
+    marked = [line for line, held in out if held]
+    return (marked, True) if marked else ([line for line, _ in out], False)
+
+
+def blocks(page: str | None) -> list[str]:
+    return article_blocks(page)[0]
 
 
 def common(a: list, b: list) -> list[int]:
@@ -183,13 +191,14 @@ def _facts(batches):
     import xxhash
 
     for b in batches:
-        hashes, sizes = [], []
+        hashes, sizes, marked = [], [], []
         for page in b.column(3):
-            lines = blocks(page.as_py())
+            lines, held = article_blocks(page.as_py())
+            marked.append(held)
             hashes.append([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines])
             sizes.append([len(x) for x in lines])
-        arrays = [b.column(0), b.column(1), b.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["row", "host", "path", "lines", "sizes"])
+        arrays = [b.column(0), b.column(1), b.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(marked, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "host", "path", "lines", "sizes", "marked"])
 
 
 def _edges(batches):
@@ -220,6 +229,8 @@ def _decide(before, after):
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         def chosen(prev, now, follow):
+            if now[5]:  # all that is left of the page is its article, and what other pages have of it is quoted
+                return []
             near = [x for x in (prev, follow) if x is not None and x[0] == now[1]]
             other = max(near, key=lambda x: _alike(x[1], now[2]), default=None)
             return shared_lines(now[3], now[4], other[2]) if other else []
@@ -257,7 +268,7 @@ def shared_by_neighbours(pages: DataFrame) -> DataFrame:
     shared_dir(pages.sparkSession)
     part = lambda k: F.regexp_extract(F.coalesce("url", F.lit("")), _ADDRESS, k)
     keyed = pages.select(_row().alias("row"), F.lower(part(1)).alias("host"), part(2).alias("path"), "html")
-    facts = keyed.mapInArrow(_facts, "row long, host string, path string, lines array<long>, sizes array<int>")
+    facts = keyed.mapInArrow(_facts, "row long, host string, path string, lines array<long>, sizes array<int>, marked boolean")
     order = ["host", "path", "row"]
     facts = facts.dropDuplicates(["row"]).repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     # Two pages for each partition: their number is the number of tasks, not of pages.

@@ -266,9 +266,11 @@ def _assemble_group(with_payload):
 def read_archives(where: str, files: DataFrame, with_payload=True) -> DataFrame:
     """A row for each page record: id, type, page referred to, and the payload's size, digest and bytes.
 
-    Files are dealt out one by one. Segments alone are shuffled, and a group holds one payload.
+    Each file is a task of its own: the number of partitions is given, so that adaptive execution
+    does not merge them for the little that the names weigh. Segments alone are shuffled, and a
+    group holds one payload. A record without a page id, or with a type that is null, keeps the null.
     """
-    rows = files.select("file").repartition("file").mapInArrow(_read_files(where, with_payload), f"{_RECORDS}, {_RAW}")
+    rows = files.select("file").repartitionByRange(max(1, files.count()), "file").mapInArrow(_read_files(where, with_payload), f"{_RECORDS}, {_RAW}")
     split = scratch_path(files.sparkSession, "records")
     rows.write.parquet(split)
     rows = files.sparkSession.read.schema(f"{_RECORDS}, {_RAW}").parquet(split)

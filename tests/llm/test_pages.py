@@ -34,6 +34,15 @@ def test_round_trip_with_segments_over_files(spark, pages):
     ]
 
 
+def test_each_file_is_read_by_a_task_of_its_own(spark, pages):
+    where, files = warc.write_archives(pages.repartition(6), segment=1000, file_bytes=3000)
+    n = files.count()
+    dealt = files.select("file").repartitionByRange(n, "file")
+    assert n > 5 and dealt.rdd.glom().map(len).collect() == [1] * n
+    tasks = warc.read_archives(where, files).inputFiles()  # a part file for each task that read archives
+    assert len(tasks) >= n
+
+
 def test_no_pages(spark, pages):
     where, files = warc.write_archives(pages.filter("false"))
     assert warc.read_archives(where, files).count() == 0
@@ -114,3 +123,16 @@ def test_neighbours_on_any_partitioning(spark):
     assert got[41] == "Top story of the day\nz\nAll rights" and got[42] == "" and got[43] == "n"
     assert "Text number 5" in got[5] and "Text number 5" in got[44]
     assert page_text.main_text(pages.filter("false")).count() == 0
+
+
+def test_lines_of_a_marked_article_stay(spark):
+    """Whoever else has them: quotes, licence lines and near copies are the article's own."""
+    site = "<p>Menu line</p><article><h1>Story {0}</h1><p>{1}</p><p>He said: it will be fine.</p><p>This work is licensed.</p></article><p>Site line</p>"
+    plain = "<p>Menu line</p><p>{1}</p><p>Site line</p>"
+    rows = [(i, f"http://h.org/n/{i:03d}", site.format(i, f"Words of story {i // 2}. " * 5)) for i in range(20)]
+    rows += [(100 + i, f"http://h.org/m/{i:03d}", plain.format(i, f"Other words {i}. " * 5)) for i in range(20)]
+    out = {r["page_id"]: r["text"] for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        story = (f"Words of story {i // 2}. " * 5).strip()
+        assert out[i] == f"Story {i}\n{story}\nHe said: it will be fine.\nThis work is licensed."
+        assert out[100 + i] == (f"Other words {i}. " * 5).strip()
