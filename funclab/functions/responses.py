@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from funclab.config import ANALYSIS_MARKER, NON_VULNERABLE, VULNERABLE
 from funclab.functions.binding import bind
-from funclab.functions.text import split_lines, strip
+from funclab.functions.text import lines_of_code, split_lines, strip
 
 _NO_LINES = "array<int>"
+#: Quoted lines times lines of code that are tried one by one; beyond that an index is made of the lines.
+TRIED = 8_192
 
 
 def extract_analysis(answer: Column, strict_marker: bool = False) -> Column:
@@ -47,11 +53,75 @@ def quoted_code(line_answer: Column) -> Column:
     return F.array_compact(F.transform(split_lines(strip(line_answer)), piece))
 
 
+class LineIndex:
+    """The lines of a text, to be taken one after the other.
+
+    A piece takes the first free line that contains it, or that it starts with. Lines that contain
+    it are found by searching the whole text, from where the last search for the same piece ended;
+    lines that are one of its beginnings are looked up in a map from line to places.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.text, self.free = "\n".join(lines) + "\n", [True] * len(lines)
+        self.starts, self.places, self.searched = [], {}, {}
+        at = 0
+        for i, line in enumerate(lines):
+            self.starts.append(at)
+            at += len(line) + 1
+            self.places.setdefault(line, [0, []])[1].append(i)
+        self.lengths = sorted({len(line) for line in self.places})
+
+    def _containing(self, piece):
+        at = self.searched.get(piece, 0)
+        while at < len(self.text):
+            found = self.text.find(piece, at)
+            if found < 0:
+                break
+            i = bisect.bisect_right(self.starts, found) - 1
+            if self.free[i]:
+                self.searched[piece] = self.starts[i]
+                return i
+            at = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
+        self.searched[piece] = len(self.text)
+        return None
+
+    def _beginning(self, piece):
+        first = None
+        for n in self.lengths:
+            if n > len(piece):
+                break
+            held = self.places.get(piece[:n])
+            if held is None:
+                continue
+            while held[0] < len(held[1]) and not self.free[held[1][held[0]]]:
+                held[0] += 1
+            if held[0] < len(held[1]) and (first is None or held[1][held[0]] < first):
+                first = held[1][held[0]]
+        return first
+
+    def take(self, piece: str) -> int | None:
+        fits = [i for i in (self._containing(piece), self._beginning(piece)) if i is not None]
+        if not fits:
+            return None
+        self.free[min(fits)] = False
+        return min(fits)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _locate_by_index(pieces: pd.Series, lines: pd.Series) -> pd.Series:
+    def locate(said, source):
+        index = LineIndex(list(source))
+        return [i for i in map(index.take, said) if i is not None]
+
+    return pd.Series([None if p is None else locate(p, s) for p, s in zip(pieces, lines)], index=pieces.index, dtype=object)
+
+
 def locate_lines(line_answer: Column, code: Column) -> Column:
     """Line ids (0-based) of the quoted code, in answer order.
 
     Each piece takes the first line that contains it, or that it starts with, among the lines not
-    taken before. A null answer locates nothing.
+    taken before. A null answer locates nothing. Where many lines are quoted from a long text, its
+    lines are indexed in Python; all other rows are tried line by line and send nulls there.
     """
     lines = F.transform(split_lines(code), strip)
 
@@ -74,4 +144,7 @@ def locate_lines(line_answer: Column, code: Column) -> Column:
             lambda taken, piece: take(taken, piece, lines).cast(_NO_LINES),
         )
 
-    return F.coalesce(bind(lines, fold), F.array().cast(_NO_LINES))
+    many = lines_of_code(line_answer).cast("bigint") * lines_of_code(code) > TRIED
+    indexed = _locate_by_index(F.when(many, quoted_code(line_answer)), F.when(many, lines))
+    located = F.when(many, indexed).otherwise(bind(lines, fold))
+    return F.coalesce(located, F.array().cast(_NO_LINES))

@@ -111,7 +111,7 @@ SELECT language, configuration, experiment, model, row_id, processed_func, targe
   CASE WHEN answers THEN CASE say WHEN 0 THEN '1. Analysis: ' || word WHEN 1 THEN lower('1. analysis: ' || word)
     WHEN 2 THEN '1. Analysis: ' || word || {NL} || 'The code reads input.' WHEN 3 THEN '1. Analysis: ' || word || '.'
     WHEN 4 THEN word ELSE 'Sure. ANALYSIS:  ' || word || ' ' END END AS func_response,
-  CASE WHEN answers AND prediction = 1 THEN array_to_string(shown[start:start + 11], {NL}) WHEN answers THEN '' END AS line_response,
+  CASE WHEN answers AND prediction = 1 THEN array_to_string(shown[start:], {NL}) WHEN answers THEN '' END AS line_response,
   CASE WHEN NOT answers THEN picked[start:] END AS line_ranking,
   CASE WHEN NOT answers THEN {loc("processed_func")}::INT END AS num_lines,
   CASE WHEN NOT answers THEN CASE WHEN target = 1 THEN len(string_split(flaw_line_index, ','))::INT ELSE 0 END END AS num_flaw_lines

@@ -173,7 +173,7 @@ def v_results(spark, sf) -> DataFrame:
         .when(say == 4, word)
         .otherwise(F.concat(F.lit("Sure. ANALYSIS:  "), word, F.lit(" ")))
     )
-    listed = F.array_join(F.slice("_shown", start, F.lit(12)), "\n")
+    listed = F.array_join(F.slice("_shown", start, F.size("_shown")), "\n")
     return runs.select(
         "language",
         "configuration",

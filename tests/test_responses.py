@@ -96,3 +96,22 @@ def test_locate_random(spark):
 def test_null_answer_locates_nothing(spark):
     df = spark.createDataFrame([(None, "a\nb")], "a string, c string")
     assert df.select(responses.locate_lines(F.col("a"), F.col("c"))).first()[0] == []
+
+
+def test_index_of_lines_agrees_with_trying_them(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "ab", " ", "", "x = 1;", "é", "}"]
+    for _ in range(3000):
+        code = "\n".join(rng.choice(words) + rng.choice(words) for _ in range(rng.randint(1, 12)))
+        answer = "\n".join(rng.choice(["Line 1: ", "n: `"]) + rng.choice(words) + rng.choice(["", "`"]) for _ in range(rng.randint(0, 15)))
+        index = responses.LineIndex([line.strip() for line in code.split("\n")])
+        assert [i for i in map(index.take, pieces(answer)) if i is not None] == located(answer, code), (answer, code)
+
+
+def test_many_lines_of_a_long_text(spark):
+    rng = random.Random(6)
+    lines = [f"  call_{rng.randrange(900)}(x, {rng.randrange(9)});" if i % 5 else rng.choice(["", "}", "{ //"]) for i in range(2_000)]
+    answer = "\n".join(f"Line number {i}: `{lines[i].strip()}`" for i in sorted(rng.sample(range(2_000), 500)))
+    df = spark.createDataFrame([(answer, "\n".join(lines)), ("1: `x`", "x"), (None, "a")], "a string, c string")
+    got = [r[0] for r in df.select(responses.locate_lines(F.col("a"), F.col("c"))).collect()]
+    assert got == [located(answer, "\n".join(lines)), [0], []]
