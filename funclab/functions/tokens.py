@@ -1,7 +1,8 @@
 """Token counts, with a counter the caller can replace.
 
 A counter maps an array of texts to an array of counts. The default counts word pieces and
-punctuation in the JVM; ``python_counter`` wraps any Python function, such as a BPE encoder.
+punctuation in the JVM; ``vocabulary_counter`` counts the tokens of a vocabulary file, and
+``python_counter`` wraps any other Python function.
 """
 
 from __future__ import annotations
@@ -29,3 +30,35 @@ def python_counter(count):
         return texts.map(lambda row: None if row is None else [0 if t is None else int(count(t)) for t in row])
 
     return counter
+
+
+#: Vocabularies that a Python worker has read, by path.
+_VOCABULARIES: dict = {}
+
+
+def _vocabulary(path: str):
+    if path not in _VOCABULARIES:
+        from tokenizers import Tokenizer
+
+        read = Tokenizer.from_file(path)
+        read.encode_special_tokens = True  # their names in a text are ordinary text
+        _VOCABULARIES[path] = read
+    return _VOCABULARIES[path]
+
+
+def vocabulary_counter(path: str):
+    """A counter of the tokens that a vocabulary in the tokenizers library's JSON format gives.
+
+    ``path`` must be there for every executor. A batch of rows is encoded in one call, and only
+    numbers come back. Null texts have no tokens.
+    """
+
+    @F.pandas_udf("array<int>")
+    def counter(texts: pd.Series) -> pd.Series:
+        rows = [[] if row is None else list(row) for row in texts]
+        flat = [t for row in rows for t in row if t is not None]
+        sizes = iter([len(e.ids) for e in _vocabulary(path).encode_batch_fast(flat, add_special_tokens=False)])
+        counts = [None if given is None else [0 if t is None else next(sizes) for t in row] for given, row in zip(texts, rows)]
+        return pd.Series(counts, index=texts.index, dtype=object)
+
+    return counter

@@ -1,6 +1 @@
-"""No streaming operator is offered.
-
-Everything in ``funclab.functions`` and the row-wise operators (``preprocess``, ``strip_comments``,
-``fine_tuning_chats``, ``ask``) are stateless, so they run on a ``readStream`` frame as they are;
-``tests/test_streaming.py`` holds them to it.
-"""
+"""File streams for the row-wise operators."""

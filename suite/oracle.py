@@ -557,6 +557,8 @@ BODIES = {
         FROM v_experiments GROUP BY ALL""",
     "dataset_stats": f"""SELECT language, count(DISTINCT repo_url) AS n_projects, sum({loc("code")})::BIGINT AS n_lines,
         sum({COUNT_MOD})::BIGINT AS n_vul_lines, (sum({loc("code")}) - sum({COUNT_MOD}))::BIGINT AS n_non_vul_lines FROM v_raw GROUP BY ALL""",
+    "merged_sketches": f"""SELECT count(*) AS n_records, sum({loc("code")})::BIGINT AS n_lines, sum({COUNT_MOD})::BIGINT AS n_vul_lines,
+        true AS projects_near, true AS quantile_0_near, true AS quantile_1_near, true AS quantile_2_near FROM v_raw""",
     "loc_summary": f"""SELECT language, count(*) AS n_records, count(*) FILTER (label = 1) AS n_vul_records,
         count(*) FILTER (label <> 1) AS n_non_vul_records,
         sum(CASE WHEN mod_lines IS NULL THEN 0 ELSE len(string_split(mod_lines, ',')) END)::BIGINT AS n_vul_lines,
@@ -570,6 +572,7 @@ BODIES = {
     "parse_ranking": f"""SELECT {RUN}, row_id, len(line_ranking)::INT AS n, line_ranking[1]::INT AS first_line
         FROM v_results WHERE model LIKE 'linevul%'""",
     "strip_comments": "SELECT row_id, language, processed_func FROM v_stripped",
+    "strip_comments_stream": "SELECT row_id, language, processed_func FROM v_stripped",
     "noisy_lines": "SELECT row_id, array_to_string(ids, ',') AS noisy FROM v_noisy",
     "noisy_annotate": f"""SELECT row_id, array_to_string(list_transform({lines_of("processed_func")},
         lambda l, i: CASE WHEN list_contains(ids, i - 1) THEN '# ' || l ELSE l END), {NL}) AS annotated FROM v_noisy""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from funclab import config
-from funclab.functions import comments, responses, text
+from funclab.functions import comments, responses, text, tokens
 from funclab.operators import (
     fewshot,
     finetune,
@@ -19,9 +19,10 @@ from funclab.operators import (
     stats,
 )
 from funclab.plans import runs
-from funclab.plans.settle import scratch_path
+from funclab.plans.settle import scratch_path, settle_table
 from funclab.schemas import EXPERIMENT_KEYS, MESSAGES, RAW_CSV, RUN_KEYS
 from funclab.sources import readers, writers
+from funclab.streaming.files import process_new_files
 from suite import views
 
 GROUP = ["language", "configuration"]
@@ -282,6 +283,21 @@ def dataset_stats(spark, sf):
     return stats.dataset_stats(views.v_raw(spark, sf))
 
 
+@query
+def merged_sketches(spark, sf):
+    """Sketches for each language, stored, read and merged; beside what they should tell, within the bounds of their errors."""
+    raw = views.v_raw(spark, sf)
+    stored = settle_table(stats.dataset_sketches(raw), "sketches")
+    told = stats.sketched_stats(stats.merged_sketches(stored)).first()
+    loc = text.lines_of_code(F.col("code"))
+    share = lambda test: F.avg(test.cast("double"))
+    near = {"projects_near": F.abs(F.lit(told["n_projects"]) - F.count_distinct("repo_url")) <= F.count_distinct("repo_url") * 0.05}
+    for i, (q, cut) in enumerate(zip((0.1, 0.5, 0.9), told["length_quantiles"])):
+        near[f"quantile_{i}_near"] = (share(loc < cut) <= q + 0.02) & (share(loc <= cut) >= q - 0.02)
+    sums = [F.lit(told[name]).cast("bigint").alias(name) for name in ("n_records", "n_lines", "n_vul_lines")]
+    return raw.agg(*[test.alias(name) for name, test in near.items()]).select(*sums, *near)
+
+
 @query
 def loc_summary(spark, sf):
     return _rounded(stats.loc_summary(views.v_raw(spark, sf)), "mean_loc")
@@ -364,6 +380,17 @@ def blank_lines_nested(spark, sf):
     return blank.select("row_id", "clean_code", F.array_join(F.col("blank").cast("array<string>"), ",").alias("blank"))
 
 
+@query
+def strip_comments_stream(spark, sf):
+    """Files that arrive in two portions, each a run of its own with the same checkpoint."""
+    code, where = views.v_code(spark, sf), scratch_path(spark, "arriving")
+    half = F.pmod(F.xxhash64("row_id"), F.lit(2))
+    for k in range(2):
+        code.where(half == k).repartition(2).write.mode("append").parquet(f"{where}/in")
+        done = process_new_files(spark, f"{where}/in", code.schema, comments.strip_comments, f"{where}/out", f"{where}/checkpoint", files_per_batch=1)
+    return done
+
+
 # --- sampling --------------------------------------------------------------------------------
 
 
@@ -466,6 +493,19 @@ def chat_tokens(spark, sf):
     return records.select(*columns).unionByName(turns.select(*columns))
 
 
+def chat_tokens_vocabulary(spark, sf):
+    """Token counts of chats by a public vocabulary. SQL has no such encoder."""
+    import public_tokenizers
+
+    counter = tokens.vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    facts = finetune.chat_facts(views.v_chats(spark, sf), counter=counter)
+    return facts.select("row_id", "n_messages", "n_tokens", "n_assistant_tokens")
+
+
+#: Queries without SQL; a test holds them against the library itself.
+NO_SQL = {"chat_tokens_vocabulary": chat_tokens_vocabulary}
+
+
 @query
 def chat_missing_roles(spark, sf):
     return finetune.chat_missing_roles(_turn_facts(spark, sf))
