@@ -73,6 +73,14 @@ def fits_broadcast(settled: DataFrame, max_rows=None, max_bytes=None) -> bool:
     return rows <= (max_rows or MAX_BROADCAST_ROWS) and size <= (max_bytes or MAX_BROADCAST_BYTES)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no frame has; Spark does not tell upper case from lower."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lookup_join(rows: DataFrame, settled: DataFrame, on, how="inner", spread="row_id", fits=None) -> DataFrame:
     """Join rows of any number with a settled table that is expected to be small.
 
@@ -84,6 +92,7 @@ def lookup_join(rows: DataFrame, settled: DataFrame, on, how="inner", spread="ro
     on = list(on)
     if fits_broadcast(settled) if fits is None else fits:
         return rows.join(F.broadcast(settled), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    repeated = settled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salt = free_name("_salt", rows, settled)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    repeated = settled.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*on, salt], how).drop(salt)

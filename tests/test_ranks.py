@@ -56,3 +56,14 @@ def test_only_checked_tables_are_broadcast(spark, monkeypatch):
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert settling.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert settling.scratch_path(spark, "x") != settling.scratch_path(spark, "x")
+
+
+def test_a_lookup_keeps_columns_of_any_name(spark, monkeypatch):
+    """Beyond the bound of a broadcast both sides are salted, by a column that neither has."""
+    from funclab.plans import settle as settling
+
+    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 1)
+    rows = spark.createDataFrame([(i, i % 3, f"s{i}", i) for i in range(30)], "row_id long, k long, salt string, _SALT long")
+    table = settling.settle(spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string"))
+    got = settling.lookup_join(rows, table, ["k"], "left").collect()
+    assert sorted((r.row_id, r.salt, r["_SALT"], r.v) for r in got) == [(i, f"s{i}", i, {0: "a", 1: "b"}.get(i % 3)) for i in range(30)]
