@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage reads what the one before it wrote.
 
 Languages, near duplicates, repeated passages, benchmark passages, packing. All stages but the last
-return the columns of documents.
+return the columns of documents, whatever other columns there are. Rows may repeat, ids be null and
+texts be null or empty; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -10,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funclab.llm import decontamination, jaccard_join, language, packing, queries, suffix_dedup
-from funclab.llm.common import read_table, scratch_path
-
-#: A document whose most likely language has a smaller share than this is rejected.
-LEAST_SCORE = 0.5
-
+from funclab.llm.common import free_name, read_table, scratch_path
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model knows; those without a letter and doubtful ones go."""
+    """Keep documents in a language that the model knows; null texts and those without a letter go.
+
+    A text that is likely in several languages is kept: a doubtful guess is no reason to lose it.
+    """
     model = language.LanguageModel.train(docs.filter(~language.held_out()))
-    seen = model.predict(docs, names=("_language", "_share"))
-    return seen.filter((F.col("_language") != "und") & (F.col("_share") >= LEAST_SCORE)).select(*docs.columns)
+    found = free_name("language", docs)
+    seen = model.predict(docs, names=(found, free_name("share", docs)))
+    return seen.filter(F.col(found) != "und").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
