@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funclab.plans.settle import lookup_join, scratch_path, settle_table
+from funclab.plans.settle import free_name, lookup_join, scratch_path, settle_table
 
-__all__ = ["read_table", "scratch_path", "settle_table", "keyed_join", "store_at", "new_name", "worker_store"]
+__all__ = ["read_table", "scratch_path", "settle_table", "keyed_join", "free_name", "store_at", "new_name", "worker_store"]
 
 #: A key that more rows than this have is looked up where the rows lie.
 HOT_KEY = 1_000

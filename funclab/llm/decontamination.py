@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from funclab.plans.settle import lookup_join, settle_table
+from funclab.plans.settle import free_name, lookup_join, settle_table
 
 WINDOW = 13
 #: Terms of a window whose postings are intersected, rarest first.
@@ -140,8 +140,12 @@ def contamination(docs: DataFrame, tests: DataFrame, window=WINDOW, least=0.05)
 
 
 def clean(docs: DataFrame, tests: DataFrame, window=WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names.
+
+    Texts without words are kept, repeated rows are judged alike, and an empty table gives no rows.
+    """
     judged = contamination(docs, tests, window).filter("contaminated").select("row").distinct()
-    kept = docs.withColumn("_row", row_key(docs))
-    flagged = lookup_join(kept, settle_table(judged.select(F.col("row").alias("_row"), F.lit(True).alias("_bad")), "bad"), ["_row"], "left", spread="doc_id")
-    return flagged.filter("_bad is null").select(*docs.columns)
+    row, bad = free_name("row", docs), free_name("bad", docs)
+    kept = docs.withColumn(row, row_key(docs))
+    table = settle_table(judged.select(F.col("row").alias(row), F.lit(True).alias(bad)), "bad")
+    return lookup_join(kept, table, [row], "left", spread="doc_id").filter(F.col(bad).isNull()).select(*docs.columns)

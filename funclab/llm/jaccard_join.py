@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funclab.llm.common import scratch_path, settle_table
+from funclab.llm.common import free_name, scratch_path, settle_table
 from funclab.llm.katz import _spread, _squeeze, mixed, tokens, word_hashes
 from funclab.plans.settle import lookup_join
 
@@ -36,12 +36,14 @@ NUMERATOR, DENOMINATOR = 4, 5
 SHARED = 16
 #: Members of keys, about, whose pairs one task counts.
 OPENED = 200_000
+#: Meetings of pairs that a task holds before it counts them.
+COUNTED = 1_000_000
 #: Sets of a block, about, of which a task compares two.
 BLOCK = 512
 #: Bits of a sketch.
 SKETCH = 2048
 #: Keys of one bucket, about, and shingles that a task gathers before it deals out their keys.
-BUCKET, GATHERED = 1_500_000, 4_000_000
+BUCKET, GATHERED = 1_500_000, 1_000_000
 _DEALT = "bucket long, ids array<long>, rows array<long>, classes binary, sizes array<int>, keys binary, owners binary, trials array<array<int>>, spares array<array<int>>"
 _FOUND = "kind string, row long, doc_id long, class long, size int, key long, trial int, trials array<int>, spares array<int>"
 
@@ -268,7 +270,7 @@ def _cross(parts):
                 low, high = np.minimum(c[x], c[other]), np.maximum(c[x], c[other])
                 held.append((t * n + low) * n + high)
                 size += len(other)
-            if size > 4_000_000:
+            if size > COUNTED:
                 found, held, size = merged(), [], 0
         codes, counts = merged()
         # What a set can do without, by set and trial.
@@ -515,12 +517,12 @@ def keep_first(documents: DataFrame) -> DataFrame:
     Documents without words are all kept. Of rows that repeat id and text, and of rows of a group
     that has no id but null, one stays.
     """
-    groups = near_groups(documents)
+    groups, key = near_groups(documents), free_name("row", documents)
     copies = groups.filter("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row")).alias("alone"))
-    first = copies.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("_row"))
-    empty = groups.filter("n_shingles = 0").select(F.col("row").alias("_row"))
-    kept = settle_table(first.select("_row").union(empty).distinct(), "kept")
-    rows = documents.withColumn("_row", row_key())
-    out = lookup_join(rows, kept, ["_row"], "inner", spread="doc_id")
+    first = copies.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(key))
+    empty = groups.filter("n_shingles = 0").select(F.col("row").alias(key))
+    kept = settle_table(first.select(key).union(empty).distinct(), "kept")
+    rows = documents.withColumn(key, row_key())
+    out = lookup_join(rows, kept, [key], "inner", spread="doc_id")
     has_words = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(has_words).dropDuplicates(["_row"]).select(*documents.columns).unionByName(out.filter(~F.coalesce(has_words, F.lit(False))).select(*documents.columns))
+    return out.filter(has_words).dropDuplicates([key]).select(*documents.columns).unionByName(out.filter(~F.coalesce(has_words, F.lit(False))).select(*documents.columns))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funclab.llm.common import settle_table
+from funclab.llm.common import free_name, settle_table
 from funclab.plans.settle import lookup_join
 
 LENGTH = 400
@@ -271,16 +271,19 @@ def summary(docs: DataFrame, length=LENGTH) -> DataFrame:
 
 
 def remove(docs: DataFrame, length=LENGTH) -> DataFrame:
-    """``docs`` without the repeated bytes of column text. Bytes of a character that is cut go with the cut."""
+    """``docs`` without the repeated bytes of column text. Bytes of a character that is cut go with the cut.
+
+    A null text stays null, an empty table gives no rows, and other columns are kept, whatever their names.
+    """
     import pyarrow as pa
 
     columns, at = docs.columns, docs.columns.index("text")
-    texts = docs.withColumn("row", row_key()) if "row" not in columns else docs.withColumn("_row", row_key())
-    key = "row" if "row" not in columns else "_row"
-    lists = repeated(docs, length).withColumnsRenamed({"row": key, "spans": "_spans"})
-    rows, spans = lists.agg(F.count(F.lit(1)), F.sum(F.size("_spans"))).first()
+    key, listed = free_name("row", docs), free_name("spans", docs)
+    texts = docs.withColumn(key, row_key())
+    lists = repeated(docs, length).withColumnsRenamed({"row": key, "spans": listed})
+    rows, spans = lists.agg(F.count(F.lit(1)), F.sum(F.size(listed))).first()
     fits = rows <= MAX_ROWS and (spans or 0) <= MAX_SPANS
-    joined = lookup_join(texts, lists, [key], "left", spread="doc_id", fits=fits).select(*columns, "_spans")
+    joined = lookup_join(texts, lists, [key], "left", spread="doc_id", fits=fits).select(*columns, listed)
 
     def run(batches):
         for b in batches:

@@ -40,5 +40,26 @@ def test_stages(spark, tmp_path):
 
 
 def test_a_query_for_each_operator():
-    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
     assert [s[0] for s in cp.STAGES] == ["language", "near duplicates", "repeats", "benchmarks", "packing"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that operators work with are the document's own; null ids and repeated rows are fine."""
+    extra = ["row", "_row", "bad", "_bad", "spans", "_spans", "salt", "_language", "_share", "class", "label", "size", "key"]
+    rows = [(1, "ein kleiner Satz mit Worten und noch mehr davon", "de"), (2, "a small sentence with words and some more of them", "en"), (2, "a small sentence with words and some more of them", "en"), (None, None, None), (4, "", "en")]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*r, *[f"{c} {i}" for c in extra]) for i, r in enumerate(rows)], schema)
+    spark.createDataFrame([(1, "nothing of that")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {str(sorted(r.asDict().items(), key=str)) for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert {str(sorted(r.asDict().items(), key=str)) for r in kept.collect()} <= given, name
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of that")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
