@@ -133,3 +133,58 @@ def test_raw_parquet_by_name(spark, clean, tmp_path):
     assert spark.range(1).select(readers.raw_file_name(F.lit("kotlin"))).first()[0] == "Kotlin_data.parquet"
     got = readers.read_raw_parquet(spark, f"{tmp_path}/Kotlin_data.parquet", {"code": "processed_func", "label": "target"})
     assert got.columns == ["code", "label"] and got.count() == 120
+
+
+def test_a_tree_of_files_of_two_shapes(spark, tmp_path):
+    four, two = ["processed_func", "target", "flaw_line_index", "flaw_line"], ["processed_func", "target"]
+    for e in (0, 1):
+        write_file(f"{tmp_path}/kotlin/with lines+1/{e}/train.csv", four, [[f"k {e}\n{i}, \"q\"", i % 2, "0", "x"] for i in range(3)])
+        write_file(f"{tmp_path}/kotlin/data_original/{e}/train.csv", two, [[f"o {e} {i}", i % 2] for i in range(2)])
+        write_file(f"{tmp_path}/kotlin/data_original/{e}/notes.csv", ["remark"], [["not an experiment"]])
+    got = readers.read_experiment_tree(spark, str(tmp_path))
+    rows = got.collect()
+    assert len(rows) == 10 and len({r.row_id for r in rows}) == 10
+    assert {(r.language, r.configuration, r.experiment, r.variant) for r in rows} == {("kotlin", c, e, "train") for c in ("with lines+1", "data_original") for e in (0, 1)}
+    for r in rows:
+        plain = r.configuration == "data_original"
+        assert r.processed_func.startswith(f"{'o' if plain else 'k'} {r.experiment}") and (r.flaw_line, r.flaw_line_index) == ((None, None) if plain else ("x", "0"))
+    one = sorted((r for r in rows if r.configuration != "data_original" and r.experiment == 1), key=lambda r: r.row_id)
+    assert [r.processed_func for r in one] == [f"k 1\n{i}, \"q\"" for i in range(3)]
+    with pytest.raises(ValueError, match="no CSV file"):
+        readers.read_result_tree(spark, str(tmp_path))
+
+
+def test_result_files_are_told_apart_by_their_columns(spark, tmp_path):
+    answers = ["processed_func", "target", "flaw_line_index", "flaw_line", "GPT Prediction", "GPT Func Level", "GPT Line Level"]
+    rankings = ["processed_func", "flaw_line_index", "y_preds", "y_trues", "LineVul Line Level", "num_flaw_lines", "num_lines"]
+    write_file(f"{tmp_path}/language=rust/configuration=c/experiment=4/model=gpt_few_shot/part-0.csv", answers, [["a\nb", 1, "1", "b", 1, "1. Analysis: Vulnerable", "Line 1: `b`"]])
+    # One family of files may also have the prompts.
+    write_file(f"{tmp_path}/rust/c/5/gpt_default.csv", [*answers, "Prompt"], [["c", 0, "", "", 0, "1. Analysis: Non-Vulnerable", "", "p"]])
+    write_file(f"{tmp_path}/rust/c/4/linevul_oversampling.csv", rankings, [["a\nb", "1", True, 1, "[1, 0]", 1, 2]])
+    both = results.normalise_results(*readers.read_result_tree(spark, str(tmp_path))).collect()
+    assert sorted((r.language, r.configuration, r.experiment, r.model, r.target, r.prediction) for r in both) == [
+        ("rust", "c", 4, "gpt_few_shot", 1, 1),
+        ("rust", "c", 4, "linevul_oversampling", 1, 1),
+        ("rust", "c", 5, "gpt_default", 0, 0),
+    ]
+
+
+def test_chat_records_are_typed_and_bad_lines_kept(spark, tmp_path):
+    lines = [
+        '{"messages": [{"role": "user", "content": "a\\nb", "name": "bob"}, {"role": "assistant", "content": "c", "weight": 1}]}',
+        '{"messages": [{"role": "user", "content": 5}, {"content": null, "name": ["x"]}], "other": 1}',
+        '{"messages": []}',
+        '{"messages": [1]}',
+        '{"messages": {"role": "user"}}',
+        '{"messages": [{"role": "user"',
+        "[1]",
+        "5",
+        '"text"',
+        "no json",
+    ]
+    (tmp_path / "chats.jsonl").write_text("\n".join(lines))
+    rows = readers.read_chat_records(spark, f"{tmp_path}/chats.jsonl").collect()
+    good = sorted((tuple(map(tuple, r.messages)) for r in rows if r.messages is not None), key=str)
+    assert good == [(("user", "a\nb", "bob"), ("assistant", "c", None)), (("user", None, None), (None, None, None))]
+    assert sorted(r.bad_line for r in rows if r.bad_line is not None) == sorted(lines[2:])
+    assert all((r.messages is None) != (r.bad_line is None) for r in rows)
