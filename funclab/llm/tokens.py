@@ -3,7 +3,7 @@
 Both vocabularies used here cut a text at every step from a character that is not white space to
 one that is, before any merge. The ids of a text are therefore the ids of its words (with the
 white space before each, where it counts) one after the other, and a word met before need not be
-encoded again. A new ASCII word is cut by the vocabulary's own pattern; of its parts most are
+encoded again. A new word of ASCII, or for byte-level vocabularies of Latin letters, is cut by the vocabulary's own pattern; of its parts most are
 known already, and the others go to the vocabulary's merges directly.
 """
 
@@ -17,10 +17,22 @@ from funclab.llm.common import worker_store
 # White space of Unicode's White_Space property, which is what the vocabularies' patterns use.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Words, and parts of words, kept by a worker are at most twice this many each.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 # How the vocabularies cut a text before merges (for ASCII); the second one is met in lower case.
 BYTE_PARTS = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 WORD_PARTS = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
+# Printable ASCII and letters of the Latin blocks next to it, which are one character each and letters
+# in every version of Unicode; and the first pattern for such words.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN_PARTS = BYTE_PARTS.replace("A-Za-z", "A-Za-z" + LATIN)
+
+
+def byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next after 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    signs = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [signs[b] for b in range(256)]
 
 
 class _Kept(dict):
@@ -58,6 +70,8 @@ class TextEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.parts = _Kept(self._part)
         self.cut = re.compile(BYTE_PARTS if spaced else WORD_PARTS, re.ASCII).findall
+        self.cut_latin, self.latin = re.compile(LATIN_PARTS, re.ASCII).findall, re.compile(f"[ -~{LATIN}]+").fullmatch
+        self.signs = byte_signs()
         # With ``spaced``, words by what follows the one space before them.
         self.words = _Kept((lambda word: self._word(" " + word)) if spaced else self._word)
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaced else f"[^{SPACE}]+")
@@ -66,13 +80,16 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii():
             return b"".join(map(self.parts.__getitem__, self.cut(word if self.spaced else word.lower())))
+        if self.spaced and self.latin(word):
+            return b"".join(map(self.parts.__getitem__, self.cut_latin(word)))
         return self._whole(word)
 
     def _part(self, part: str) -> bytes:
         if not part.isprintable():
             return self._whole(part)
         # Merges work on characters that stand for bytes; of printable ASCII only the space has another.
-        ids = [token.id for token in self.tokenizer.model.tokenize(part.replace(" ", "\u0120"))]
+        signs = part.replace(" ", "\u0120") if part.isascii() else "".join([self.signs[b] for b in part.encode()])
+        ids = [token.id for token in self.tokenizer.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:

@@ -1,6 +1,7 @@
 """Token ids, packing and token files against the plain library."""
 
 import functools
+import random
 import struct
 import zlib
 
@@ -140,3 +141,22 @@ def test_token_files(spark, docs):
         at += len(ids)
     asked = spark.createDataFrame([(7, 0), (7, 5), (999, 0)], "key long, copy long")
     assert [(r["key"], r["copy"]) for r in store.fetch(asked).collect()] == [(7, 0)]
+
+
+def test_latin_words_are_cut_as_the_library_does():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from funclab.llm import tokens
+
+    path = public.path("byte_bpe_50k.json")
+    read, own = Tokenizer.from_file(path), tokens.TextEncoder(path, True)
+    read.encode_special_tokens = True
+    rng = random.Random(4)
+    latin = [chr(c) for c in range(0xC0, 0x250)]
+    signs = [*"abcXYZ'019 .,-!", *latin, "\u0301", "ß", "ı", "İ", "×", "÷", "µ", "ª", "日", "\u00a0"]
+    texts = ["".join(rng.choice(signs if k % 2 else latin + list("aeiou ' 1.")) for _ in range(rng.randint(1, 30))) for k in range(4000)]
+    texts += ["".join(latin), " ".join(latin), "l'été d'où", "naïve'll", "Größe2x", "São-Paulo"]
+    for text in texts:
+        ids = read.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids, text
