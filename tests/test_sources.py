@@ -1,10 +1,12 @@
 import csv
+import gzip
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from funclab.operators import preprocess, results, sampling
+from funclab.plans.settle import each_number
 from funclab.schemas import CLEAN_WITH_KEYS, MESSAGES, RUN_KEYS, VARIANTS, require_columns
 from funclab.sources import readers, writers
 
@@ -188,3 +190,38 @@ def test_chat_records_are_typed_and_bad_lines_kept(spark, tmp_path):
     assert good == [(("user", "a\nb", "bob"), ("assistant", "c", None)), (("user", None, None), (None, None, None))]
     assert sorted(r.bad_line for r in rows if r.bad_line is not None) == sorted(lines[2:])
     assert all((r.messages is None) != (r.bad_line is None) for r in rows)
+
+
+def test_packed_result_files_are_read_as_plain_ones(spark, tmp_path):
+    rows = [("rust", "c", 4, m, i, f"x\n {i}", 1, "1", "Vulnerable", "a", "b") for m in ("gpt_few_shot", "gpt_zero_shot") for i in range(3)]
+    names = [*RUN_KEYS, "row_id", "processed_func", "target", "flaw_line_index", "GPT Prediction", "GPT Func Level", "GPT Line Level"]
+    types = ["string", "string", "int", "string", "bigint", "string", "int", "string", "string", "string", "string"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    for gather in (True, False):
+        root = f"{tmp_path}/{gather}"
+        writers.write_csv(df, root, RUN_KEYS, gather=gather, compression="gzip")
+        files = [f for _, _, found in os.walk(root) for f in found if f.startswith("part-")]
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        back = readers.read_tree(spark, root, RUN_KEYS).select(*names)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+    folder = f"{tmp_path}/named/rust/c/4"
+    os.makedirs(folder)
+    with gzip.open(f"{folder}/gpt_few_shot.csv.gz", "wt") as f:
+        f.write('row_id,GPT Prediction\n7,"Vul\nnerable"\n')
+    (one,) = readers.read_tree(spark, f"{tmp_path}/named", RUN_KEYS).collect()
+    assert (one.language, one.experiment, one.model, one.row_id, one["GPT Prediction"]) == ("rust", 4, "gpt_few_shot", 7, "Vul\nnerable")
+    (one,) = readers.read_result_csv(spark, f"{tmp_path}/named", ranking=False, schema="row_id bigint, `GPT Prediction` string").collect()
+    assert (one.model, one.row_id) == ("gpt_few_shot", 7)
+
+
+def test_writing_rows_where_they_lie(spark, tmp_path):
+    """A number's rows lie in tasks of its own, and writing them shuffles nothing and loses nothing."""
+    spark.range(100).selectExpr("id row_id", "cast(id as string) text").write.parquet(f"{tmp_path}/stored")
+    each = each_number(spark.read.parquet(f"{tmp_path}/stored"), 5, "experiment")
+    placed = each.withColumn("task", F.spark_partition_id())
+    assert sorted(map(tuple, placed.groupBy("experiment").count().collect())) == [(k, 100) for k in range(5)]
+    assert placed.groupBy("task").agg(F.count_distinct("experiment").alias("n")).where("n > 1").count() == 0
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    writers.write_csv(each, f"{tmp_path}/out", ["experiment"], gather=False)
+    assert spark.read.options(**readers.CSV_OPTIONS | {"enforceSchema": "true"}).schema("row_id int, text string, experiment int").csv(f"{tmp_path}/out").distinct().count() == 500
