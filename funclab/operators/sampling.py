@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funclab.config import EXPERIMENTS, RESAMPLE_SEED, VAL_TEST_RATIO
 from funclab.functions.hashing import draw_int, draw_key
 from funclab.plans.ranks import AFTER_ALL, BEFORE_ALL, exact_rank, key_cuts, prefix_digits
-from funclab.plans.settle import fits_broadcast, lookup_join, settle, settle_table
+from funclab.plans.settle import each_number, fits_broadcast, lookup_join, settle, settle_table
 
 #: Column that holds the seeded order of the rows of a frame: 32 hex digits, none twice in a frame.
 ORDER = "order_key"
@@ -124,27 +124,32 @@ def _by_class(table, classes, *columns):
     return settle(table.groupBy(*classes).agg(runs.alias("_runs")))
 
 
-def _per_run(rows, runs, classes, key):
+def _per_run(rows, runs, classes, key, parts=0):
     """Each row once per run of its class, with ``_run`` and its ``_key`` there.
 
     The join happens before the rows are multiplied. Every class has its runs, so no row is lost.
+    With ``parts`` the runs are dealt over that many groups, and each group has tasks of its own.
     """
     joined = lookup_join(rows, runs, classes, spread=key)
-    each = joined.withColumn("_run", F.explode("_runs")).drop("_runs")
+    if parts:
+        mine = F.filter("_runs", lambda _, i: i % parts == F.col("_part"))
+        each = each_number(joined, parts, "_part").withColumn("_run", F.explode(mine)).drop("_runs", "_part")
+    else:
+        each = joined.withColumn("_run", F.explode("_runs")).drop("_runs")
     return each.withColumn("_key", draw_key("split", F.col("_run.seed"), F.col(key)))
 
 
 _CUTS = ["seed", "_train_cut", "_val_cut"]
 
 
-def _place(rows, runs, classes, key):
+def _place(rows, runs, classes, key, parts=0):
     """Each row once per experiment, with its split; ``_run`` stays."""
     split = (
         F.when(F.col("_key") <= F.col("_run._train_cut"), "train")
         .when(F.col("_key") <= F.col("_run._val_cut"), "val")
         .otherwise("test")
     )
-    placed = _per_run(rows, runs, classes, key).withColumn("experiment", F.col("_run.experiment"))
+    placed = _per_run(rows, runs, classes, key, parts).withColumn("experiment", F.col("_run.experiment"))
     return placed.withColumn("split", split).drop("_key")
 
 
@@ -298,18 +303,24 @@ def oversample(rows: DataFrame, by=(), target="target", seed=RESAMPLE_SEED, key=
     return whole.unionByName(redrawn_rows(rows, plan, by, target, seed, key, per_piece).select(*whole.columns))
 
 
-def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration"), target="target", val_test_ratio=VAL_TEST_RATIO, seed=RESAMPLE_SEED, key="row_id", require_both=True) -> DataFrame:
+def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration"), target="target", val_test_ratio=VAL_TEST_RATIO, seed=RESAMPLE_SEED, key="row_id", require_both=True, run_by_run=False) -> DataFrame:
     """All seven frames of every experiment as one long frame.
 
     Adds ``experiment``, ``variant``, ``copy`` (0 but for redrawn rows) and ``order_key``, which sorts
     the rows of each frame in a random order: by the experiment's seed in train, val and test, and by
     ``seed`` in resampled frames. Test is not resampled. The texts are read once for everything but
     the redrawn rows.
+
+    With ``run_by_run`` the rows are stored once, group by group, and each experiment gets tasks of its
+    own. Rows of a frame then lie together, and a writer need not move the many copies of a text.
     """
     by = list(by)
+    seeds = _seeds(runs)
+    if run_by_run:
+        rows = settle_table(rows.hint("rebalance", *by) if by else rows, "experiment-rows")
     classes, groups = [*by, target], [*by, "experiment", "split"]
     ids = settle_table(_with_draws(rows.select(key, *classes), seed, key), "experiment-ids")
-    cuts = _split_cuts(ids, _seeds(runs), by, target, val_test_ratio, key)
+    cuts = _split_cuts(ids, seeds, by, target, val_test_ratio, key)
 
     sizes = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"n_{s}").alias("n_class")) for s in ("train", "val")]))
     counts = cuts.select(*classes, "experiment", sizes.alias("_s")).select(*classes, "experiment", "_s.*")
@@ -327,7 +338,7 @@ def experiments(rows: DataFrame, runs: DataFrame, by=("language", "configuration
     marked = cuts.join(marks, [*classes, "experiment"], "left")
     steering = _by_class(marked, classes, *_CUTS, *[c for c in marks.columns if c not in (*classes, "experiment")])
     keyed = rows.withColumn("_under_key", draw_key("under", seed, F.col(key)))
-    placed = _place(keyed, steering, classes, key)
+    placed = _place(keyed, steering, classes, key, len(seeds) if run_by_run else 0)
 
     split = F.col("split")
     mine = lambda mark: F.when(split == "train", F.col(f"_run._train_{mark}")).when(split == "val", F.col(f"_run._val_{mark}"))

@@ -205,3 +205,13 @@ def test_repeated_keys_are_refused(spark, clean):
     # The same key in another group is another row.
     apart = clean.unionByName(clean.where("row_id = 5").withColumn("configuration", F.lit("other")))
     assert sampling.stratified_split(apart, runs, GROUP).count() == 121
+
+
+def test_experiments_made_run_by_run(spark, clean):
+    runs = sampling.experiment_list(spark, [(0, 0), (1, 1), (3, 42)])
+    plain, by_run = sampling.experiments(clean, runs), sampling.experiments(clean, runs, run_by_run=True)
+    assert by_run.columns == plain.columns and by_run.count() == plain.count()
+    assert by_run.exceptAll(plain).count() == 0
+    # The many copies of a text are made where it lies: no task holds rows of two experiments, but for redrawn ones.
+    placed = by_run.where("copy = 0 and variant not like '%over%'").withColumn("task", F.spark_partition_id())
+    assert placed.groupBy("task").agg(F.count_distinct("experiment").alias("n")).where("n > 1").count() == 0
