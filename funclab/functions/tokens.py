@@ -7,10 +7,17 @@ punctuation in the JVM; ``vocabulary_counter`` counts the tokens of a vocabulary
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from funclab.functions.batches import slices
+
 TOKENS_PER_MESSAGE = 3
 TOKENS_PER_NAME = 1
 TOKENS_PER_REPLY = 3
@@ -32,33 +39,41 @@ def python_counter(count):
     return counter
 
 
-#: Vocabularies that a Python worker has read, by path.
-_VOCABULARIES: dict = {}
+#: Bytes of text that are encoded in one call, unless one row has more.
+SLICE_BYTES = 1 << 18
 
 
 def _vocabulary(path: str):
-    if path not in _VOCABULARIES:
+    """The vocabulary at a path, read once by a Python worker.
+
+    Functions may reach workers by value, and then their globals last one task; what is kept among the
+    modules lasts as long as the worker, so tasks do not leave a vocabulary each.
+    """
+    kept = vars(sys.modules.setdefault("_funclab_vocabularies", types.ModuleType("_funclab_vocabularies")))
+    if path not in kept:
         from tokenizers import Tokenizer
 
         read = Tokenizer.from_file(path)
         read.encode_special_tokens = True  # their names in a text are ordinary text
-        _VOCABULARIES[path] = read
-    return _VOCABULARIES[path]
+        kept[path] = read
+    return kept[path]
 
 
 def vocabulary_counter(path: str):
     """A counter of the tokens that a vocabulary in the tokenizers library's JSON format gives.
 
-    ``path`` must be there for every executor. A batch of rows is encoded in one call, and only
-    numbers come back. Null texts have no tokens.
+    ``path`` must be there for every executor. Slices of about ``SLICE_BYTES`` are encoded in one call
+    each, as an encoding takes many times the memory of its text, and only numbers come back. Null
+    texts have no tokens.
     """
 
-    @F.pandas_udf("array<int>")
-    def counter(texts: pd.Series) -> pd.Series:
-        rows = [[] if row is None else list(row) for row in texts]
-        flat = [t for row in rows for t in row if t is not None]
-        sizes = iter([len(e.ids) for e in _vocabulary(path).encode_batch_fast(flat, add_special_tokens=False)])
-        counts = [None if given is None else [0 if t is None else next(sizes) for t in row] for given, row in zip(texts, rows)]
-        return pd.Series(counts, index=texts.index, dtype=object)
+    @F.arrow_udf("array<int>")
+    def counter(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (texts,) in slices(((batch,) for batch in batches), SLICE_BYTES):
+            rows = texts.to_pylist()
+            flat = [t for row in rows if row is not None for t in row if t is not None]
+            sizes = iter([len(e) for e in _vocabulary(path).encode_batch_fast(flat, add_special_tokens=False)])
+            counts = [None if row is None else [0 if t is None else next(sizes) for t in row] for row in rows]
+            yield pa.array(counts, pa.list_(pa.int32()))
 
     return counter
