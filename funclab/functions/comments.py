@@ -14,13 +14,15 @@ by one pattern per language; then comment tokens are blanked. Rules for the patt
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from funclab.functions import lexer
+from funclab.functions.batches import slices
 from funclab.functions.text import (
     drop_final_newline,
     is_blank,
@@ -114,10 +116,15 @@ def deep_tokens(code: str, language: str) -> list[str]:
     return lexer.cut_at(code[:stop], spans) + nested_tokens(code[stop:], language)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _deep_tokens_udf(code: pd.Series, language: pd.Series) -> pd.Series:
-    cut = [None if c is None else deep_tokens(c, lang) for c, lang in zip(code, language)]
-    return pd.Series(cut, index=code.index, dtype=object)
+#: Bytes of text of which a Python worker holds the tokens at a time, unless one row has more.
+SLICE_BYTES = 1 << 20
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _deep_tokens_udf(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for code, language in slices(batches, SLICE_BYTES):
+        cut = [None if c is None else deep_tokens(c, lang) for c, lang in zip(code.to_pylist(), language.to_pylist())]
+        yield pa.array(cut, pa.list_(pa.string()))
 
 
 def _may_nest(code: Column, language: Column) -> Column:
