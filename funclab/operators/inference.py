@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funclab.config import DEFAULT_TEMPLATE, FAILED_CALL_TEXT
+from funclab.functions.batches import slices
 from funclab.functions.prompts import line_question_messages, question_messages
 from funclab.functions.responses import line_question_gate, response_label
 from funclab.functions.text import strip
@@ -46,6 +47,10 @@ class StopAsking(Exception):
     """For a model function to raise where no further call can succeed, as when a quota is used up."""
 
 
+#: Bytes of questions that a task holds at a time with their answers, unless one question has more.
+SLICE_BYTES = 1 << 20
+_ANSWER = pa.struct([("ok", pa.bool_()), ("text", pa.string()), ("error", pa.string())])
+
 #: What stands in place of an error for a row that was not asked about, or not to the end.
 NOT_ASKED = "not asked"
 
@@ -85,12 +90,12 @@ def ask(messages: Column, model: Column, predict: Predict, retry: Retry = Retry(
     task makes no further call, and ``ok`` is null for what it leaves out.
     """
 
-    @F.pandas_udf("struct<ok:boolean,text:string,error:string>")
-    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<ok:boolean,text:string,error:string>")
+    def call(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         stopped = threading.Event()
-        for sent, models in batches:
-            answers = _answer_all(sent, models, predict, retry, at_once, stopped)
-            yield pd.DataFrame(answers, columns=["ok", "text", "error"])
+        for sent, models in slices(batches, SLICE_BYTES):
+            answers = _answer_all(sent.to_pylist(), models.to_pylist(), predict, retry, at_once, stopped)
+            yield pa.array([dict(zip(_ANSWER.names, answer)) for answer in answers], _ANSWER)
 
     return call.asNondeterministic()(F.to_json(messages), model)
 
