@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from funclab.llm.common import free_name, scratch_path, settle_table
 from funclab.llm.katz import _spread, _squeeze, mixed, tokens, word_hashes
-from funclab.plans.settle import lookup_join
+from funclab.plans.settle import lookup_join, write_settled
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -44,6 +44,8 @@ BLOCK = 512
 SKETCH = 2048
 #: Keys of one bucket, about, and shingles that a task gathers before it deals out their keys.
 BUCKET, GATHERED = 1_500_000, 1_000_000
+#: Rows of an Arrow batch that hold a text or sets.
+RECORDS = 1_000
 _DEALT = "bucket long, ids array<long>, rows array<long>, classes binary, sizes array<int>, keys binary, owners binary, trials array<array<int>>, spares array<array<int>>"
 _FOUND = "kind string, row long, doc_id long, class long, size int, key long, trial int, trials array<int>, spares array<int>"
 
@@ -397,7 +399,7 @@ class Join:
         bits = max(0, int(np.ceil(np.log2(max(1, size / 9 / BUCKET)))))
         path = scratch_path(spark, "join")
         dealt = texts.mapInArrow(_deal(bits), _DEALT)
-        dealt.groupBy("bucket").applyInArrow(_meet, _FOUND).write.partitionBy("kind").parquet(path)
+        write_settled(dealt.groupBy("bucket").applyInArrow(_meet, _FOUND), path, ["kind"], RECORDS)
         found = spark.read.schema(_FOUND).option("basePath", path).parquet(path)
         docs = found.filter("kind = 'doc'")
         self.docs = docs.select("row", "doc_id", "class", "size")
@@ -416,7 +418,8 @@ class Join:
         company = self.members.groupBy("class").agg(F.sum("size").alias("company"))
         known = settle_table(self.members.join(company, "class").select("key", "class", "trial", "company"), "members")
         first = known.groupBy("key").agg(F.max(F.struct("company", "class"))["class"].alias("a"))
-        star = settle_table(self._near(self._pairs(known.join(first, "key").select("a", F.col("class").alias("b")))), "star")
+        star = self._pairs(known.join(first, "key").select("a", F.col("class").alias("b")))
+        star = settle_table(self._near(star), "star", RECORDS)
         self.links = self._linked(star)
         # Then members that are not connected yet: sets that meet on as many blocks as they must.
         labels = components(self.links)
@@ -425,12 +428,13 @@ class Join:
         known = settle_table(known.join(open_.select("key"), "key"), "open")
         parts = known.count() // OPENED + 1
         left = spare.join(lost, ["class", "trial"], "left").select("class", "trial", "spare", F.coalesce("left", "spare").alias("left"))
-        known = known.join(left, ["class", "trial"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        known = settle_table(known.join(left, ["class", "trial"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))), "dealt")
         # Linked sets meet as often as they must in all parts together, so in one of them as often on average.
         bits = known.select(F.col("part").alias("dealt"), F.col("class").alias("set")).distinct()
         bits = bits.join(self.sets.select(F.col("class").alias("set"), "n", "sketch"), "set").select("dealt", "set", "n", "sketch")
         met = known.groupBy("part").cogroup(bits.groupBy("dealt")).applyInArrow(_cross(parts), "a long, b long")
-        more = self._linked(self._pairs(met).join(star, ["a", "b"], "left_anti"))
+        met = settle_table(self._pairs(met), "met", RECORDS)
+        more = self._linked(met.join(star, ["a", "b"], "left_anti"))
         self.links, self._labels = settle_table(self.links.unionByName(more), "links"), None
 
     def labels(self):
@@ -464,7 +468,7 @@ class Join:
         rows = settle_table(rows.select("row", "class"), "wanted")
         texts = lookup_join(self.texts, rows, ["row"], spread="doc_id").select("class", "text")
         made = texts.mapInArrow(_sets, "class long, n int, sketch binary, held binary")
-        return settle_table(made.dropDuplicates(["class"]), "sets")
+        return settle_table(made.dropDuplicates(["class"]), "sets", RECORDS)
 
     def _pairs(self, pairs):
         """Distinct pairs of different classes, the smaller first."""
@@ -478,7 +482,7 @@ class Join:
     def _linked(self, pairs):
         held = lambda k: self.sets.select(F.col("class").alias(k), F.col("held").alias(f"set_{k}"))
         both = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "set_a", "set_b")
-        return settle_table(both.mapInArrow(_verify, "a long, b long"), "links")
+        return settle_table(both.mapInArrow(_verify, "a long, b long"), "links", RECORDS)
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
