@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funclab.llm.common import free_name, scratch_path, settle_table
-from funclab.llm.katz import _spread, _squeeze, mixed, tokens, word_hashes
+from funclab.llm.common import free_name, let_go, scratch_path, settle_table, tidy
+from funclab.llm.katz import _Hashes, _spread, _squeeze, mixed, tokens
 from funclab.plans.settle import lookup_join, write_settled
 
 WORDS = 5
@@ -36,8 +36,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 SHARED = 16
 #: Members of keys, about, whose pairs one task counts.
 OPENED = 200_000
-#: Meetings of pairs that a task holds before it counts them.
-COUNTED = 1_000_000
+#: Meetings of pairs that a task holds before it counts them, or half as many as it has counted.
+COUNTED = 250_000
 #: Sets of a block, about, of which a task compares two.
 BLOCK = 512
 #: Bits of a sketch.
@@ -134,7 +134,7 @@ def _deal(bits):
         names = [c.split()[0] for c in _DEALT.split(", ")]
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
         kinds = [pa.int64(), longs, longs, pa.binary(), ints, pa.binary(), pa.binary(), pa.list_(ints), pa.list_(ints)]
-        hashes = word_hashes()
+        hashes = _Hashes()  # of one task: words of a part are few
         part, made = TaskContext.get().partitionId(), 0
 
         def row(*values):
@@ -194,13 +194,20 @@ def _meet(key, table):
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
     keys, classes = keys[new], classes[new]
-    _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    many = counts[at] > 1
-    keys, classes, counts = keys[many], classes[many], counts[at][many]
+    counts = np.diff(np.flatnonzero(np.append(np.diff(keys, prepend=keys[:1] - np.uint64(1)), 1)))
+    counts = np.repeat(counts, counts)
+    many = counts > 1
+    keys, classes, counts = keys[many], classes[many], counts[many]
     kind = np.where(counts > SHARED, "shared", "member").tolist()
     return rows(len(keys), **{"kind": kind, "class": classes, "size": counts.astype(np.int32), "key": keys.view(np.int64), "trial": (keys & np.uint64(1023)).astype(np.int32)})
 
 
+def _meet_tidied(key, table):
+    out = _meet(key, table)
+    let_go()
+    return out
+
+
 def sketch(set_: np.ndarray) -> bytes:
     bits = np.bincount((mixed(set_) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
@@ -209,7 +216,7 @@ def sketch(set_: np.ndarray) -> bytes:
 def _sets(batches):
     import pyarrow as pa
 
-    hashes = word_hashes()
+    hashes = _Hashes()
     for b in batches:
         found = [shingles(t.as_py(), hashes) for t in b.column(1)]
         arrays = [pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
@@ -225,7 +232,12 @@ def may_link(n_x, x, n_y, y) -> np.ndarray:
 
 
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH // 8)
+    """The sketches of a column, a row each, where they lie."""
+    parts = [c for c in getattr(column, "chunks", [column]) if len(c)]
+    wide = {"binary": np.dtype(np.int32), "large_binary": np.dtype(np.int64)}
+    at = [np.frombuffer(c.buffers()[1], wide[str(c.type)], 1, wide[str(c.type)].itemsize * c.offset)[0] for c in parts]
+    found = [np.frombuffer(c.buffers()[2], np.uint8, len(c) * SKETCH // 8, i).reshape(len(c), -1) for c, i in zip(parts, at)]
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros((0, SKETCH // 8), np.uint8), *found])
 
 
 def _near(batches):
@@ -272,9 +284,10 @@ def _cross(parts):
                 low, high = np.minimum(c[x], c[other]), np.maximum(c[x], c[other])
                 held.append((t * n + low) * n + high)
                 size += len(other)
-            if size > COUNTED:
+            if size > max(COUNTED, len(found[0]) // 2):
                 found, held, size = merged(), [], 0
         codes, counts = merged()
+        found, held = None, None
         # What a set can do without, by set and trial.
         column = lambda c: table.column(c).to_numpy()
         pairs, first = np.unique(trial.astype(np.uint64) * n + at.astype(np.uint64), return_index=True)
@@ -287,13 +300,18 @@ def _cross(parts):
         fine = counts * parts >= least
         a, b = a[fine].astype(np.int64), b[fine].astype(np.int64)
         by = np.argsort(sets.column("set").to_numpy())
-        sizes, bits = sets.column("n").to_numpy()[by], _sketches(sets.column("sketch"))[by]
-        steps = [(a[i : i + 50_000], b[i : i + 50_000]) for i in range(0, len(a), 50_000)]
+        sizes, bits = sets.column("n").to_numpy(), _sketches(sets.column("sketch"))
+        steps = [(by[a[i : i + 10_000]], by[b[i : i + 10_000]]) for i in range(0, len(a), 10_000)]
         fine = np.concatenate([np.zeros(0, bool), *[may_link(sizes[x], bits[x], sizes[y], bits[y]) for x, y in steps]])
         a, b = names[a[fine]], names[b[fine]]
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return run
+    def tidied(key, table, sets):
+        out = run(key, table, sets)
+        let_go()
+        return out
+
+    return tidied
 
 
 def _verify(batches):
@@ -398,8 +416,8 @@ class Join:
         size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = max(0, int(np.ceil(np.log2(max(1, size / 9 / BUCKET)))))
         path = scratch_path(spark, "join")
-        dealt = texts.mapInArrow(_deal(bits), _DEALT)
-        write_settled(dealt.groupBy("bucket").applyInArrow(_meet, _FOUND), path, ["kind"], RECORDS)
+        dealt = texts.mapInArrow(tidy(_deal(bits)), _DEALT)
+        write_settled(dealt.groupBy("bucket").applyInArrow(_meet_tidied, _FOUND), path, ["kind"], RECORDS)
         found = spark.read.schema(_FOUND).option("basePath", path).parquet(path)
         docs = found.filter("kind = 'doc'")
         self.docs = docs.select("row", "doc_id", "class", "size")
@@ -467,7 +485,7 @@ class Join:
         rows = self.docs.groupBy("class").agg(F.min("row").alias("row")).join(wanted, "class")
         rows = settle_table(rows.select("row", "class"), "wanted")
         texts = lookup_join(self.texts, rows, ["row"], spread="doc_id").select("class", "text")
-        made = texts.mapInArrow(_sets, "class long, n int, sketch binary, held binary")
+        made = texts.mapInArrow(tidy(_sets), "class long, n int, sketch binary, held binary")
         return settle_table(made.dropDuplicates(["class"]), "sets", RECORDS)
 
     def _pairs(self, pairs):
@@ -477,12 +495,12 @@ class Join:
     def _near(self, pairs):
         side = lambda k: self.sets.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
-        return both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_near, "a long, b long")
+        return both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(tidy(_near), "a long, b long")
 
     def _linked(self, pairs):
         held = lambda k: self.sets.select(F.col("class").alias(k), F.col("held").alias(f"set_{k}"))
         both = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "set_a", "set_b")
-        return settle_table(both.mapInArrow(_verify, "a long, b long"), "links", RECORDS)
+        return settle_table(both.mapInArrow(tidy(_verify), "a long, b long"), "links", RECORDS)
 
 
 def near_groups(documents: DataFrame) -> DataFrame:

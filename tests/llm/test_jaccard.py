@@ -105,3 +105,26 @@ def test_a_short_text_is_one_shingle():
     h = _Hashes()
     assert len(jj.shingles("a b c", h)) == 1 and len(jj.shingles("a b c d e f", h)) == 2 and len(jj.shingles(None, h)) == 0
     assert jj.shingles("a b c", h)[0] != jj.shingles("a b", h)[0]
+
+
+def test_sketches_are_read_where_they_lie():
+    import pyarrow as pa
+
+    made = [jj.sketch(np.arange(n, n * n, dtype=np.uint64)) for n in range(2, 9)]
+    want = np.stack([np.frombuffer(x, np.uint8) for x in made])
+    whole = pa.array(made, pa.binary())
+    for column in (whole, pa.chunked_array([whole[:2], whole[2:2], whole[2:]]), pa.array(made, pa.large_binary())):
+        assert (jj._sketches(column) == want).all() and (jj._sketches(column[3:]) == want[3:]).all()
+    assert jj._sketches(whole[:0]).shape == (0, want.shape[1])
+
+
+def test_a_task_leaves_nothing_in_the_worker():
+    """Words that a task has hashed, and what an operator before it kept, are let go."""
+    import pyarrow as pa
+
+    from funclab.llm import common
+
+    common.worker_store("other")["held"] = "x"
+    batch = pa.record_batch({"class": pa.array([1], pa.int64()), "text": pa.array(["some words of a text"])})
+    assert [b.num_rows for b in common.tidy(jj._sets)(iter([batch]))] == [1]
+    assert common.worker_store("") == {}
