@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from funclab.llm.common import tidy
 from funclab.plans.settle import settle
 
 BITS = 16
@@ -134,7 +135,7 @@ class LanguageModel:
         rows = docs.select("text", "lang").filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
         per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
         classes = sorted(per)
-        counted = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        counted = rows.select("text").mapInArrow(tidy(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         found = {r["feature"]: r["n"] for r in counted.collect()}  # a row for each of WIDTH features
         n = found.pop(-1, 0)
         df = np.zeros(WIDTH)
@@ -177,7 +178,7 @@ class LanguageModel:
                 more = [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], names=columns)
 
-        return docs.select(*kept).mapInArrow(run, schema)
+        return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def held_out(key="doc_id"):
