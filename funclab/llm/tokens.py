@@ -3,7 +3,7 @@
 Both vocabularies used here cut a text at every step from a character that is not white space to
 one that is, before any merge. The ids of a text are therefore the ids of its words (with the
 white space before each, where it counts) one after the other, and a word met before need not be
-encoded again. A new word of ASCII, or for byte-level vocabularies of Latin letters, is cut by the vocabulary's own pattern; of its parts most are
+encoded again. A new word of ASCII or Latin letters is cut by the vocabulary's own pattern; of its parts most are
 known already, and the others go to the vocabulary's merges directly.
 """
 
@@ -22,9 +22,10 @@ KEPT_WORDS = 600_000
 BYTE_PARTS = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 WORD_PARTS = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
 # Printable ASCII and letters of the Latin blocks next to it, which are one character each and letters
-# in every version of Unicode; and the first pattern for such words.
+# in every version of Unicode; and the patterns for such words.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PARTS = BYTE_PARTS.replace("A-Za-z", "A-Za-z" + LATIN)
+LATIN_WORD_PARTS = WORD_PARTS.replace("a-z", "a-z" + LATIN)
 
 
 def byte_signs() -> list[str]:
@@ -70,7 +71,7 @@ class TextEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.parts = _Kept(self._part)
         self.cut = re.compile(BYTE_PARTS if spaced else WORD_PARTS, re.ASCII).findall
-        self.cut_latin, self.latin = re.compile(LATIN_PARTS, re.ASCII).findall, re.compile(f"[ -~{LATIN}]+").fullmatch
+        self.cut_latin, self.latin = re.compile(LATIN_PARTS if spaced else LATIN_WORD_PARTS, re.ASCII).findall, re.compile(f"[ -~{LATIN}]+").fullmatch
         self.signs = byte_signs()
         # With ``spaced``, words by what follows the one space before them.
         self.words = _Kept((lambda word: self._word(" " + word)) if spaced else self._word)
@@ -80,8 +81,9 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii():
             return b"".join(map(self.parts.__getitem__, self.cut(word if self.spaced else word.lower())))
-        if self.spaced and self.latin(word):
-            return b"".join(map(self.parts.__getitem__, self.cut_latin(word)))
+        plain = word if self.spaced else word.lower()
+        if self.latin(plain):  # one letter is two characters in lower case, and such a word is none of these
+            return b"".join(map(self.parts.__getitem__, self.cut_latin(plain)))
         return self._whole(word)
 
     def _part(self, part: str) -> bytes:

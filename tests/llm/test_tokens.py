@@ -160,3 +160,17 @@ def test_latin_words_are_cut_as_the_library_does():
     for text in texts:
         ids = read.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids, text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aZ'séÉßÑçŸİıſǅǰÿƻǃ ,.$9İ")), max_size=25))
+def test_ids_of_latin_words(text):
+    assert words(ENC[1].encode(text)) == ENC[1].tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_words_are_cut_here(monkeypatch):
+    """A call of the whole library for each new word took most of the time."""
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        enc = tokens.TextEncoder(path, spaced)
+        monkeypatch.setattr(enc, "_whole", None)
+        assert words(enc.encode("Größe, l'Été d'ÿ $ñ9")) == plain(path, "Größe, l'Été d'ÿ $ñ9")
