@@ -1,10 +1,10 @@
-"""Token ids of whole texts, by the tokenizers library, with the ids of repeated words kept.
+"""Token ids of whole texts, by the tokenizers library, with the ids of repeated parts kept.
 
 Both vocabularies used here cut a text at every step from a character that is not white space to
 one that is, before any merge. The ids of a text are therefore the ids of its words (with the
 white space before each, where it counts) one after the other, and a word met before need not be
-encoded again. A new word of ASCII or Latin letters is cut by the vocabulary's own pattern; of its parts most are
-known already, and the others go to the vocabulary's merges directly.
+encoded again. A text of ASCII and Latin letters is cut at once by the vocabulary's own pattern, and so is such a
+word of another text; of the parts most are known already, and the others go to the vocabulary's merges directly.
 """
 
 from __future__ import annotations
@@ -16,16 +16,16 @@ from funclab.llm.common import worker_store
 
 # White space of Unicode's White_Space property, which is what the vocabularies' patterns use.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Words, and parts of words, kept by a worker are at most twice this many each.
+#: Words of texts in other scripts, and parts, kept by a worker are at most twice this many each, unless an operator
+#: asks for another number; one takes about 200 bytes.
 KEPT_WORDS = 600_000
-# How the vocabularies cut a text before merges (for ASCII); the second one is met in lower case.
-BYTE_PARTS = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-WORD_PARTS = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
-# Printable ASCII and letters of the Latin blocks next to it, which are one character each and letters
-# in every version of Unicode; and the patterns for such words.
+# Letters of the Latin blocks next to ASCII, which are one character each and letters in every version of Unicode.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-LATIN_PARTS = BYTE_PARTS.replace("A-Za-z", "A-Za-z" + LATIN)
-LATIN_WORD_PARTS = WORD_PARTS.replace("a-z", "a-z" + LATIN)
+LETTERS = "A-Za-z" + LATIN
+# How the vocabularies cut a text of these letters and ASCII before merges; the second one is met in lower case. Letters
+# come first, being most of a text: no other part begins with one.
+BYTE_PARTS = f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORD_PARTS = f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{SPACE}{LETTERS}0-9]+"
 
 
 def byte_signs() -> list[str]:
@@ -39,12 +39,12 @@ def byte_signs() -> list[str]:
 class _Kept(dict):
     """Ids by word. Once full, what is held becomes the older half, and words in use move over."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, kept=None):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.kept = encode, {}, kept or KEPT_WORDS
 
     def __missing__(self, word):
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(word)
@@ -62,36 +62,37 @@ class TextEncoder:
     an empty one.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, kept: int | None = None):
         from tokenizers import Tokenizer
 
         self.spaced = spaced
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.parts = _Kept(self._part)
-        self.cut = re.compile(BYTE_PARTS if spaced else WORD_PARTS, re.ASCII).findall
-        self.cut_latin, self.latin = re.compile(LATIN_PARTS if spaced else LATIN_WORD_PARTS, re.ASCII).findall, re.compile(f"[ -~{LATIN}]+").fullmatch
+        self.merged, self.parts = self.tokenizer.model.tokenize, _Kept(self._part, kept)
+        self.cut = re.compile(BYTE_PARTS if spaced else WORD_PARTS).findall
+        letters = re.findall(f"[{LATIN}]", "".join(map(chr, range(0x250))))
+        # Not those that leave the blocks in lower case, or become two characters.
+        letters = "".join(c for c in letters if spaced or c.lower() in letters)
+        self.latin = re.compile(f"[\\x00-\\x7f{SPACE}{letters}]*").fullmatch
         self.signs = byte_signs()
         # With ``spaced``, words by what follows the one space before them.
-        self.words = _Kept((lambda word: self._word(" " + word)) if spaced else self._word)
+        self.words = _Kept((lambda word: self._word(" " + word)) if spaced else self._word, kept)
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaced else f"[^{SPACE}]+")
         self.doubled = re.compile(f" [{SPACE}]|[{SPACE}] ")
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            return b"".join(map(self.parts.__getitem__, self.cut(word if self.spaced else word.lower())))
-        plain = word if self.spaced else word.lower()
-        if self.latin(plain):  # one letter is two characters in lower case, and such a word is none of these
-            return b"".join(map(self.parts.__getitem__, self.cut_latin(plain)))
-        return self._whole(word)
+        return self._latin(word) if self.latin(word) else self._whole(word)
+
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.cut(text if self.spaced else text.lower())))
 
     def _part(self, part: str) -> bytes:
         if not part.isprintable():
             return self._whole(part)
         # Merges work on characters that stand for bytes; of printable ASCII only the space has another.
         signs = part.replace(" ", "\u0120") if part.isascii() else "".join([self.signs[b] for b in part.encode()])
-        ids = [token.id for token in self.tokenizer.model.tokenize(signs)]
+        ids = [token.id for token in self.merged(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
@@ -101,6 +102,8 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.latin(text):
+            return self._latin(text)
         if not self.spaced:
             # str.split() also cuts at four separators that are no white space to the vocabulary.
             plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -111,9 +114,9 @@ class TextEncoder:
         return self._word(first) + b"".join(map(self.words.__getitem__, rest))
 
 
-def encoder(path: str, spaced: bool) -> TextEncoder:
+def encoder(path: str, spaced: bool, kept: int | None = None) -> TextEncoder:
     """The worker's encoder for a vocabulary file, loaded once."""
     held = worker_store("encoders")
-    if (path, spaced) not in held:
-        held[path, spaced] = TextEncoder(path, spaced)
-    return held[path, spaced]
+    if (path, spaced, kept) not in held:
+        held[path, spaced, kept] = TextEncoder(path, spaced, kept)
+    return held[path, spaced, kept]

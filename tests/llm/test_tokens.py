@@ -174,3 +174,23 @@ def test_latin_words_are_cut_here(monkeypatch):
         enc = tokens.TextEncoder(path, spaced)
         monkeypatch.setattr(enc, "_whole", None)
         assert words(enc.encode("Größe, l'Été d'ÿ $ñ9")) == plain(path, "Größe, l'Été d'ÿ $ñ9")
+
+
+def test_a_text_is_cut_at_once():
+    """Words with their marks and line ends, which are nearly all new, took most of the time and memory."""
+    texts = [f"wörd{k},\nÉté{k}. and\u00a0{k}!\n\n" for k in range(30)]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        enc = tokens.TextEncoder(path, spaced)
+        for text in texts:
+            assert words(enc.encode(text)) == plain(path, text)
+        assert not enc.words and len(enc.parts) <= 50
+
+
+def test_odd_texts_are_cut_at_once_as_the_library_does():
+    rng = random.Random(8)
+    signs = [*"abSTst019''  \n\n\t\r_.,-!", "\x0b", "\x1c", "\x00", "\x85", "\xa0", "\u3000", "é", "Ñ", "İ", "Ⱥ", "Ʉ", "ǅ", "ß"]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        enc = tokens.TextEncoder(path, spaced)
+        for _ in range(4000):
+            text = "".join(rng.choices(signs, k=rng.randint(1, 14)))
+            assert words(enc.encode(text)) == plain(path, text), repr(text)
