@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from funclab.llm.common import scratch_path
 from funclab.llm.tokens import encoder
+from funclab.plans.settle import write_settled
 
 WINDOW = 4096
 OPEN_WINDOWS = 32
 #: Partitions, or groups of them, whose leftovers one task merges: at most 64 x 32 windows of ids.
 MERGED = 64
+#: Rows of an Arrow batch of texts.
+RECORDS = 1_000
+#: Parts of words that a worker keeps, at most twice. Workers share their executor with what earlier steps left in its JVM.
+KEPT = 300_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _HELD = f"{_OUT}, part long, ids binary"
 
@@ -89,7 +94,7 @@ def _pack_partition(path, end_id, window, limit):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, packer = encoder(path, False), _Packer(window, limit, _first_id(0, part))
+        enc, packer = encoder(path, False, KEPT), _Packer(window, limit, _first_id(0, part))
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.encode(text.as_py()) + end
@@ -143,7 +148,7 @@ def pack(
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     where = scratch_path(spark, "packed")
-    rows.mapInArrow(_pack_partition(vocabulary, end_id, window, open_windows), _HELD).write.parquet(f"{where}/0")
+    write_settled(rows.mapInArrow(_pack_partition(vocabulary, end_id, window, open_windows), _HELD), f"{where}/0", records=RECORDS)
     held = spark.read.schema(_HELD).parquet(f"{where}/0")
     done = [held.filter("part is null")]
     level, open_ = 0, held.filter("part is not null")

@@ -194,3 +194,22 @@ def test_odd_texts_are_cut_at_once_as_the_library_does():
         for _ in range(4000):
             text = "".join(rng.choices(signs, k=rng.randint(1, 14)))
             assert words(enc.encode(text)) == plain(path, text), repr(text)
+
+
+def test_packing_keeps_few_parts(spark, docs, monkeypatch):
+    """Beside the JVM that the pipeline's stages before leave, its workers took more memory than an executor has."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "KEPT", 5)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijkl")]})
+    list(packing._pack_partition(WORD, 2, 512, 4)([batch]))
+    parts = next(iter(tokens.worker_store("encoders").values())).parts
+    assert 0 < len(parts) <= 5 and len(parts.older) <= 5
+    monkeypatch.undo()
+    bounds = []
+    write = packing.write_settled
+    monkeypatch.setattr(packing, "write_settled", lambda *a, **b: bounds.append(b["records"]) or write(*a, **b))
+    assert packing.pack(docs, WORD).count() and max(bounds) <= 1000
