@@ -425,7 +425,8 @@ class Join:
         shared = found.filter("kind = 'shared'").select("key", "class", "size", "trial")
         # How many blocks a set can do without, and how many it has in groups that are too large.
         spare = docs.select("class", F.explode(F.arrays_zip("trials", "spares")).alias("t")).select("class", F.col("t.trials").alias("trial"), F.col("t.spares").alias("spare")).distinct()
-        lost = shared.groupBy("class", "trial").count().join(spare, ["class", "trial"]).select("class", "trial", (F.col("spare") - F.col("count")).alias("left"))
+        # Spark takes the exploded rows for as few as their documents, and might broadcast them.
+        lost = shared.groupBy("class", "trial").count().join(spare.hint("merge"), ["class", "trial"]).select("class", "trial", (F.col("spare") - F.col("count")).alias("left"))
         lost = settle_table(lost, "lost")
         # Sets that cannot do without those are paired on them.
         members = members.unionByName(shared.join(lost.filter("left < 0").select("class", "trial"), ["class", "trial"]))

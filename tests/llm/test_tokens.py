@@ -213,3 +213,29 @@ def test_packing_keeps_few_parts(spark, docs, monkeypatch):
     write = packing.write_settled
     monkeypatch.setattr(packing, "write_settled", lambda *a, **b: bounds.append(b["records"]) or write(*a, **b))
     assert packing.pack(docs, WORD).count() and max(bounds) <= 1000
+
+
+def test_what_an_earlier_operator_kept_is_freed_at_once():
+    """An encoder and its caches refer to each other."""
+    import gc
+    import weakref
+
+    from funclab.llm import common
+
+    class Encoder:
+        def __init__(self):
+            self.encode = self.part
+
+        def part(self):
+            return self
+
+    gc.disable()
+    try:
+        held = Encoder()
+        freed = weakref.ref(held)
+        common.worker_store("encoders")["held"] = held
+        del held
+        assert common.worker_store("encoders")["held"] is freed()
+        assert common.worker_store("") == {} and freed() is None
+    finally:
+        gc.enable()

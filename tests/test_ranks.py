@@ -53,6 +53,17 @@ def test_only_checked_tables_are_broadcast(spark, monkeypatch):
         assert salted.exceptAll(want).count() == 0 and salted.count() == want.count()
 
 
+def test_a_repeated_table_is_never_broadcast(spark, monkeypatch):
+    """Spark takes a table for as small as its file, though its rows are repeated for each salt."""
+    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 10)
+    small = settling.settle_table(rows(spark, 300).select("key", F.lit(1).alias("found")), "small")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        salted = settling.lookup_join(rows(spark), small, ["key"], how, spread="id")
+        assert salted.count() == rows(spark).join(small, ["key"], how).count()
+        plan = salted._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert settling.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert settling.scratch_path(spark, "x") != settling.scratch_path(spark, "x")
