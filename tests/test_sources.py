@@ -214,6 +214,43 @@ def test_packed_result_files_are_read_as_plain_ones(spark, tmp_path):
     assert (one.model, one.row_id) == ("gpt_few_shot", 7)
 
 
+def test_result_files_packed_by_zstd_are_read_whole(spark, tmp_path):
+    """Such a file can't be read from the middle, however small the share of a task is."""
+    names = [*RUN_KEYS, "row_id", "processed_func", "GPT Prediction"]
+    texts = ["".join(chr(33 + (i * i * k + i // 7) % 90) + "\n" * (i % 40 == 0) for i in range(2_000)) for k in range(1, 41)]
+    rows = [("rust", "c", 4, m, i, text, "1") for m in ("gpt_few_shot", "gpt_zero_shot") for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "language string, configuration string, experiment int, model string, row_id bigint, processed_func string, `GPT Prediction` string")
+    writers.write_csv(df, f"{tmp_path}/z", RUN_KEYS, compression="zstd")
+    writers.write_csv(df, f"{tmp_path}/g", RUN_KEYS, compression="gzip")
+    size = {}
+    for root in ("z", "g"):
+        files = [f"{d}/{f}" for d, _, found in os.walk(f"{tmp_path}/{root}") for f in found if f.startswith("part-")]
+        assert len(files) == 2 and all(f.endswith({"z": ".csv.zstd", "g": ".csv.gz"}[root]) for f in files)
+        size[root] = sum(map(os.path.getsize, files))
+    assert size["z"] < 0.9 * size["g"] and size["z"] > 4_000
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = readers.read_tree(spark, f"{tmp_path}/z", RUN_KEYS).select(*names)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """Many small files would share a task; each one's first line is its header, and no line is moved or sorted."""
+    for k in range(30):
+        write_file(f"{tmp_path}/kotlin/c/{k}/train.csv", ["processed_func", "target"] if k % 2 else ["remark"], [["a\nb"] * (1 + k % 2)] * 3)
+    (tmp_path / "kotlin/c/30").mkdir()
+    (tmp_path / "kotlin/c/30/train.csv").write_text("")
+    plans, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    found = readers._files_by_header(spark, str(tmp_path))
+    assert {c: len(f) for c, f in found.items()} == {("processed_func", "target"): 15, ("remark",): 15}
+    assert plans and not any(x in plan for plan in plans for x in ("Exchange", "Sort", "Aggregate"))
+
+
 def test_writing_rows_where_they_lie(spark, tmp_path):
     """A number's rows lie in tasks of its own, and writing them shuffles nothing and loses nothing."""
     spark.range(100).selectExpr("id row_id", "cast(id as string) text").write.parquet(f"{tmp_path}/stored")
