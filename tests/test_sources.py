@@ -238,6 +238,21 @@ def test_result_files_packed_by_zstd_are_read_whole(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
+def test_results_are_packed_by_zstd_and_found_by_their_names(spark, tmp_path):
+    rows = [("rust", "c", 0, "gpt_few_shot", i, f"x\n {i}", "secret") for i in range(5)]
+    df = spark.createDataFrame(rows, "language string, configuration string, experiment int, model string, row_id bigint, processed_func string, prompt string")
+    writers.write_results(df, f"{tmp_path}/r", save_prompt=False)
+    (file,) = [f"{d}/{f}" for d, _, found in os.walk(f"{tmp_path}/r") for f in found if f.startswith("part-")]
+    assert file.endswith(".csv.zstd")
+    for ending in ("zstd", "zst"):
+        folder = f"{tmp_path}/{ending}/rust/c/0"
+        os.makedirs(folder)
+        with open(file, "rb") as a, open(f"{folder}/gpt_few_shot.csv.{ending}", "wb") as b:
+            b.write(a.read())
+        back = readers.read_result_csv(spark, f"{tmp_path}/{ending}", ranking=False, schema="row_id bigint, processed_func string").collect()
+        assert sorted((r.experiment, r.model, r.row_id, r.processed_func) for r in back) == [(0, "gpt_few_shot", i, f"x\n {i}") for i in range(5)]
+
+
 def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
     """Many small files would share a task; each one's first line is its header, and no line is moved or sorted."""
     for k in range(30):
