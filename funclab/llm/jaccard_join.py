@@ -485,7 +485,7 @@ class Join:
         wanted = members.select("class").distinct()
         rows = self.docs.groupBy("class").agg(F.min("row").alias("row")).join(wanted, "class")
         rows = settle_table(rows.select("row", "class"), "wanted")
-        texts = lookup_join(self.texts, rows, ["row"], spread="doc_id").select("class", "text")
+        texts = lookup_join(self.texts, rows, ["row"], once=True).select("class", "text")
         made = texts.mapInArrow(tidy(_sets), "class long, n int, sketch binary, held binary")
         return settle_table(made.dropDuplicates(["class"]), "sets", RECORDS)
 
@@ -546,6 +546,6 @@ def keep_first(documents: DataFrame) -> DataFrame:
     empty = groups.filter("n_shingles = 0").select(F.col("row").alias(key))
     kept = settle_table(first.select(key).union(empty).distinct(), "kept")
     rows = documents.withColumn(key, row_key())
-    out = lookup_join(rows, kept, [key], "inner", spread="doc_id")
+    out = lookup_join(rows, kept, [key], once=True)
     has_words = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(has_words).dropDuplicates([key]).select(*documents.columns).unionByName(out.filter(~F.coalesce(has_words, F.lit(False))).select(*documents.columns))

@@ -64,6 +64,16 @@ def test_a_repeated_table_is_never_broadcast(spark, monkeypatch):
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_a_table_with_a_row_for_each_key_is_not_repeated(spark, monkeypatch):
+    monkeypatch.setattr(settling, "MAX_BROADCAST_ROWS", 10)
+    small = settling.settle_table(rows(spark, 300).select("key", F.lit(1).alias("found")), "small")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = settling.lookup_join(rows(spark), small, ["key"], how, once=True), rows(spark).join(small, ["key"], how)
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Broadcast", "Generate", "_salt")) and "SortMergeJoin" in plan
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert settling.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert settling.scratch_path(spark, "x") != settling.scratch_path(spark, "x")
